@@ -10,7 +10,7 @@ DEFAULT_YEAR = 2017
 DEFAULT_MONTH = 9
 
 # Every character Unicode counts as white space.
-WHITE = r"\s\x1c-\x1f\x85\xa0  -     　"
+WHITE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 LENGTH_GAP = 10
 FAR_APART = 999

@@ -1,0 +1,113 @@
+"""Nearest title by similarity ratio.
+
+The distance is ``int((1 - ratio) * 20)`` over matching blocks, as found by the
+standard library's sequence matcher. No part of two strings has to be equal for
+them to pass the usual threshold, so there is no exact key to join on: the work
+grows with the number of title pairs of similar length. It is cut up evenly, a
+bound on the shared characters removes pairs first, and only the best grant per
+title leaves a task. Prefer edit distance for large tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tallyweave.functions.text import LENGTH_GAP, usable
+from tallyweave.runtime import cut
+
+# Grants of one length that one slice of the join holds, on average at most.
+SLICE = 5000
+
+# What normalised titles are made of; other characters share the last count.
+ALPHABET = " 0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+@F.pandas_udf("int")
+def ratio_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """``int((1 - ratio) * 20)`` of two columns of text."""
+    for left, right in batches:
+        out = [0] * len(left)
+        matcher = SequenceMatcher(None)
+        # The matcher prepares its second text once; equal ones are taken together.
+        order = right.reset_index(drop=True).sort_values(kind="stable").index
+        a, b = left.tolist(), right.tolist()
+        prepared = None
+        for i in order:
+            if b[i] != prepared:
+                prepared = b[i]
+                matcher.set_seq2(prepared)
+            matcher.set_seq1(a[i])
+            out[i] = 0 if a[i] == b[i] else int((1 - matcher.ratio()) * 20)
+        yield pd.Series(out, dtype="int32")
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each character of the alphabet occurs, and all others together."""
+    known = [F.length(text) - F.length(F.translate(text, c, "")) for c in ALPHABET]
+    return F.array(*known, F.length(F.translate(text, ALPHABET, "")))
+
+
+def best_ratio_matches(
+    titles: DataFrame, grants: DataFrame, max_distance: int = 8, slice_rows: int = SLICE
+) -> DataFrame:
+    """``title``, ``grant_id``, ``grant_title``, ``distance`` of every title's best grant.
+
+    Same inputs and tie rule as the edit-distance form. Grants more than ten
+    characters longer or shorter are not looked at.
+    """
+    wanted = cut(
+        titles.where(usable(F.col("title")))
+        .select("title")
+        .distinct()
+        .withColumns({"size": F.length("title"), "letters": letter_counts(F.col("title"))}),
+        "titles",
+    )
+    known = cut(
+        grants.where(usable(F.col("title")))
+        .groupBy("title")
+        .agg(F.min("grant_id").alias("grant_id"))
+        .select(
+            "grant_id",
+            F.col("title").alias("grant_title"),
+            F.length("title").alias("grant_size"),
+            letter_counts(F.col("title")).alias("grant_letters"),
+        ),
+        "grants",
+    )
+    # How many slices each length needs; there are only as many rows as lengths.
+    slices = (
+        known.groupBy("grant_size")
+        .agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices"))
+    )
+    right = known.join(slices, "grant_size").withColumn(
+        "slice", F.pmod(F.xxhash64("grant_title"), F.col("slices")).cast("int")
+    )
+    lengths = F.sequence(F.col("size") - LENGTH_GAP, F.col("size") + LENGTH_GAP)
+    left = (
+        wanted.withColumn("grant_size", F.explode(lengths))
+        .join(slices, "grant_size")
+        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        .drop("slices")
+    )
+    shared = F.aggregate(
+        F.zip_with("letters", "grant_letters", lambda x, y: F.least(x, y)),
+        F.lit(0),
+        lambda total, x: total + x,
+    )
+    least_ratio = 1 - (max_distance + 1) / 20
+    possible = 2 * shared >= (F.col("size") + F.col("grant_size")) * F.lit(least_ratio - 1e-9)
+    return (
+        left.join(right.drop("slices"), ["grant_size", "slice"])
+        .where(possible)
+        .select("title", "grant_id", "grant_title")
+        .withColumn("distance", ratio_distance("title", "grant_title"))
+        .where(F.col("distance") <= max_distance)
+        .groupBy("title")
+        .agg(F.min(F.struct("distance", "grant_id", "grant_title")).alias("best"))
+        .select("title", "best.grant_id", "best.grant_title", "best.distance")
+    )
