@@ -16,6 +16,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyweave.functions.text import LENGTH_GAP, usable
 from tallyweave.runtime import cut
@@ -27,7 +28,7 @@ SLICE = 5000
 ALPHABET = " 0123456789abcdefghijklmnopqrstuvwxyz"
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def ratio_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """``int((1 - ratio) * 20)`` of two columns of text."""
     for left, right in batches:

@@ -34,15 +34,10 @@ def combine_frames(
     aligned = []
     for name, frame in frames.items():
         if by_file:
-            file_name = name.rsplit("/", 1)[-1]
-            year, keep = fiscal_year_of_file(F.lit(file_name)), ("Source_File",)
-            frame_columns = frame.drop("Source_File")
+            year, keep = fiscal_year_of_file(F.lit(name.rsplit("/", 1)[-1])), ["Source_File"]
         else:
-            year, keep = fiscal_year_of_table(F.lit(name)), ()
-            frame_columns = frame
-        part = align_by_name(frame_columns, year, targets)
-        if part is not None and keep:
-            part = align_by_name(frame, year, targets, keep)
+            year, keep = fiscal_year_of_table(F.lit(name)), []
+        part = align_by_name(frame, year, targets, keep)
         if part is None:
             left_out.append((name, "no name column"))
         else:

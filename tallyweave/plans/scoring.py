@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,11 @@ def _scores(df: DataFrame, document: str, levels: tuple[int, ...]) -> DataFrame:
     return counted.withColumn("scores", scores).drop("_counts")
 
 
-def score_outcomes(grants: DataFrame, document: str = "outcome_data") -> DataFrame:
+def score_outcomes(
+    grants: DataFrame, document: str = "outcome_data", keep: Sequence[str] = ()
+) -> DataFrame:
     """Records of levels 1, 2 and 5 from grants with their outcome document as JSON text."""
-    require_columns(grants, [*C.SCORE_KEY, document])
+    require_columns(grants, [*C.SCORE_KEY, document, *keep])
     return _scores(grants, document, (1, 2, 5)).select(
         F.col("Name").alias("researcher"),
         F.col("Project_Title").alias("project"),
@@ -43,6 +47,7 @@ def score_outcomes(grants: DataFrame, document: str = "outcome_data") -> DataFra
         L.company_list(F.col("_doc")).alias("companies_analyzed"),
         F.col(document).alias("data"),
         "scores",
+        *keep,
     )
 
 
@@ -94,7 +99,7 @@ def combine_levels(records: DataFrame, funding: DataFrame) -> DataFrame:
     )
 
 
-def score_updates(records: DataFrame) -> DataFrame:
+def score_updates(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Records in the shape of the stored table; ``total_score`` is the highest level."""
     return records.select(
         F.col("researcher").alias("Name"),
@@ -106,6 +111,7 @@ def score_updates(records: DataFrame) -> DataFrame:
         F.col("scores.level5").alias("level_5_score"),
         F.col("scores.highest_level").alias("total_score"),
         F.col("scores.total").alias("total"),
+        *keep,
     )
 
 

@@ -34,9 +34,11 @@ def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Documents of one object each, or arrays of objects, one row per object."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json(
+    spark: SparkSession, path: str, schema: T.StructType | str, lines: bool = False
+) -> DataFrame:
+    """One row per object of files holding one object or an array, or one object a line."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def with_source_file(df: DataFrame) -> DataFrame:
