@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyweave import columns as C
 from tallyweave.functions.text import grant_date
+from tallyweave.runtime import spread
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 
@@ -23,6 +24,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose texts are costly to work on."""
+    return spread(table(spark, d, name).select(*columns))
+
+
 def recipients(spark: SparkSession, d: str) -> DataFrame:
     customers = table(spark, d, "customer").select(
         F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("  "), F.upper("c_name"), F.lit(" ")))
@@ -82,7 +88,8 @@ YEAR_TABLES_SQL = f"""
 
 
 def line_grants(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "documents").select(
+    documents = texts(spark, d, "documents", "doc_id", "lang", "source", "n_chars", "text")
+    lines = documents.select(
         "doc_id", "lang", "source", "n_chars", F.posexplode(F.split("text", "\n")).alias("at", "line")
     )
     return lines.select(
@@ -140,7 +147,7 @@ PAGE_OUTCOMES_SQL = f"""
 
 def text_grants(spark: SparkSession, d: str) -> DataFrame:
     labelled = table(spark, d, "labels").select("doc_id")
-    return _texts(table(spark, d, "documents").join(labelled, "doc_id", "left_anti")).select(
+    return _documents(spark, d).join(labelled, "doc_id", "left_anti").select(
         F.col("doc_id").alias("grant_id"),
         F.col("text").alias(C.TITLE_COLUMN),
         F.col("source").alias(C.PRIMARY),
@@ -150,13 +157,13 @@ def text_grants(spark: SparkSession, d: str) -> DataFrame:
 
 def text_outcomes(spark: SparkSession, d: str) -> DataFrame:
     labelled = table(spark, d, "labels").select("doc_id")
-    return _texts(table(spark, d, "documents").join(labelled, "doc_id", "left_semi")).select(
+    return _documents(spark, d).join(labelled, "doc_id", "left_semi").select(
         F.col("doc_id").alias("outcome_id"), F.col("text").alias("Project_Title")
     )
 
 
-def _texts(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", "text", "source", "lang")
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return texts(spark, d, "documents", "doc_id", "text", "source", "lang")
 
 
 TEXT_GRANTS_SQL = f"""

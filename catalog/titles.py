@@ -18,26 +18,28 @@ from tallyweave.operators.titles import (
     stage_counts,
     unmatched_keys,
     with_title_key,
+    with_usable_key,
 )
 from tallyweave.operators.words import average_length, sample_rows, top_words, word_counts
 from tallyweave.plans.title_enrichment import enrich_by_title
+from tallyweave.runtime import cut
 
 
 def norm_strict(spark, d):
-    return R.table(spark, d, "documents").select(
+    return R.texts(spark, d, "documents", "doc_id", "text").select(
         "doc_id", strict_title(F.col("text")).alias("title_key")
     )
 
 
 def norm_loose(spark, d):
-    return R.table(spark, d, "documents").select(
+    return R.texts(spark, d, "documents", "doc_id", "text").select(
         "doc_id", loose_title(F.col("text")).alias("title_key")
     )
 
 
 def _keyed(spark, d):
     outcomes = with_title_key(R.page_outcomes(spark, d), "Project_Title")
-    grants = with_title_key(R.line_grants(spark, d), C.TITLE_COLUMN)
+    grants = with_usable_key(R.line_grants(spark, d), C.TITLE_COLUMN)
     return outcomes, one_per_title(grants, C.TITLE_COLUMN)
 
 
@@ -53,6 +55,7 @@ def title_unmatched(spark, d):
 
 def _open_titles(spark, d):
     outcomes, grants = _keyed(spark, d)
+    grants = cut(grants.select("title_key", "grant_id"), "known")
     return (
         unmatched_keys(outcomes, grants).withColumnRenamed("title_key", "title"),
         grants.select(F.col("title_key").alias("title"), "grant_id"),
@@ -101,7 +104,7 @@ def unmatched_words(spark, d):
 
 def word_top(spark, d):
     """The most frequent words of all documents."""
-    keyed = with_title_key(R.table(spark, d, "documents"), "text")
+    keyed = with_usable_key(R.texts(spark, d, "documents", "text"), "text")
     return top_words(word_counts(keyed, "title_key"))
 
 
@@ -115,7 +118,7 @@ def partial(spark, d):
     titles = _unmatched(spark, d).select(
         F.col("outcome_id").alias("title_id"), F.col("title_key").alias("title")
     )
-    grants = with_title_key(R.line_grants(spark, d), C.TITLE_COLUMN)
+    grants = with_usable_key(R.line_grants(spark, d), C.TITLE_COLUMN)
     return partial_matches(titles, grants.select("grant_id", F.col("title_key").alias("title")))
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 DEFAULT_YEAR = 2017
 DEFAULT_MONTH = 9
 
-# Every character Unicode counts as white space.
-WHITE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# White space in the two title forms. All that Unicode counts lies below U+3001.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+NARROW_WHITE = "".join(map(chr, (9, 10, 11, 12, 13, 32)))
 
 LENGTH_GAP = 10
 FAR_APART = 999
@@ -21,16 +22,25 @@ def clean_name(name: Column) -> Column:
     return F.lower(F.trim(name))
 
 
+def _letters_and_blanks(text: Column, white: str) -> Column:
+    """ASCII letters and digits with single blanks for white space; the rest dropped.
+
+    ASCII is settled by translate and the rest by one plain class, since regular
+    expressions that exclude several ranges slow down when many tasks share a JVM.
+    """
+    ascii_rest = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c not in white)
+    plain = F.translate(text, white + ascii_rest, " " * len(white))
+    return F.regexp_replace(F.regexp_replace(plain, r"\P{ASCII}+", ""), " {2,}", " ")
+
+
 def strict_title(title: Column) -> Column:
     """Title key that trims first, so dropped characters may leave a blank at either end."""
-    kept = F.regexp_replace(F.trim(title), r"[^a-zA-Z0-9\s]", "")
-    return F.lower(F.regexp_replace(kept, r"\s+", " "))
+    return F.lower(_letters_and_blanks(F.trim(title), NARROW_WHITE))
 
 
 def loose_title(title: Column) -> Column:
     """Title key that trims last. NULL stays NULL."""
-    kept = F.regexp_replace(F.lower(title), f"[^a-z0-9{WHITE}]", "")
-    return F.trim(F.regexp_replace(kept, f"[{WHITE}]+", " "))
+    return F.trim(_letters_and_blanks(F.lower(title), WHITE))
 
 
 TITLE_KEYS = {"loose": loose_title, "strict": strict_title}
@@ -41,6 +51,15 @@ def usable(key: Column) -> Column:
     return F.coalesce(F.trim(key) != "", F.lit(False))
 
 
+def usable_keys(key: Column) -> Column:
+    """The key as a list of one, or none if it may not take part in a match.
+
+    Exploding the list gives the key and drops or blanks the others, with the key
+    worked out once: a filter on it would be moved below and work it out again.
+    """
+    return F.filter(F.array(key), usable)
+
+
 def words(text: Column, longer_than: int = 0) -> Column:
     """The words of a normalised text that have more than ``longer_than`` characters."""
     return F.filter(F.split(text, " "), lambda w: F.length(w) > longer_than)

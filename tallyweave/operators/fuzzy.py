@@ -56,7 +56,7 @@ def best_edit_matches(
 
     grant_keys = _split_grants(_seed_grants(known), max_distance)
     title_keys = _split_titles(_seed_titles(wanted, max_distance), max_distance)
-    hot, n_hot = _hot_keys(grant_keys, hot_key)
+    hot, n_hot = _hot_keys(grant_keys, title_keys, hot_key)
     if n_hot == 0:
         return _verified(_pairs(title_keys, grant_keys), wanted, known, max_distance)
 
@@ -88,36 +88,30 @@ def _refined_pairs(titles: DataFrame, grants: DataFrame, k: int, hot_key: int) -
     while True:
         grant_keys = _split_grants(grant_parts, k)
         title_keys = _split_titles(title_parts, k)
-        hot, n_hot = _hot_keys(grant_keys.where("rest > " + str(k)), hot_key)
+        hot, n_hot = _hot_keys(grant_keys.where(F.col("rest") > k), title_keys, hot_key)
         cold_pairs = _pairs(
             _only(title_keys, hot, n_hot, "left_anti"), _only(grant_keys, hot, n_hot, "left_anti")
         )
         found = cold_pairs if found is None else found.unionByName(cold_pairs)
         if n_hot == 0:
             return found
-        # Of the hot keys only those some title asks for are worth lengthening.
         title_hot = cut(
             _only(title_keys, hot, n_hot, "left_semi").select("tid", "key", "gaps"), "title-keys"
         )
-        asked = title_hot.select("key").distinct()
         grant_hot = cut(
-            _only(grant_keys, hot, n_hot, "left_semi")
-            .join(asked, "key", "left_semi")
-            .select("gid", "key", "gaps"),
-            "grant-keys",
+            _only(grant_keys, hot, n_hot, "left_semi").select("gid", "key", "gaps"), "grant-keys"
         )
         title_parts = title_hot.join(titles.select("tid", "title"), "tid")
         grant_parts = grant_hot.join(grants.select("gid", "title"), "gid")
 
 
-def _hot_keys(grant_keys: DataFrame, hot_key: int) -> tuple[DataFrame, int]:
-    hot = cut(
-        grant_keys.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > hot_key)
-        .select("key"),
-        "hot-keys",
-    )
+def _hot_keys(grant_keys: DataFrame, title_keys: DataFrame, hot_key: int) -> tuple[DataFrame, int]:
+    """Keys that many grants share and some title asks for, and how many there are."""
+    counts = grant_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    shared = cut(counts.where(F.col("n") > hot_key).select("key"), "shared-keys")
+    if shared.isEmpty():
+        return shared, 0
+    hot = cut(shared.join(title_keys.select("key"), "key", "left_semi"), "hot-keys")
     return hot, hot.count()
 
 
@@ -196,6 +190,9 @@ def _segments(parts: DataFrame, k: int) -> DataFrame:
     return (
         parts.withColumn("_open", total)
         .where(F.col("_open") > k)
+        # Four bytes a character, so that a segment is found without counting through.
+        .withColumn("units", F.encode("title", "utf-32"))
+        .drop("title")
         .select("*", F.posexplode("gaps").alias("j", "g"))
         .withColumn("n", share(g["gp"] + g["gl"]) - share(g["gp"]))
         .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(k))))
@@ -208,7 +205,7 @@ def _segments(parts: DataFrame, k: int) -> DataFrame:
 
 def _key(start: Column) -> Column:
     """The key so far, lengthened by a segment of the text at ``start``."""
-    piece = F.substring(F.col("title"), start + 1, F.col("b") - F.col("a"))
+    piece = F.substring(F.col("units"), start * 4 + 1, (F.col("b") - F.col("a")) * 4)
     return F.xxhash64("key", "j", "s", piece)
 
 

@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.text import TITLE_KEYS, usable
+from tallyweave.functions.text import TITLE_KEYS, usable_keys
 from tallyweave.operators.dedupe import first_per_key
 
 
 def with_title_key(df: DataFrame, title: str, form: str = "loose") -> DataFrame:
     """Adds ``title_key``; NULL where the title is NULL or has nothing left."""
-    key = TITLE_KEYS[form](F.col(title))
-    return df.withColumn("title_key", F.when(usable(key), key))
+    keys = usable_keys(TITLE_KEYS[form](F.col(title)))
+    return df.withColumn("title_key", F.explode_outer(keys))
+
+
+def with_usable_key(df: DataFrame, title: str, form: str = "loose") -> DataFrame:
+    """Adds ``title_key`` and leaves out rows that have none."""
+    return df.withColumn("title_key", F.explode(usable_keys(TITLE_KEYS[form](F.col(title)))))
 
 
 def one_per_title(grants: DataFrame, title: str) -> DataFrame:
-    """Grants with a usable key, one per raw title: the smallest id."""
-    return first_per_key(
-        grants.where(F.col("title_key").isNotNull()), [title], [F.col("grant_id")]
-    )
+    """One grant per raw title: the smallest id."""
+    return first_per_key(grants, [title], [F.col("grant_id")])
 
 
 def exact_winners(grants: DataFrame) -> DataFrame:

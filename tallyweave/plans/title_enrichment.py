@@ -17,7 +17,9 @@ from tallyweave.operators.titles import (
     one_per_title,
     unmatched_keys,
     with_title_key,
+    with_usable_key,
 )
+from tallyweave.runtime import cut
 
 # How far apart two titles may be, by each measure.
 THRESHOLDS = {"edit": 5, "ratio": 8}
@@ -53,11 +55,15 @@ def enrich_by_title(
     served = available_enrichment(grants, dict(enrichment))
 
     keyed = with_title_key(outcomes, outcome_title, form)
-    known = one_per_title(with_title_key(grants, grant_title, form), grant_title).select(
-        "title_key",
-        "grant_id",
-        F.col(grant_title).alias("matched_title"),
-        *[F.col(source).alias(target) for source, target in served.items()],
+    # Read four times below: normalise and deduplicate once.
+    known = cut(
+        one_per_title(with_usable_key(grants, grant_title, form), grant_title).select(
+            "title_key",
+            "grant_id",
+            F.col(grant_title).alias("matched_title"),
+            *[F.col(source).alias(target) for source, target in served.items()],
+        ),
+        "known",
     )
     exact = exact_winners(known) if mode == "one" else known
     nearest = MEASURES[measure](
