@@ -103,7 +103,7 @@ def line_grants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select(
+    return texts(spark, d, "pages", "page_id", "url", "html").select(
         F.col("page_id").alias("outcome_id"),
         F.regexp_extract("url", "//([^/]+)", 1).alias("Name"),
         F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("Project_Title"),
@@ -178,7 +178,7 @@ TEXT_OUTCOMES_SQL = f"""
 
 def coded_events(spark: SparkSession, d: str) -> DataFrame:
     """Events with the number ``k`` of their properties and a competition code, some broken."""
-    events = table(spark, d, "events").select(
+    events = texts(spark, d, "events", "event_id", "user_id", "event_type", "props", "ts").select(
         "event_id",
         "user_id",
         "event_type",

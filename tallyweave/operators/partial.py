@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.text import words
 from tallyweave.operators.dedupe import top_per_key
+from tallyweave.runtime import cut
 
 # Words longer than this are looked up by their head and then compared whole,
 # which keeps the number of substrings proportional to the length of a word.
@@ -25,7 +26,10 @@ def _title_words(df: DataFrame, key: str, min_length: int) -> DataFrame:
 
 
 def _contained(inner: DataFrame, outer: DataFrame, min_length: int) -> DataFrame:
-    """(``inner``, ``outer``) for every inner word that lies inside an outer word."""
+    """(``inner``, ``outer``) for every inner word that lies inside an outer word.
+
+    A pair comes twice if the word lies there twice.
+    """
     starts = F.sequence(F.lit(1), F.length("outer") - min_length + 1)
     pieces = (
         outer.withColumn("_from", F.explode(starts))
@@ -39,7 +43,6 @@ def _contained(inner: DataFrame, outer: DataFrame, min_length: int) -> DataFrame
             ),
         )
         .select("outer", F.substring("outer", F.col("_from"), F.col("_size")).alias("_head"))
-        .distinct()
     )
     heads = inner.withColumn("_head", F.substring("inner", 1, HEAD))
     return (
@@ -58,13 +61,16 @@ def partial_matches(
     ``title``; both titles are normalised. A grant gives ``word_in_grant`` when
     it contains a long word of the title, then ``word_in_unmatched`` when the
     title contains a long word of the grant. A list cut to its first ``keep``
-    entries at every step holds the first ``keep`` of the whole.
+    entries at every step holds the first ``keep`` of the whole. Writes the words
+    of both sides to the shared folder, so that long inputs are read once.
     """
-    title_words = _title_words(titles, "title_id", min_length)
+    title_words = cut(_title_words(titles, "title_id", min_length), "title-words")
     grant_words = _title_words(grants, "grant_id", min_length)
+    first_grants = cut(
+        top_per_key(grant_words, ["word"], [F.col("grant_id")], keep), "first-grants"
+    )
     asked = title_words.select("word").distinct()
-    known = grant_words.select("word").distinct()
-    first_grants = top_per_key(grant_words, ["word"], [F.col("grant_id")], keep)
+    known = first_grants.select("word").distinct()
 
     in_grant = _contained(
         asked.select(F.col("word").alias("inner")),
