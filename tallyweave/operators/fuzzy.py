@@ -73,8 +73,9 @@ def best_edit_matches(
         pairs = _refined_pairs(open_titles, known, distance, hot_key)
         nearest = cut(_verified(pairs, open_titles, known, distance), f"within-{distance}")
         results.append(nearest)
-        if distance < max_distance:
-            open_titles = cut(open_titles.join(nearest, "title", "left_anti"), "open")
+        open_titles = cut(open_titles.join(nearest, "title", "left_anti"), "open")
+        if open_titles.isEmpty():
+            break
     whole = results[0]
     for part in results[1:]:
         whole = whole.unionByName(part)

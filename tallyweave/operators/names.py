@@ -10,20 +10,7 @@ from pyspark.sql import functions as F
 from tallyweave import columns as C
 from tallyweave.functions.text import usable
 from tallyweave.operators.dedupe import top_per_key
-
-
-def left_join_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left equi-join that keeps fan-out and adds a boolean ``matched``.
-
-    Written as an inner join plus the rows without partner: adaptive execution
-    splits a hot key on either side of an inner join, but never on the right of
-    an outer one. The second branch reads only the distinct keys.
-    """
-    found = left.join(right, key, "inner").withColumn("matched", F.lit(True))
-    absent = left.join(right.select(key).distinct(), key, "left_anti")
-    return found.unionByName(
-        absent.withColumn("matched", F.lit(False)), allowMissingColumns=True
-    )
+from tallyweave.operators.joins import join_to_single, left_join_many
 
 
 def fill_not_found(df: DataFrame, targets: Iterable[str] = C.NAME_ENRICHMENT) -> DataFrame:
@@ -67,7 +54,7 @@ def lookup_names(people: DataFrame, grants: DataFrame, keep: int = 3) -> DataFra
     order. Only the kept titles are ever gathered, whatever the number of grants.
     """
     wanted = people.where(usable(F.col("name_key"))).select("name_key").distinct()
-    theirs = grants.join(wanted, "name_key", "left_semi")
+    theirs = join_to_single(grants, wanted, ["name_key"], "left_semi")
     counts = theirs.groupBy("name_key").agg(F.count(F.lit(1)).alias("grant_count"))
     first = (
         top_per_key(theirs, ["name_key"], [F.col("grant_id")], keep)

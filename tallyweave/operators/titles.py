@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.text import TITLE_KEYS, usable_keys
 from tallyweave.operators.dedupe import first_per_key
+from tallyweave.operators.joins import join_to_single
 
 
 def with_title_key(df: DataFrame, title: str, form: str = "loose") -> DataFrame:
@@ -36,7 +37,7 @@ def unmatched_keys(outcomes: DataFrame, grants: DataFrame) -> DataFrame:
         outcomes.where(F.col("title_key").isNotNull())
         .select("title_key")
         .distinct()
-        .join(grants.select("title_key"), "title_key", "left_anti")
+        .join(grants.select("title_key").distinct(), "title_key", "left_anti")
     )
 
 
@@ -48,4 +49,4 @@ def stage_counts(df: DataFrame) -> DataFrame:
 def keep_known(df: DataFrame, original: DataFrame, identity: Column) -> DataFrame:
     """Rows whose identity occurs in the original table."""
     known = original.select(identity.alias("_id")).distinct()
-    return df.withColumn("_id", identity).join(known, "_id", "left_semi").drop("_id")
+    return join_to_single(df.withColumn("_id", identity), known, ["_id"], "left_semi").drop("_id")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.operators.dedupe import first_per_key
+from tallyweave.operators.joins import join_to_single
 
 
 def update_matched(
@@ -24,16 +25,13 @@ def update_matched(
     nothing is inserted or removed. Updates hold each key once by then, so a key
     the target repeats very often can be split by adaptive execution.
     """
-    known = updates
-    for key in keys:
-        known = known.where(F.col(key).isNotNull())
-    single = first_per_key(known, keys, latest_first).select(
+    single = first_per_key(updates, keys, latest_first).select(
         *keys, F.struct(*columns).alias("_new")
     )
     changed = F.col("_new").isNotNull()
     kinds = dict(target.dtypes)
     return (
-        target.join(single, list(keys), "left")
+        join_to_single(target, single, keys, "left")
         .withColumns(
             {
                 c: F.when(changed, F.col("_new")[c].cast(kinds[c])).otherwise(F.col(c))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave import columns as C
 from tallyweave.operators.fuzzy import best_edit_matches
-from tallyweave.operators.names import left_join_many
+from tallyweave.operators.joins import join_to_single, left_join_many
 from tallyweave.operators.ratio import best_ratio_matches
 from tallyweave.operators.schema import available_enrichment, require_columns, title_column
 from tallyweave.operators.titles import (
@@ -81,7 +81,7 @@ def enrich_by_title(
 
     base = keyed.drop(*served.values())
     if mode == "one":
-        joined = base.join(answers, "title_key", "left")
+        joined = join_to_single(base, answers, ["title_key"], "left")
     else:
         joined = left_join_many(base, answers, "title_key").drop("matched")
     kept = [c for c in outcomes.columns if c not in served.values()]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,14 +50,9 @@ def with_source_file(df: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
-    """Paths in a folder that end in ``suffix``; contents are not read."""
-    found = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"*{suffix}")
-        .load(folder)
-        .select("path")
-    )
-    return sorted(row.path for row in found.collect())
+    """Paths in a folder that end in ``suffix``, empty files among them."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
+    return sorted(unquote(path) for path in found.inputFiles())
 
 
 def read_file(spark: SparkSession, path: str, file_format: str) -> DataFrame:
@@ -77,8 +75,8 @@ def read_folder(
     for path in list_files(spark, folder, suffix):
         try:
             frame = read_file(spark, path, file_format)
-        except PySparkException as error:
-            rejects.append((path, f"unreadable: {error.getCondition() or type(error).__name__}"))
+        except (PySparkException, Py4JJavaError) as error:
+            rejects.append((path, f"unreadable: {type(error).__name__}"))
             continue
         if not frame.columns:
             rejects.append((path, "no columns"))

@@ -1,5 +1,9 @@
+import pytest
+from pyspark.sql import functions as F
+
 from tallyweave import columns as C
-from tallyweave.operators.names import left_join_many, lookup_names
+from tallyweave.operators.joins import join_to_single, left_join_many
+from tallyweave.operators.names import lookup_names
 from tallyweave.plans.name_enrichment import enrich_by_name
 
 
@@ -49,3 +53,39 @@ def test_lookup_names(spark):
     )
     got = [tuple(r) for r in lookup_names(people, grants).collect()]
     assert got == [("ann", 4, ["t1", "t3", "t5"])]
+
+
+@pytest.mark.parametrize("how", ["left", "left_semi", "left_anti", "inner"])
+def test_hot_keys_are_split(spark, how):
+    """A key with most of the rows is spread over several tasks, on either side."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        hot = F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string"))
+        many = spark.range(0, 40000, 1, 8).select(hot.alias("k"), F.col("id").alias("v"))
+        few = spark.range(0, 600, 1, 8).select(
+            F.when(F.col("id") == 1, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"),
+            (F.col("id") * 2).alias("w"),
+        )
+        if how == "inner":
+            out = left_join_many(few, many, "k")
+        else:
+            out = join_to_single(many, few.groupBy("k").agg(F.max("w").alias("w")), ["k"], how)
+        rows = out.count()
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    expected = many.join(few, "k", "left" if how == "inner" else how).count()
+    if how == "inner":
+        expected = few.join(many, "k", "left").count()
+    assert rows == expected
+    assert "SortMergeJoin(skew=true)" in plan

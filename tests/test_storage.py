@@ -20,7 +20,7 @@ def test_csv(spark, tmp_path):
 
 def test_bad_csv_lines_are_kept_apart(spark, tmp_path):
     (tmp_path / "x.csv").write_text("t,n\na,1\nb,two\n")
-    schema = R.with_corrupt_column(T.StructType().add("t", "string").add("n", "int"))
+    schema = R.with_corrupt_column(T.StructType().add("t", T.StringType()).add("n", T.IntegerType()))
     good, bad = R.split_rejects(R.read_csv(spark, str(tmp_path / "x.csv"), schema).cache())
     assert [tuple(r) for r in good.collect()] == [("a", 1)]
     assert [r[0] for r in bad.collect()] == ["b,two"]
