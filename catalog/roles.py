@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyweave import columns as C
 from tallyweave.functions.text import grant_date
-from tallyweave.runtime import spread
+from tallyweave.runtime import cut, spread
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 
@@ -201,7 +201,10 @@ def _list(n, item):
 
 
 def scored_records(spark: SparkSession, d: str) -> DataFrame:
-    """One stored record per event; its document is JSON text, absent or odd for some."""
+    """One record per event; its document is JSON text, absent or odd for some.
+
+    Written first, as such records are read from a table.
+    """
     k = F.col("k")
     label = lambda kind, i: F.concat(F.lit(kind), "event_id", F.lit("-"), i.cast("string"))
     ip = _list(
@@ -246,7 +249,7 @@ def scored_records(spark: SparkSession, d: str) -> DataFrame:
         .when(part == 3, odd)
         .otherwise(whole)
     )
-    return coded_events(spark, d).select(
+    records = coded_events(spark, d).select(
         F.concat(F.lit("Researcher, "), F.col("user_id").cast("string")).alias("Name"),
         F.concat(F.lit("Project "), F.col("event_id").cast("string")).alias("Project_Title"),
         F.col("code").alias("Competition_CD"),
@@ -255,6 +258,7 @@ def scored_records(spark: SparkSession, d: str) -> DataFrame:
         "event_type",
         "k",
     )
+    return cut(records, "scored")
 
 
 CODED_EVENTS_SQL = """

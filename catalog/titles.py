@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import roles as R
 from tallyweave import columns as C
 from tallyweave.functions.text import loose_title, record_id, strict_title
-from tallyweave.operators.dedupe import duplicate_count, first_per_key, without_duplicates
+from tallyweave.operators.dedupe import digest, duplicate_count, first_per_key, without_duplicates
 from tallyweave.operators.fuzzy import best_edit_matches
 from tallyweave.operators.partial import partial_matches
 from tallyweave.operators.profile import sample_where
@@ -124,8 +124,10 @@ def partial(spark, d):
 
 def dedupe_titles(spark, d):
     """The document with the smallest id of every text."""
-    documents = R.table(spark, d, "documents").select("doc_id", "text", "source", "lang")
-    return first_per_key(documents, ["text"], [F.col("doc_id")]).select("doc_id", "source", "lang")
+    documents = R.table(spark, d, "documents").select(
+        "doc_id", "source", "lang", digest(F.col("text")).alias("text_digest")
+    )
+    return first_per_key(documents, ["text_digest"], [F.col("doc_id")]).drop("text_digest")
 
 
 def duplicates(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.text import TITLE_KEYS, usable_keys
-from tallyweave.operators.dedupe import first_per_key
+from tallyweave.operators.dedupe import digest, first_per_key
 from tallyweave.operators.joins import join_to_single
 
 
@@ -47,6 +47,7 @@ def stage_counts(df: DataFrame) -> DataFrame:
 
 
 def keep_known(df: DataFrame, original: DataFrame, identity: Column) -> DataFrame:
-    """Rows whose identity occurs in the original table."""
-    known = original.select(identity.alias("_id")).distinct()
-    return join_to_single(df.withColumn("_id", identity), known, ["_id"], "left_semi").drop("_id")
+    """Rows whose identity, a text, occurs in the original table."""
+    known = original.select(digest(identity).alias("_id")).distinct()
+    named = df.withColumn("_id", digest(identity))
+    return join_to_single(named, known, ["_id"], "left_semi").drop("_id")
