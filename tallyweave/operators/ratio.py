@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from tallyweave.functions.text import LENGTH_GAP, usable
 from tallyweave.runtime import cut
 
-# Grants of one length that one slice of the join holds, on average at most.
-SLICE = 5000
+# Titles, and grants of one length, that one cell of the join holds on average at most.
+SLICE = 1000
 
 # What normalised titles are made of; other characters share the last count.
 ALPHABET = " 0123456789abcdefghijklmnopqrstuvwxyz"
@@ -53,6 +53,16 @@ def letter_counts(text: Column) -> Column:
     return F.array(*known, F.length(F.translate(text, ALPHABET, "")))
 
 
+def _slices(df: DataFrame, rows: int, name: str) -> DataFrame:
+    return df.groupBy("grant_size").agg(
+        F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name)
+    )
+
+
+def _slice_of(text: str, slices: str) -> Column:
+    return F.pmod(F.xxhash64(text), F.col(slices)).cast("int")
+
+
 def best_ratio_matches(
     titles: DataFrame, grants: DataFrame, max_distance: int = 8, slice_rows: int = SLICE
 ) -> DataFrame:
@@ -76,24 +86,35 @@ def best_ratio_matches(
             "grant_id",
             F.col("title").alias("grant_title"),
             F.length("title").alias("grant_size"),
-            letter_counts(F.col("title")).alias("grant_letters"),
         ),
         "grants",
     )
-    # How many slices each length needs; there are only as many rows as lengths.
-    slices = (
-        known.groupBy("grant_size")
-        .agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices"))
-    )
-    right = known.join(slices, "grant_size").withColumn(
-        "slice", F.pmod(F.xxhash64("grant_title"), F.col("slices")).cast("int")
-    )
     lengths = F.sequence(F.col("size") - LENGTH_GAP, F.col("size") + LENGTH_GAP)
+    asked = wanted.withColumn("grant_size", F.explode(lengths))
+    # Per grant length, the slices of titles and of grants; as few rows as lengths.
+    slices = cut(
+        _slices(asked, slice_rows, "title_slices").join(
+            _slices(known, slice_rows, "grant_slices"), "grant_size"
+        ),
+        "slices",
+    )
+    cells = slices.agg(F.sum(F.col("title_slices") * F.col("grant_slices"))).first()[0] or 1
+    parts = max(cells, known.sparkSession.sparkContext.defaultParallelism)
+    cell = ["grant_size", "title_slice", "grant_slice"]
     left = (
-        wanted.withColumn("grant_size", F.explode(lengths))
-        .join(slices, "grant_size")
-        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        .drop("slices")
+        asked.join(slices, "grant_size")
+        .withColumn("title_slice", _slice_of("title", "title_slices"))
+        .withColumn("grant_slice", F.explode(F.sequence(F.lit(0), F.col("grant_slices") - 1)))
+        .drop("title_slices", "grant_slices")
+        .repartition(parts, *cell)
+    )
+    right = (
+        known.join(slices, "grant_size")
+        .withColumn("grant_letters", letter_counts(F.col("grant_title")))
+        .withColumn("grant_slice", _slice_of("grant_title", "grant_slices"))
+        .withColumn("title_slice", F.explode(F.sequence(F.lit(0), F.col("title_slices") - 1)))
+        .drop("title_slices", "grant_slices")
+        .repartition(parts, *cell)
     )
     shared = F.aggregate(
         F.zip_with("letters", "grant_letters", lambda x, y: F.least(x, y)),
@@ -103,7 +124,7 @@ def best_ratio_matches(
     least_ratio = 1 - (max_distance + 1) / 20
     possible = 2 * shared >= (F.col("size") + F.col("grant_size")) * F.lit(least_ratio - 1e-9)
     return (
-        left.join(right.drop("slices"), ["grant_size", "slice"])
+        left.join(right.hint("shuffle_hash"), cell)
         .where(possible)
         .select("title", "grant_id", "grant_title")
         .withColumn("distance", ratio_distance("title", "grant_title"))

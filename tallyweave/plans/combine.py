@@ -14,6 +14,9 @@ from tallyweave.operators.schema import align_by_name, stack
 from tallyweave.sources.readers import find_tables, read_folder, read_table, rejects_frame
 
 
+NO_NAME = "no name column"
+
+
 class Combined(NamedTuple):
     """Aligned rows (None if no source was usable) and the sources left out."""
 
@@ -25,24 +28,20 @@ def combine_frames(
     spark: SparkSession,
     frames: Mapping[str, DataFrame],
     targets: Iterable[str] = C.NAME_ENRICHMENT,
-    rejects: Iterable[tuple[str, str]] = (),
-    by_file: bool = False,
 ) -> Combined:
-    """Align every named frame and stack them; frames without a name column are reported."""
+    """Align every named table and stack them, with the fiscal year taken from the name.
+
+    Tables without a name column are reported.
+    """
     targets = tuple(targets)
-    left_out = list(rejects)
-    aligned = []
+    aligned, rejects = [], []
     for name, frame in frames.items():
-        if by_file:
-            year, keep = fiscal_year_of_file(F.lit(name.rsplit("/", 1)[-1])), ["Source_File"]
-        else:
-            year, keep = fiscal_year_of_table(F.lit(name)), []
-        part = align_by_name(frame, year, targets, keep)
+        part = align_by_name(frame, fiscal_year_of_table(F.lit(name)), targets)
         if part is None:
-            left_out.append((name, "no name column"))
+            rejects.append((name, NO_NAME))
         else:
             aligned.append(part)
-    return Combined(stack(aligned), rejects_frame(spark, left_out))
+    return Combined(stack(aligned), rejects_frame(spark, rejects))
 
 
 def combine_sources(
@@ -53,8 +52,17 @@ def combine_sources(
     targets: Iterable[str] = C.NAME_ENRICHMENT,
 ) -> Combined:
     """The yearly files of a folder, with the fiscal year taken from the file name."""
-    frames, rejects = read_folder(spark, folder, suffix, file_format)
-    return combine_frames(spark, frames, targets, rejects, by_file=True)
+    targets = tuple(targets)
+    groups, rejects = read_folder(spark, folder, suffix, file_format)
+    aligned = []
+    for paths, rows in groups:
+        year = fiscal_year_of_file(F.col("Source_File"))
+        part = align_by_name(rows, year, targets, ["Source_File"])
+        if part is None:
+            rejects.extend((path, NO_NAME) for path in paths)
+        else:
+            aligned.append(part)
+    return Combined(stack(aligned), rejects_frame(spark, rejects))
 
 
 def combine_tables(
@@ -72,5 +80,5 @@ def stack_folder(
     spark: SparkSession, folder: str, suffix: str = ".csv", file_format: str = "csv"
 ) -> Combined:
     """All columns of all files of a folder, with the file each row came from."""
-    frames, rejects = read_folder(spark, folder, suffix, file_format)
-    return Combined(stack(list(frames.values())), rejects_frame(spark, rejects))
+    groups, rejects = read_folder(spark, folder, suffix, file_format)
+    return Combined(stack([group.rows for group in groups]), rejects_frame(spark, rejects))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
@@ -55,34 +57,54 @@ def list_files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
     return sorted(unquote(path) for path in found.inputFiles())
 
 
-def read_file(spark: SparkSession, path: str, file_format: str) -> DataFrame:
-    """One file of a folder with its own columns. CSV columns are all text."""
+def read_files(
+    spark: SparkSession, paths: list[str], file_format: str, schema: T.StructType | None = None
+) -> DataFrame:
+    """Files of one shape as one scan. CSV columns are all text."""
     reader = spark.read.format(file_format)
     if file_format == "csv":
         reader = reader.option("header", True)
-    return reader.load(path)
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.load(paths)
+
+
+def file_schema(spark: SparkSession, path: str, file_format: str) -> T.StructType | str:
+    """The columns of one file from its header or footer, or why it has none."""
+    try:
+        schema = read_files(spark, [path], file_format).schema
+    except (PySparkException, Py4JJavaError) as error:
+        return f"unreadable: {type(error).__name__}"
+    return schema if schema.fields else "no columns"
+
+
+class FileGroup(NamedTuple):
+    """Files with the same columns, and their rows with ``Source_File``."""
+
+    paths: list[str]
+    rows: DataFrame
 
 
 def read_folder(
     spark: SparkSession, folder: str, suffix: str, file_format: str
-) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
-    """One frame per readable file by path, and (path, reason) for the others.
+) -> tuple[list[FileGroup], list[tuple[str, str]]]:
+    """The files of a folder, one scan per distinct set of columns, and (path, reason) of the rest.
 
-    Only headers or footers are read here. Each frame has ``Source_File``.
+    Only headers or footers are read here, several at a time.
     """
-    frames: dict[str, DataFrame] = {}
-    rejects: list[tuple[str, str]] = []
-    for path in list_files(spark, folder, suffix):
-        try:
-            frame = read_file(spark, path, file_format)
-        except (PySparkException, Py4JJavaError) as error:
-            rejects.append((path, f"unreadable: {type(error).__name__}"))
-            continue
-        if not frame.columns:
-            rejects.append((path, "no columns"))
-            continue
-        frames[path] = with_source_file(frame)
-    return frames, rejects
+    paths = list_files(spark, folder, suffix)
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        schemas = list(pool.map(lambda path: file_schema(spark, path, file_format), paths))
+    rejects = [(path, found) for path, found in zip(paths, schemas) if isinstance(found, str)]
+    alike: dict[str, tuple[T.StructType, list[str]]] = {}
+    for path, found in zip(paths, schemas):
+        if not isinstance(found, str):
+            alike.setdefault(found.json(), (found, []))[1].append(path)
+    groups = [
+        FileGroup(members, with_source_file(read_files(spark, members, file_format, schema)))
+        for schema, members in alike.values()
+    ]
+    return groups, rejects
 
 
 def find_tables(spark: SparkSession, pattern: str, database: str | None = None) -> list[str]:
