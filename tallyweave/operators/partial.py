@@ -25,25 +25,24 @@ def _title_words(df: DataFrame, key: str, min_length: int) -> DataFrame:
     return df.select(key, F.explode(found).alias("word"))
 
 
-def _contained(inner: DataFrame, outer: DataFrame, min_length: int) -> DataFrame:
+def _contained(
+    inner: DataFrame, outer: DataFrame, min_length: int, many_outer: bool
+) -> DataFrame:
     """(``inner``, ``outer``) for every inner word that lies inside an outer word.
 
-    A pair comes twice if the word lies there twice.
+    A pair comes twice if the word lies there twice. With many outer words only
+    the places where some inner word may begin are followed up.
     """
     starts = F.sequence(F.lit(1), F.length("outer") - min_length + 1)
-    pieces = (
-        outer.withColumn("_from", F.explode(starts))
-        .withColumn(
-            "_size",
-            F.explode(
-                F.sequence(
-                    F.lit(min_length),
-                    F.least(F.lit(HEAD), F.length("outer") - F.col("_from") + 1),
-                )
-            ),
-        )
-        .select("outer", F.substring("outer", F.col("_from"), F.col("_size")).alias("_head"))
-    )
+    places = outer.withColumn("_from", F.explode(starts))
+    if many_outer:
+        beginnings = inner.select(F.substring("inner", 1, min_length).alias("_begin")).distinct()
+        begin = F.substring(F.col("outer"), F.col("_from"), F.lit(min_length))
+        places = places.withColumn("_begin", begin).join(beginnings, "_begin", "left_semi")
+    longest = F.least(F.lit(HEAD), F.length("outer") - F.col("_from") + 1)
+    pieces = places.withColumn(
+        "_size", F.explode(F.sequence(F.lit(min_length), longest))
+    ).select("outer", F.substring("outer", F.col("_from"), F.col("_size")).alias("_head"))
     heads = inner.withColumn("_head", F.substring("inner", 1, HEAD))
     return (
         heads.join(pieces, "_head")
@@ -76,11 +75,13 @@ def partial_matches(
         asked.select(F.col("word").alias("inner")),
         known.select(F.col("word").alias("outer")),
         min_length,
+        many_outer=True,
     ).select(F.col("inner").alias("asked"), F.col("outer").alias("word"))
     in_title = _contained(
         known.select(F.col("word").alias("inner")),
         asked.select(F.col("word").alias("outer")),
         min_length,
+        many_outer=False,
     ).select(F.col("outer").alias("asked"), F.col("inner").alias("word"))
 
     # 1 sorts before 2: the order in which one grant gives its two kinds.
