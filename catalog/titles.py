@@ -245,7 +245,11 @@ QUERIES = {
             FROM ({_WORDS} FROM (SELECT {R.loose_sql('text')} AS k FROM documents))
             WHERE length(word) > 3 GROUP BY word ORDER BY occurrences DESC, word LIMIT 10""",
     ),
-    "q_unmatched_sample": (unmatched_sample, None),
+    "q_unmatched_sample": (
+        unmatched_sample,
+        f"""SELECT outcome_id, "Project_Title" FROM ({_UNMATCHED})
+            ORDER BY md5(outcome_id::VARCHAR || ':0'), outcome_id LIMIT 5""",
+    ),
     "q_partial": (
         partial,
         f"""WITH {_EDGES},

@@ -46,8 +46,12 @@ def best_edit_matches(
         .withColumn("tid", F.md5("title")),
         "titles",
     )
+    shortest, longest = wanted.agg(F.min(F.length("title")), F.max(F.length("title"))).first()
+    if shortest is None:
+        shortest = longest = 0
+    in_reach = F.length("title").between(shortest - max_distance, longest + max_distance)
     known = cut(
-        grants.where(usable(F.col("title")))
+        grants.where(usable(F.col("title")) & in_reach)
         .groupBy("title")
         .agg(F.min("grant_id").alias("grant_id"))
         .withColumn("gid", F.md5("title")),

@@ -24,6 +24,9 @@ from tallyweave.runtime import cut
 # Titles, and grants of one length, that one cell of the join holds on average at most.
 SLICE = 1000
 
+# Above this many cells several of them share a task.
+MOST_TASKS = 50_000
+
 # What normalised titles are made of; other characters share the last count.
 ALPHABET = " 0123456789abcdefghijklmnopqrstuvwxyz"
 
@@ -99,7 +102,8 @@ def best_ratio_matches(
         "slices",
     )
     cells = slices.agg(F.sum(F.col("title_slices") * F.col("grant_slices"))).first()[0] or 1
-    parts = max(cells, known.sparkSession.sparkContext.defaultParallelism)
+    cores = known.sparkSession.sparkContext.defaultParallelism
+    parts = max(min(cells, MOST_TASKS), cores)
     cell = ["grant_size", "title_slice", "grant_slice"]
     left = (
         asked.join(slices, "grant_size")

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# At 128 MiB a piece this is some 8 GiB, the most that is ever dealt out.
+SMALL_SCAN = 64
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as named by ``spark.checkpoint.dir``.
@@ -36,9 +39,10 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a scan that has fewer pieces than the session has cores.
+    """Deal out the rows of a small scan that has fewer pieces than the session has cores.
 
-    A large table is read in far more pieces than that and is left as it is.
+    A scan of more pieces than ``SMALL_SCAN`` is left as it is, whatever the cores.
     """
+    pieces = df.rdd.getNumPartitions()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if pieces < min(cores, SMALL_SCAN) else df

@@ -47,7 +47,7 @@ def found(matches):
     return {r.title: (r.distance, r.grant_id) for r in rows}
 
 
-@pytest.mark.parametrize("limit, hot_key", [(5, 1000), (5, 25), (3, 6), (2, 2), (1, 1)])
+@pytest.mark.parametrize("limit, hot_key", [(5, 1000), (4, 12), (2, 2)])
 def test_same_as_brute_force(spark, limit, hot_key):
     rng = random.Random(limit * 100 + hot_key)
     letters = "abcd é"
