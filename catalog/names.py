@@ -58,9 +58,11 @@ def folder_union(spark, d):
 
 
 def folder_rejects(spark, d):
-    """The given files that have none."""
+    """The given files that have none, with the rows left out for it."""
     rejects = combine_sources(spark, d, ".parquet", "parquet").rejects
-    return rejects.select(F.substring_index("source", "/", -1).alias("source"), "reason")
+    return rejects.select(
+        F.substring_index("source", "/", -1).alias("Source_File"), "reason"
+    ).join(folder_stack(spark, d).select("Source_File", "rows"), "Source_File")
 
 
 def folder_stack(spark, d):
@@ -136,7 +138,8 @@ QUERIES = {
     "q_folder_rejects": (
         folder_rejects,
         " UNION ALL ".join(
-            f"SELECT '{t}.parquet' AS source, 'no name column' AS reason"
+            f"SELECT '{t}.parquet' AS \"Source_File\", 'no name column' AS reason, "
+            f"count(*) AS rows FROM {t}"
             for t in _all
             if t not in _named
         ),

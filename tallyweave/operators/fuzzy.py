@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.text import usable
+from tallyweave.operators.joins import join_to_single
 from tallyweave.runtime import cut
 
 # Grants one key may lead to before the key counts as hot.
@@ -72,10 +73,13 @@ def best_edit_matches(
         max_distance,
     )
     open_titles = wanted.join(dense, "tid", "left_semi")
+    dense_keys = title_keys.join(dense, "tid", "left_semi").select("key").distinct()
+    around = join_to_single(grant_keys, dense_keys, ["key"], "left_semi").select("gid").distinct()
+    near = cut(known.join(around, "gid", "left_semi"), "near-grants")
     results = [light]
     for distance in range(1, max_distance + 1):
-        pairs = _refined_pairs(open_titles, known, distance, hot_key)
-        nearest = cut(_verified(pairs, open_titles, known, distance), f"within-{distance}")
+        pairs = _refined_pairs(open_titles, near, distance, hot_key)
+        nearest = cut(_verified(pairs, open_titles, near, distance), f"within-{distance}")
         results.append(nearest)
         open_titles = cut(open_titles.join(nearest, "title", "left_anti"), "open")
         if open_titles.isEmpty():
