@@ -16,6 +16,7 @@ from tallyweave.operators.titles import (
     keep_known,
     one_per_title,
     stage_counts,
+    title_keys,
     unmatched_keys,
     with_title_key,
     with_usable_key,
@@ -50,14 +51,15 @@ def title_exact(spark, d):
 
 
 def title_unmatched(spark, d):
-    return unmatched_keys(*_keyed(spark, d))
+    outcomes, grants = _keyed(spark, d)
+    return unmatched_keys(title_keys(outcomes), grants)
 
 
 def _open_titles(spark, d):
     outcomes, grants = _keyed(spark, d)
     grants = cut(grants.select("title_key", "grant_id"), "known")
     return (
-        unmatched_keys(outcomes, grants).withColumnRenamed("title_key", "title"),
+        unmatched_keys(title_keys(outcomes), grants).withColumnRenamed("title_key", "title"),
         grants.select(F.col("title_key").alias("title"), "grant_id"),
     )
 

@@ -31,14 +31,14 @@ def exact_winners(grants: DataFrame) -> DataFrame:
     return first_per_key(grants, ["title_key"], [F.desc("grant_id")])
 
 
-def unmatched_keys(outcomes: DataFrame, grants: DataFrame) -> DataFrame:
-    """Distinct keys of outcomes that no grant has."""
-    return (
-        outcomes.where(F.col("title_key").isNotNull())
-        .select("title_key")
-        .distinct()
-        .join(grants.select("title_key").distinct(), "title_key", "left_anti")
-    )
+def title_keys(outcomes: DataFrame) -> DataFrame:
+    """Distinct keys of outcomes."""
+    return outcomes.where(F.col("title_key").isNotNull()).select("title_key").distinct()
+
+
+def unmatched_keys(keys: DataFrame, grants: DataFrame) -> DataFrame:
+    """Keys of outcomes that no grant has."""
+    return keys.join(grants.select("title_key").distinct(), "title_key", "left_anti")
 
 
 def stage_counts(df: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from tallyweave.operators.schema import available_enrichment, require_columns, t
 from tallyweave.operators.titles import (
     exact_winners,
     one_per_title,
+    title_keys,
     unmatched_keys,
     with_title_key,
     with_usable_key,
@@ -65,9 +66,13 @@ def enrich_by_title(
         ),
         "known",
     )
-    exact = exact_winners(known) if mode == "one" else known
+    asked = cut(title_keys(keyed), "asked")
+    exact = known
+    if mode == "one":
+        # Winners lie by key already, so the others are left out without a shuffle.
+        exact = exact_winners(known).join(asked, "title_key", "left_semi")
     nearest = MEASURES[measure](
-        unmatched_keys(keyed, known).withColumnRenamed("title_key", "title"),
+        unmatched_keys(asked, known).withColumnRenamed("title_key", "title"),
         known.select(F.col("title_key").alias("title"), "grant_id"),
         THRESHOLDS[measure] if max_distance is None else max_distance,
     )
