@@ -201,7 +201,7 @@ def _list(n, item):
 
 
 def scored_records(spark: SparkSession, d: str) -> DataFrame:
-    """One record per event; its document is JSON text, absent or odd for some.
+    """One record per event; its document is JSON text, absent, odd or broken for some.
 
     Written first, as such records are read from a table.
     """
@@ -247,6 +247,7 @@ def scored_records(spark: SparkSession, d: str) -> DataFrame:
         .when(part == 1, F.lit("{}"))
         .when(part == 2, F.lit(None))
         .when(part == 3, odd)
+        .when(part == 4, F.lit('{"level1_ip": [{}'))
         .otherwise(whole)
     )
     records = coded_events(spark, d).select(
@@ -272,10 +273,10 @@ CODED_EVENTS_SQL = """
 # The counts follow from k; the documents themselves are not needed.
 SCORED_SQL = f"""
   SELECT *, 'Researcher, ' || user_id AS "Name", 'Project ' || event_id AS "Project_Title",
-         CASE WHEN k % 11 > 3 THEN k % 4 ELSE 0 END AS n1,
-         CASE WHEN k % 11 > 2 THEN k % 3 ELSE 0 END AS n2,
-         CASE WHEN k % 11 > 3 THEN k % 2 ELSE 0 END AS n5,
-         CASE WHEN k % 11 > 3 THEN event_type END AS institute,
+         CASE WHEN k % 11 > 4 THEN k % 4 ELSE 0 END AS n1,
+         CASE WHEN k % 11 = 3 OR k % 11 > 4 THEN k % 3 ELSE 0 END AS n2,
+         CASE WHEN k % 11 > 4 THEN k % 2 ELSE 0 END AS n5,
+         CASE WHEN k % 11 > 4 THEN event_type END AS institute,
          (k // 4) % 3 AS n3, (k // 12) % 2 AS n4
   FROM ({CODED_EVENTS_SQL})
 """

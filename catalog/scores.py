@@ -17,6 +17,7 @@ from tallyweave.plans.scoring import (
     score_outcomes,
     score_updates,
     stored_items,
+    unreadable_outcomes,
     upsert_scores,
 )
 from tallyweave.runtime import scratch_dir
@@ -89,6 +90,10 @@ def json_counts(spark, d):
     )
 
 
+def unreadable(spark, d):
+    return unreadable_outcomes(R.scored_records(spark, d)).select("event_id", "outcome_data")
+
+
 def outcomes_of_name(spark, d):
     """The first records of one researcher."""
     return read_outcomes(R.scored_records(spark, d), "Researcher, 7", 10).select(
@@ -199,7 +204,7 @@ def _highest(pairs) -> str:
 
 _RECORD = """'Researcher, ' || user_id AS researcher, 'Project ' || event_id AS project, grant_date,
   institute AS primary_institute"""
-_COMPANIES = """CASE WHEN k % 11 > 2 THEN coalesce((SELECT string_agg('Company ' || event_id || '-' || i, ', ' ORDER BY i)
+_COMPANIES = """CASE WHEN k % 11 = 3 OR k % 11 > 4 THEN coalesce((SELECT string_agg('Company ' || event_id || '-' || i, ', ' ORDER BY i)
   FROM range(1, n2 + 1) t(i)), '') END AS companies_analyzed"""
 _HAS = "k % 11 > 2"
 
@@ -238,6 +243,11 @@ QUERIES = {
         f"""SELECT event_id, institute AS primary_institute, n1 AS ip_count, n2 AS companies_count,
               n5 AS exits_count FROM ({R.SCORED_SQL}) WHERE {_HAS}""",
     ),
+    "q_unreadable": (
+        unreadable,
+        """SELECT event_id, '{"level1_ip": [{}' AS outcome_data FROM events
+           WHERE CAST(props->>'$.k' AS INT) % 11 = 4""",
+    ),
     "q_outcomes_of_name": (
         outcomes_of_name,
         f"""SELECT "Name", "Project_Title", code AS "Competition_CD", n1 AS ip_count

@@ -151,6 +151,12 @@ def read_outcomes(
     )
 
 
+def unreadable_outcomes(stored: DataFrame) -> DataFrame:
+    """Stored records whose document is not JSON, to be reported beside the scores."""
+    held = stored.where(L.has_payload(F.col("outcome_data")))
+    return held.where(L.parsed(F.col("outcome_data")).isNull())
+
+
 def stored_items(stored: DataFrame, name: str | None = None) -> DataFrame:
     """One row per item listed in the stored documents."""
     held = stored.where(L.has_payload(F.col("outcome_data")))

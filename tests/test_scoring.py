@@ -12,6 +12,7 @@ from tallyweave.plans.scoring import (
     score_outcomes,
     score_updates,
     stored_items,
+    unreadable_outcomes,
     upsert_scores,
 )
 
@@ -121,6 +122,11 @@ def test_read_outcomes(spark):
     assert read_outcomes(table, "Doe, Jane", 1).count() == 1
 
 
+def test_unreadable(spark):
+    table = stored(spark, DOC, None, "{}", "{broken", "[1")
+    assert sorted(r.outcome_data for r in unreadable_outcomes(table).collect()) == ["[1", "{broken"]
+
+
 def test_upsert(spark):
     table = stored(spark, "{}", "{}", "{}").withColumns(
         {c: F.lit(0) for c in ("level_1_score", "level_2_score", "level_5_score", "total_score")}
