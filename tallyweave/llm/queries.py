@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweave.llm import packing
+from tallyweave.llm import encoding, packing
 
 
 def _table(spark, d, name):
@@ -23,4 +23,17 @@ def op1_packing(spark, d):
     return packing_digests(packing.pack(_table(spark, d, "documents")))
 
 
-QUERIES = {"op1_packing": (op1_packing, None)}
+def op4_encoding(spark, d):
+    decoded = encoding.decode(encoding.encode(_table(spark, d, "documents")))
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {
+    "op1_packing": (op1_packing, None),
+    "op4_encoding": (op4_encoding, None),
+}
