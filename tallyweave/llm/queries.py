@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweave.llm import encoding, packing
+from tallyweave.llm import encoding, packing, secret_scan
 
 
 def _table(spark, d, name):
@@ -33,7 +33,25 @@ def op4_encoding(spark, d):
     )
 
 
+def op8_secrets(spark, d):
+    found = secret_scan.scan(_table(spark, d, "documents"))
+
+    def count(kind):
+        same = F.filter("base", lambda s: s["kind"] == kind)
+        return F.size(same).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "row.doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op4_encoding": (op4_encoding, None),
+    "op8_secrets": (op8_secrets, None),
 }
