@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweave.llm import encoding, packing, secret_scan
+from tallyweave.llm import encoding, packing, quality, secret_scan
+from tallyweave.llm.labels import fold
 
 
 def _table(spark, d, name):
@@ -23,6 +24,17 @@ def op1_packing(spark, d):
     return packing_digests(packing.pack(_table(spark, d, "documents")))
 
 
+def op2_quality(spark, d):
+    documents = _table(spark, d, "documents")
+    model = quality.fit(documents, _table(spark, d, "labels"))
+    scored = documents.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        model.score(F.col("text")).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op4_encoding(spark, d):
     decoded = encoding.decode(encoding.encode(_table(spark, d, "documents")))
     return decoded.select(
@@ -52,6 +64,7 @@ def op8_secrets(spark, d):
 
 QUERIES = {
     "op1_packing": (op1_packing, None),
+    "op2_quality": (op2_quality, None),
     "op4_encoding": (op4_encoding, None),
     "op8_secrets": (op8_secrets, None),
 }
