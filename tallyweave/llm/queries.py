@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweave.llm import encoding, packing, quality, secret_scan
+from tallyweave.llm import encoding, packing, quality, secret_scan, toxicity
 from tallyweave.llm.labels import fold
 
 
@@ -45,6 +45,15 @@ def op4_encoding(spark, d):
     )
 
 
+def op6_toxicity(spark, d):
+    documents = _table(spark, d, "documents")
+    model = toxicity.fit(documents, _table(spark, d, "labels"))
+    scored = model.score(documents.select("doc_id", "text")).select(
+        "row.doc_id", (fold(F.col("row.doc_id"), 4) == 2).alias("held_out"), "score"
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op8_secrets(spark, d):
     found = secret_scan.scan(_table(spark, d, "documents"))
 
@@ -66,5 +75,6 @@ QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_quality": (op2_quality, None),
     "op4_encoding": (op4_encoding, None),
+    "op6_toxicity": (op6_toxicity, None),
     "op8_secrets": (op8_secrets, None),
 }
