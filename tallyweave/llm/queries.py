@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweave.llm import encoding, packing, quality, secret_scan, toxicity
+from tallyweave.llm import encoding, fingerprints, packing, quality, secret_scan, toxicity
 from tallyweave.llm.labels import fold
 
 
@@ -35,6 +35,10 @@ def op2_quality(spark, d):
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op3_fingerprints(spark, d):
+    return fingerprints.beside_next(_table(spark, d, "documents"))
+
+
 def op4_encoding(spark, d):
     decoded = encoding.decode(encoding.encode(_table(spark, d, "documents")))
     return decoded.select(
@@ -74,6 +78,7 @@ def op8_secrets(spark, d):
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_quality": (op2_quality, None),
+    "op3_fingerprints": (op3_fingerprints, None),
     "op4_encoding": (op4_encoding, None),
     "op6_toxicity": (op6_toxicity, None),
     "op8_secrets": (op8_secrets, None),
