@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweave.llm import encoding, fingerprints, packing, quality, secret_scan, toxicity
+from tallyweave.llm import encoding, fingerprints, packing, quality, secret_scan, toxicity, url_filter
 from tallyweave.llm.labels import fold
 
 
@@ -75,6 +75,11 @@ def op8_secrets(spark, d):
     )
 
 
+def op9_url_filter(spark, d):
+    pages = _table(spark, d, "pages")
+    return url_filter.judge(pages, url_filter.mine(pages, _table(spark, d, "labels")))
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_quality": (op2_quality, None),
@@ -82,4 +87,5 @@ QUERIES = {
     "op4_encoding": (op4_encoding, None),
     "op6_toxicity": (op6_toxicity, None),
     "op8_secrets": (op8_secrets, None),
+    "op9_url_filter": (op9_url_filter, None),
 }
