@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweave.llm import encoding, fingerprints, packing, quality, secret_scan, toxicity, url_filter
+from tallyweave.llm import encoding, fingerprints, neighbours, packing, quality, secret_scan, toxicity, url_filter
 from tallyweave.llm.labels import fold
 
 
@@ -49,6 +49,11 @@ def op4_encoding(spark, d):
     )
 
 
+def op5_neighbours(spark, d):
+    vectors = _table(spark, d, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op6_toxicity(spark, d):
     documents = _table(spark, d, "documents")
     model = toxicity.fit(documents, _table(spark, d, "labels"))
@@ -85,6 +90,7 @@ QUERIES = {
     "op2_quality": (op2_quality, None),
     "op3_fingerprints": (op3_fingerprints, None),
     "op4_encoding": (op4_encoding, None),
+    "op5_neighbours": (op5_neighbours, None),
     "op6_toxicity": (op6_toxicity, None),
     "op8_secrets": (op8_secrets, None),
     "op9_url_filter": (op9_url_filter, None),
