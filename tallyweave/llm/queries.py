@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweave.llm import encoding, fingerprints, neighbours, packing, quality, secret_scan, toxicity, url_filter
+from tallyweave.llm import encoding, fingerprints, neighbours, ngram_join, packing, quality, secret_scan, toxicity, url_filter
 from tallyweave.llm.labels import fold
 
 
@@ -85,6 +85,10 @@ def op9_url_filter(spark, d):
     return url_filter.judge(pages, url_filter.mine(pages, _table(spark, d, "labels")))
 
 
+def op10_ngram_join(spark, d):
+    return ngram_join.join(_table(spark, d, "documents"), words=3, percent=90)
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_quality": (op2_quality, None),
@@ -94,4 +98,5 @@ QUERIES = {
     "op6_toxicity": (op6_toxicity, None),
     "op8_secrets": (op8_secrets, None),
     "op9_url_filter": (op9_url_filter, None),
+    "op10_ngram_join": (op10_ngram_join, None),
 }
