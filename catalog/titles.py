@@ -11,7 +11,6 @@ from tallyweave.operators.dedupe import digest, duplicate_count, first_per_key,
 from tallyweave.operators.fuzzy import best_edit_matches
 from tallyweave.operators.partial import partial_matches
 from tallyweave.operators.profile import sample_where
-from tallyweave.operators.ratio import best_ratio_matches
 from tallyweave.operators.titles import (
     keep_known,
     one_per_title,
@@ -68,10 +67,6 @@ def title_fuzzy(spark, d):
     return best_edit_matches(*_open_titles(spark, d))
 
 
-def ratio_match(spark, d):
-    return best_ratio_matches(*_open_titles(spark, d))
-
-
 def title_enrich(spark, d):
     return enrich_by_title(R.page_outcomes(spark, d), R.line_grants(spark, d))
 
@@ -209,7 +204,6 @@ QUERIES = {
         title_fuzzy,
         f"WITH {_EDGES}, {_fuzzy_sql(5)} SELECT k AS title, grant_id, gk AS grant_title, distance FROM f",
     ),
-    "q_ratio_match": (ratio_match, None),
     "q_title_enrich": (title_enrich, _ONE),
     "q_title_enrich_all": (title_enrich_all, _ALL),
     "q_stage_counts": (

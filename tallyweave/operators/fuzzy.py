@@ -4,41 +4,47 @@ Cut a string into k + 1 segments: whoever is within k edits of it contains one
 segment unchanged, shifted by at most k (Li, Deng, Wang, Feng: Pass-Join,
 PVLDB 2011). Segments are hashed and the candidates come from an equi-join.
 
-A segment may be shared by a large part of all grants. Such a hot key is never
-joined. The rest of the string, left and right of the shared segment, must still
-be within k edits, so it is cut into k + 1 segments in turn and the key grows by
-one of those, again and again until the key is selective or the string is used
-up. Titles that met a hot key are matched at distance 1 first, then 2 and so on,
-so that a dense cluster of near-copies is left at the nearest one instead of
-listing every pair within k. Both steps are exact; nothing is capped or sampled.
+A key is weighed by the pairs it would list, its titles times its grants. Titles
+that met a heavy key are matched at distance 1 first, then 2 and 3, so that a
+dense cluster of near-copies is left at the nearest one. There a heavy key grows:
+the rest of the string, left and right of the shared segment, must still be
+within k edits, so it is cut into k + 1 segments in turn and the key takes in one
+of those, ``GROWTHS`` times at most. What is heavy even then, and the titles
+still open after the last distance, are compared in slices, of which only the
+best grant per title leaves. Every step is exact; nothing is capped or sampled.
+
+Costs are bounded: a key lists ``HEAVY`` pairs at most; a grant has
+(k + 1) keys at first, (d + 1) ** (GROWTHS + 1) at most at a nearer distance d;
+a comparison in slices costs the titles concerned times their grants.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.text import usable
-from tallyweave.operators.joins import join_to_single
 from tallyweave.runtime import cut
 
-# Grants one key may lead to before the key counts as hot.
-HOT_KEY = 1000
+# Pairs a key may list, how often a heavy key grows, and the distances tried first.
+HEAVY, GROWTHS, NEAREST = 1_000_000, 2, 3
 
-# Hot keys are broadcast only up to this many (8 bytes each), else joined.
-BROADCAST_KEYS = 500_000
+# Grants that are compared with a title at a time.
+SLICE = 256
 
 
 def best_edit_matches(
-    titles: DataFrame, grants: DataFrame, max_distance: int = 5, hot_key: int = HOT_KEY
+    titles: DataFrame, grants: DataFrame, max_distance: int = 5, heavy: int = HEAVY
 ) -> DataFrame:
     """``title``, ``grant_id``, ``grant_title``, ``distance`` of every title's best grant.
 
     ``titles`` has ``title``; ``grants`` has ``title`` and ``grant_id``; both
     titles are normalised. The best grant has the smallest distance, then the
     smallest id. Titles without a grant within ``max_distance`` are left out, and
-    NULL or blank titles never match. Runs jobs: the texts and the hot keys are
-    written to the shared folder.
+    NULL or blank titles never match. Runs jobs: the distinct titles and the keys
+    that titles and grants share are written to the shared folder.
     """
     wanted = cut(
         titles.where(usable(F.col("title")))
@@ -53,81 +59,85 @@ def best_edit_matches(
     in_reach = F.length("title").between(shortest - max_distance, longest + max_distance)
     known = cut(
         grants.where(usable(F.col("title")) & in_reach)
-        .groupBy("title")
-        .agg(F.min("grant_id").alias("grant_id"))
-        .withColumn("gid", F.md5("title")),
+        .groupBy(F.md5("title").alias("gid"))
+        .agg(F.min("grant_id").alias("grant_id"), F.first("title").alias("title")),
         "grants",
     )
 
-    grant_keys = _split_grants(_seed_grants(known), max_distance)
     title_keys = _split_titles(_seed_titles(wanted, max_distance), max_distance)
-    hot, n_hot = _hot_keys(grant_keys, title_keys, hot_key)
-    if n_hot == 0:
-        return _verified(_pairs(title_keys, grant_keys), wanted, known, max_distance)
-
-    dense = cut(_only(title_keys, hot, n_hot, "left_semi").select("tid").distinct(), "dense")
-    light = _verified(
-        _pairs(title_keys.join(dense, "tid", "left_anti"), grant_keys),
-        wanted,
-        known,
-        max_distance,
+    shared = _shared_keys(title_keys, _split_grants(_seed_grants(known), max_distance))
+    dense = cut(
+        title_keys.join(_heavy_keys(shared, heavy), "key", "left_semi").select("tid").distinct(),
+        "dense",
+    )
+    light_keys = title_keys.join(dense, "tid", "left_anti")
+    results = [_verified(_pairs(light_keys, shared), wanted, known, max_distance)]
+    if dense.take(1):
+        open_titles = cut(wanted.join(dense, "tid", "left_semi"), "open")
+        asked = title_keys.join(dense, "tid", "left_semi").select("key").distinct()
+        around = shared.join(asked, "key", "left_semi").select("gid").distinct()
+        near = cut(known.join(around, "gid", "left_semi"), "near-grants")
+        for distance in range(1, min(NEAREST, max_distance) + 1):
+            nearest = cut(_refined(open_titles, near, distance, heavy), f"within-{distance}")
+            results.append(nearest)
+            open_titles = cut(open_titles.join(nearest, "tid", "left_anti"), "open")
+        if max_distance > NEAREST:
+            results.append(_compared(open_titles, near, max_distance))
+    best = reduce(DataFrame.unionByName, results)
+    return (
+        best.join(wanted, "tid")
+        .join(known.select("gid", F.col("title").alias("grant_title")), "gid")
+        .select("title", "grant_id", "grant_title", "distance")
     )
-    open_titles = wanted.join(dense, "tid", "left_semi")
-    dense_keys = title_keys.join(dense, "tid", "left_semi").select("key").distinct()
-    around = join_to_single(grant_keys, dense_keys, ["key"], "left_semi").select("gid").distinct()
-    near = cut(known.join(around, "gid", "left_semi"), "near-grants")
-    results = [light]
-    for distance in range(1, max_distance + 1):
-        pairs = _refined_pairs(open_titles, near, distance, hot_key)
-        nearest = cut(_verified(pairs, open_titles, near, distance), f"within-{distance}")
-        results.append(nearest)
-        open_titles = cut(open_titles.join(nearest, "title", "left_anti"), "open")
-        if open_titles.isEmpty():
-            break
-    whole = results[0]
-    for part in results[1:]:
-        whole = whole.unionByName(part)
-    return whole
 
 
-def _refined_pairs(titles: DataFrame, grants: DataFrame, k: int, hot_key: int) -> DataFrame:
-    """Candidate pairs at distance ``k``, hot keys lengthened until they are not."""
-    title_parts, grant_parts = _seed_titles(titles, k), _seed_grants(grants)
-    found = None
-    while True:
-        grant_keys = _split_grants(grant_parts, k)
-        title_keys = _split_titles(title_parts, k)
-        hot, n_hot = _hot_keys(grant_keys.where(F.col("rest") > k), title_keys, hot_key)
-        cold_pairs = _pairs(
-            _only(title_keys, hot, n_hot, "left_anti"), _only(grant_keys, hot, n_hot, "left_anti")
-        )
-        found = cold_pairs if found is None else found.unionByName(cold_pairs)
-        if n_hot == 0:
-            return found
-        title_hot = cut(
-            _only(title_keys, hot, n_hot, "left_semi").select("tid", "key", "gaps"), "title-keys"
-        )
-        grant_hot = cut(
-            _only(grant_keys, hot, n_hot, "left_semi").select("gid", "key", "gaps"), "grant-keys"
-        )
-        title_parts = title_hot.join(titles.select("tid", "title"), "tid")
-        grant_parts = grant_hot.join(grants.select("gid", "title"), "gid")
+def _shared_keys(title_keys: DataFrame, grant_keys: DataFrame) -> DataFrame:
+    """The grants' keys that some title asks for, written once, with the number of its titles."""
+    asked = cut(title_keys.groupBy("key").agg(F.count(F.lit(1)).alias("asked")), "asked-keys")
+    return cut(grant_keys.join(asked, "key"), "grant-keys")
 
 
-def _hot_keys(grant_keys: DataFrame, title_keys: DataFrame, hot_key: int) -> tuple[DataFrame, int]:
-    """Keys that many grants share and some title asks for, and how many there are."""
-    counts = grant_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    shared = cut(counts.where(F.col("n") > hot_key).select("key"), "shared-keys")
-    if shared.isEmpty():
-        return shared, 0
-    hot = cut(shared.join(title_keys.select("key"), "key", "left_semi"), "hot-keys")
-    return hot, hot.count()
+def _heavy_keys(shared: DataFrame, heavy: int) -> DataFrame:
+    """Keys that would list more than ``heavy`` pairs."""
+    weighed = shared.groupBy("key").agg(F.sum("asked").alias("pairs"))
+    return cut(weighed.where(F.col("pairs") > heavy).select("key"), "heavy-keys")
 
 
-def _only(keys: DataFrame, hot: DataFrame, n_hot: int, how: str) -> DataFrame:
-    if n_hot == 0:
-        return keys
-    return keys.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "key", how)
+def _refined(titles: DataFrame, grants: DataFrame, k: int, heavy: int) -> DataFrame:
+    """The best grant at distance ``k`` at most, heavy keys grown and then compared in slices."""
+    title_parts, grant_parts = _seed_titles(titles, k), _seed_grants(grants)
+    found = []
+    for growth in range(GROWTHS + 1):
+        title_keys = cut(_split_titles(title_parts, k), "title-keys")
+        shared = _shared_keys(title_keys, _split_grants(grant_parts, k))
+        hot = _heavy_keys(shared, heavy)
+        listed = _pairs(
+            title_keys.join(hot, "key", "left_anti"), shared.join(hot, "key", "left_anti")
+        )
+        found.append(_verified(listed, titles, grants, k))
+        if not hot.take(1):
+            break
+        # a key that has used up the string cannot grow
+        may_grow = (F.col("rest") > k) if growth < GROWTHS else F.lit(False)
+        title_hot = title_keys.join(hot, "key", "left_semi")
+        grant_hot = shared.join(hot, "key", "left_semi")
+        found.append(
+            _compared(
+                title_hot.where(~may_grow).select("key", "tid").distinct().join(titles, "tid"),
+                grant_hot.where(~may_grow).select("key", "gid").distinct().join(grants, "gid"),
+                k,
+                by="key",
+            )
+        )
+        if growth == GROWTHS:
+            break
+        title_parts = title_hot.where(may_grow).select("tid", "key", "gaps").join(
+            titles.select("tid", "title"), "tid"
+        )
+        grant_parts = grant_hot.where(may_grow).select("gid", "key", "gaps").join(
+            grants.select("gid", "title"), "gid"
+        )
+    return _best(reduce(DataFrame.unionByName, found))
 
 
 def _pairs(title_keys: DataFrame, grant_keys: DataFrame) -> DataFrame:
@@ -136,20 +146,59 @@ def _pairs(title_keys: DataFrame, grant_keys: DataFrame) -> DataFrame:
     )
 
 
+def _best(found: DataFrame) -> DataFrame:
+    """One row per title: the smallest distance, then the smallest grant id."""
+    best = F.min(F.struct("distance", "grant_id", "gid")).alias("best")
+    return found.groupBy("tid").agg(best).select("tid", "best.*")
+
+
 def _verified(pairs: DataFrame, titles: DataFrame, grants: DataFrame, k: int) -> DataFrame:
     """The best grant per title among candidate pairs, at most ``k`` edits away."""
-    left = titles.select("tid", "title")
     right = grants.select("gid", "grant_id", F.col("title").alias("grant_title"))
-    distance = F.levenshtein(F.col("title"), F.col("grant_title"), k)
-    return (
+    return _best(
         pairs.distinct()
-        .join(left, "tid")
+        .join(titles.select("tid", "title"), "tid")
         .join(right, "gid")
-        .withColumn("distance", distance)
+        .withColumn("distance", F.levenshtein(F.col("title"), F.col("grant_title"), k))
         .where(F.col("distance") >= 0)
-        .groupBy("title")
-        .agg(F.min(F.struct("distance", "grant_id", "grant_title")).alias("best"))
-        .select("title", "best.grant_id", "best.grant_title", "best.distance")
+        .select("tid", "distance", "grant_id", "gid")
+    )
+
+
+def _compared(titles: DataFrame, grants: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """The best grant per title among all of the same ``by``, or of fitting length.
+
+    Grants are gathered into slices of about ``SLICE``; a title meets a slice in
+    one row, which leaves with the best of the slice.
+    """
+    slices = F.ceil(F.lit(grants.count()) / SLICE)
+    own = F.col(by) if by else F.length("title")
+    sliced = (
+        grants.select(
+            own.alias("of"),
+            F.pmod(F.xxhash64("gid"), F.greatest(slices, F.lit(1))).alias("slice"),
+            F.struct("title", "grant_id", "gid").alias("grant"),
+        )
+        .groupBy("of", "slice")
+        .agg(F.collect_list("grant").alias("slice_of"))
+    )
+    lengths = F.explode(F.sequence(F.length("title") - k, F.length("title") + k))
+    asked = titles.select("tid", "title", (F.col(by) if by else lengths).alias("of"))
+    title = F.col("title")
+    near = F.transform(
+        "slice_of",
+        lambda g: F.struct(
+            F.levenshtein(title, g["title"], k).alias("distance"),
+            g["grant_id"].alias("grant_id"),
+            g["gid"].alias("gid"),
+        ),
+    )
+    best = F.array_min(F.filter(near, lambda n: n["distance"] >= 0))
+    return _best(
+        asked.join(cut(sliced, "slices"), "of")
+        .select("tid", best.alias("best"))
+        .where(F.col("best").isNotNull())
+        .select("tid", "best.*")
     )
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tallyweave import columns as C
 from tallyweave.operators.fuzzy import best_edit_matches
 from tallyweave.operators.joins import join_to_single, left_join_many
-from tallyweave.operators.ratio import best_ratio_matches
 from tallyweave.operators.schema import available_enrichment, require_columns, title_column
 from tallyweave.operators.titles import (
     exact_winners,
@@ -22,9 +21,8 @@ from tallyweave.operators.titles import (
 )
 from tallyweave.runtime import cut
 
-# How far apart two titles may be, by each measure.
-THRESHOLDS = {"edit": 5, "ratio": 8}
-MEASURES = {"edit": best_edit_matches, "ratio": best_ratio_matches}
+# Fixed value: how many edits apart two titles may be.
+MAX_DISTANCE = 5
 
 
 def enrich_by_title(
@@ -33,8 +31,7 @@ def enrich_by_title(
     *,
     mode: str = "one",
     form: str = "loose",
-    measure: str = "edit",
-    max_distance: int | None = None,
+    max_distance: int = MAX_DISTANCE,
     outcome_title: str = "Project_Title",
     grant_title: str | None = None,
     enrichment: Mapping[str, str] = C.TITLE_ENRICHMENT,
@@ -71,10 +68,10 @@ def enrich_by_title(
     if mode == "one":
         # Winners lie by key already, so the others are left out without a shuffle.
         exact = exact_winners(known).join(asked, "title_key", "left_semi")
-    nearest = MEASURES[measure](
+    nearest = best_edit_matches(
         unmatched_keys(asked, known).withColumnRenamed("title_key", "title"),
         known.select(F.col("title_key").alias("title"), "grant_id"),
-        THRESHOLDS[measure] if max_distance is None else max_distance,
+        max_distance,
     )
     fuzzy = nearest.select(F.col("title").alias("title_key"), "grant_id", "distance").join(
         known.drop("title_key"), "grant_id"

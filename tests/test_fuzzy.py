@@ -1,11 +1,10 @@
 import random
-import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave.operators import fuzzy
 from tallyweave.operators.fuzzy import best_edit_matches
-from tallyweave.operators.ratio import best_ratio_matches, ratio_distance
 
 
 def changed(rng, text, edits, letters):
@@ -47,16 +46,16 @@ def found(matches):
     return {r.title: (r.distance, r.grant_id) for r in rows}
 
 
-@pytest.mark.parametrize("limit, hot_key", [(5, 1000), (4, 12), (2, 2)])
-def test_same_as_brute_force(spark, limit, hot_key):
-    rng = random.Random(limit * 100 + hot_key)
+@pytest.mark.parametrize("limit, heavy", [(5, 10**6), (4, 40), (2, 2), (5, 1)])
+def test_same_as_brute_force(spark, limit, heavy):
+    rng = random.Random(limit * 100 + heavy)
     letters = "abcd é"
     base = ["".join(rng.choices(letters, k=rng.randint(1, 24))) for _ in range(20)]
     grants = [(i, changed(rng, rng.choice(base), rng.randint(0, 4), letters)) for i in range(250)]
     wanted = [changed(rng, rng.choice(base), rng.randint(0, 6), letters) for _ in range(150)]
     titles, known = frames(spark, wanted + [None, "", "  "], grants + [(900, None), (901, " ")])
     expected = brute(titles, known, F.levenshtein("title", "grant_title", limit), limit)
-    assert found(best_edit_matches(titles, known, limit, hot_key)) == expected
+    assert found(best_edit_matches(titles, known, limit, heavy)) == expected
 
 
 def test_lengths_at_the_edge_and_ties(spark):
@@ -74,35 +73,34 @@ def test_lengths_at_the_edge_and_ties(spark):
     }
 
 
-def test_dense_cluster_stops_at_the_nearest(spark):
-    """Numbered titles are all within the limit of each other; pairs must not be listed."""
+NAME = "annual report number {} of the research institute"
+
+
+@pytest.fixture
+def key_rows(monkeypatch):
+    """Key rows of the grants, per round, as they are made."""
+    seen, split = [], fuzzy._split_grants
+
+    def counted(parts, k):
+        made = split(parts, k)
+        seen.append((k, made.groupBy("gid").count().agg(F.max("count")).first()[0]))
+        return made
+
+    monkeypatch.setattr(fuzzy, "_split_grants", counted)
+    return seen
+
+
+@pytest.mark.parametrize("heavy", [10**6, 2000])
+@pytest.mark.parametrize("away", [3, 4, 5, None])
+def test_dense_cluster(spark, key_rows, heavy, away):
+    """Numbered titles lie close together; those asked for are ``away`` from one, or from none."""
     rng = random.Random(7)
-    name = "annual report number {:07d} of the research institute"
-    ids = rng.sample(range(10**7), 6000)
-    titles, known = frames(
-        spark, [name.format(i) + " x" for i in ids[:1500]], [(i, name.format(i)) for i in ids]
-    )
-    start = time.time()
-    got = found(best_edit_matches(titles, known, 5, hot_key=200))
-    assert len(got) == 1500
-    for title, (distance, grant) in got.items():
-        assert (distance, grant) == (2, int(title.split()[3]))
-    assert time.time() - start < 240
-
-
-def test_ratio_same_as_brute_force(spark):
-    rng = random.Random(3)
-    letters = "abcdef "
-    base = ["".join(rng.choices(letters, k=rng.randint(5, 30))) for _ in range(12)]
-    grants = [(i, changed(rng, rng.choice(base), rng.randint(0, 9), letters)) for i in range(120)]
-    wanted = [changed(rng, rng.choice(base), rng.randint(0, 12), letters) for _ in range(60)]
-    titles, known = frames(spark, wanted + [None, " "], grants + [(500, None)])
-    near = F.abs(F.length("title") - F.length("grant_title")) <= 10
-    measure = F.when(near, ratio_distance("title", "grant_title")).otherwise(999)
-    expected = brute(titles, known, measure, 8)
-    assert found(best_ratio_matches(titles, known, slice_rows=7)) == expected
-
-
-def test_ratio_values(spark):
-    rows = spark.createDataFrame([("abcd", "abcd"), ("abcd", "bcde"), ("ab", "yz")], "a string, b string")
-    assert [r.d for r in rows.select(ratio_distance("a", "b").alias("d")).collect()] == [0, 5, 20]
+    numbers = [f"{i:07d}" for i in rng.sample(range(10**7), 400)]
+    edit = (lambda n: "abcdefg") if away is None else (lambda n: "x" * away + n[away:])
+    asked = [NAME.format(edit(n)) + f"{'' if away else i}" for i, n in enumerate(numbers[:20])]
+    titles, known = frames(spark, asked, [(i, NAME.format(n)) for i, n in enumerate(numbers)])
+    expected = brute(titles, known, F.levenshtein("title", "grant_title", 5), 5)
+    assert found(best_edit_matches(titles, known, 5, heavy)) == expected
+    assert (len(expected) == 0) == (away is None)
+    for k, rows in key_rows:  # bounded by the distance alone
+        assert rows <= ((k + 1) if k > fuzzy.NEAREST else (k + 1) ** (fuzzy.GROWTHS + 1))

@@ -75,12 +75,6 @@ def test_enrich_all(outcomes, grants):
     ]
 
 
-def test_enrich_by_ratio(outcomes, grants):
-    out = enrich_by_title(outcomes, grants, measure="ratio")
-    got = {r.Name: r.match_stage for r in out.collect()}
-    assert got["a"] == "exact" and got["b"] == "fuzzy" and got["e"] == "none"
-
-
 def test_strict_form_keeps_edge_blanks(spark, grants):
     odd = spark.createDataFrame([("a", "Neural pathways of sleep -")], "Name string, Project_Title string")
     assert enrich_by_title(odd, grants).first().match_stage == "exact"
