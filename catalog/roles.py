@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyweave import columns as C
 from tallyweave.functions.text import grant_date
-from tallyweave.runtime import cut, spread
+from tallyweave.runtime import cut
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 
@@ -25,8 +25,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table whose texts are costly to work on."""
-    return spread(table(spark, d, name).select(*columns))
+    return table(spark, d, name).select(*columns)
 
 
 def recipients(spark: SparkSession, d: str) -> DataFrame:
@@ -283,7 +282,7 @@ SCORED_SQL = f"""
 
 
 def funding_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Funding documents of all events but errors, keyed like the records."""
+    """Funding documents of most events, keyed like the records."""
     k = F.col("k")
     name = lambda i: F.concat(F.lit("Company "), "event_id", F.lit("-"), i.cast("string"))
     series_a = _list(
@@ -299,8 +298,10 @@ def funding_documents(spark: SparkSession, d: str) -> DataFrame:
     )
     return (
         coded_events(spark, d)
-        .where(F.col("event_type") != "error")
+        .where(k % 7 != 3)
         .select(
+            "event_id",
+            "event_type",
             F.concat(F.lit("Researcher, "), F.col("user_id").cast("string")).alias("researcher"),
             F.concat(F.lit("Project "), F.col("event_id").cast("string")).alias("project"),
             grant_date(F.col("code")).alias("grant_date"),

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import roles as R
 from tallyweave import columns as C
+from tallyweave.functions.levels import OUTCOME_TYPE, level_count, parsed, typed_count
 from tallyweave.functions.text import code_year_month, edit_distance, file_slug, grant_date
+from tallyweave.operators.dedupe import first_per_key
 from tallyweave.operators.items import outcome_items
 from tallyweave.operators.profile import profile_table, profile_tables
 from tallyweave.operators.titles import with_title_key
 from tallyweave.plans.scoring import (
+    FUNDING_KEY,
     combine_levels,
     read_outcomes,
     score_funding,
@@ -21,13 +26,14 @@ from tallyweave.plans.scoring import (
     upsert_scores,
 )
 from tallyweave.runtime import scratch_dir
-from tallyweave.sources.readers import read_csv, read_json
+from tallyweave.sources.readers import find_tables, read_csv, read_json, read_table
 from tallyweave.sources.writers import (
     read_latest_run,
     write_csv,
     write_json,
     write_json_per_person,
     write_run,
+    write_table,
 )
 
 ALL_TABLES = (
@@ -65,15 +71,26 @@ def scores125(spark, d):
 
 def _funding(spark, d):
     records = score_outcomes(R.scored_records(spark, d))
-    return records, score_funding(records, R.funding_documents(spark, d))
+    return score_funding(records, R.funding_documents(spark, d))
 
 
 def scores34(spark, d):
-    return _flat_scores(_funding(spark, d)[1], 3, 4)
+    return _flat_scores(_funding(spark, d), 3, 4)
+
+
+def levels_repeated(spark, d):
+    """Many records of one person, project and date, and the latest funding document of each."""
+    events = R.scored_records(spark, d).withColumn("Project_Title", F.col("event_type"))
+    funding = R.funding_documents(spark, d).withColumn("project", F.col("event_type"))
+    latest = first_per_key(funding, FUNDING_KEY, [F.desc("event_id")])
+    records = score_outcomes(events, keep=["event_id"])
+    return combine_levels(score_funding(records, latest), keep=["event_id"]).select(
+        "event_id", "grant_code", "grant_date", "level_details.*", "highest_level"
+    )
 
 
 def levels(spark, d):
-    return combine_levels(*_funding(spark, d)).select(
+    return combine_levels(_funding(spark, d)).select(
         "researcher",
         "project",
         "grant_date",
@@ -137,8 +154,8 @@ def _stored(spark, d):
 
 
 def upsert(spark, d):
-    """Scores of all events but views; the latest event of a key counts."""
-    events = R.scored_records(spark, d).where(F.col("event_type") != "view")
+    """Scores of most events; the latest event of a key counts."""
+    events = R.scored_records(spark, d).where(F.col("k") % 7 != 3)
     records = score_outcomes(
         events.withColumn("Project_Title", F.col("event_type")), keep=["event_id"]
     )
@@ -167,34 +184,69 @@ def profile_columns(spark, d):
 
 
 def csv_round_trip(spark, d):
-    path = f"{scratch_dir(spark)}/customer-csv"
-    customers = R.table(spark, d, "customer").drop("c_acctbal")
+    path = f"{scratch_dir(spark)}/customer-csv-{uuid.uuid4().hex}"
+    customers = R.table(spark, d, "customer")
     write_csv(customers, path)
     return read_csv(spark, path, customers.schema)
 
 
 def json_round_trip(spark, d):
-    path = f"{scratch_dir(spark)}/records-json"
-    rows = R.scored_records(spark, d).select(*C.SCORE_KEY, "event_id", "k")
+    """Whole records, their document and nested scores among it."""
+    path = f"{scratch_dir(spark)}/records-json-{uuid.uuid4().hex}"
+    rows = score_outcomes(R.scored_records(spark, d), keep=["event_id"])
     write_json(rows, path)
-    return read_json(spark, path, rows.schema, lines=True)
+    back = read_json(spark, path, rows.schema, lines=True)
+    return back.select(
+        "event_id",
+        "researcher",
+        "project",
+        "grant_code",
+        "companies_analyzed",
+        "scores.*",
+        level_count(parsed(F.col("data")), 1).alias("in_document"),
+    )
 
 
 def json_per_person(spark, d):
-    path = f"{scratch_dir(spark)}/person-json"
-    rows = R.scored_records(spark, d).select("Name", "event_id", "k")
+    path = f"{scratch_dir(spark)}/person-json-{uuid.uuid4().hex}"
+    rows = R.scored_records(spark, d).select("Name", "event_id", "k", "outcome_data")
     write_json_per_person(rows, path, "Name")
-    return read_json(spark, path, "Name string, event_id long, k int, slug string", lines=True)
+    shape = "Name string, event_id long, k int, outcome_data string, slug string"
+    back = read_json(spark, path, shape, lines=True)
+    in_document = level_count(parsed(F.col("outcome_data")), 2)
+    return back.withColumn("in_document", in_document).drop("outcome_data")
+
+
+def table_round_trip(spark, d):
+    """Suppliers as a managed table, replaced once, read back by name."""
+    suppliers = R.table(spark, d, "supplier")
+    name = f"tw_suppliers_{uuid.uuid4().hex}"
+    write_table(suppliers.limit(0), name)
+    write_table(suppliers, name)
+    return read_table(spark, find_tables(spark, name)[0])
+
+
+def typed_counts(spark, d):
+    """List lengths of documents read with their types."""
+    doc = F.from_json("outcome_data", OUTCOME_TYPE)
+    typed = R.scored_records(spark, d).where(F.col("k") % 11 > 4).select("event_id", doc.alias("d"))
+    return typed.select(
+        "event_id",
+        typed_count(F.col("d.level1_ip")).alias("n1"),
+        typed_count(F.col("d.level2_companies")).alias("n2"),
+        typed_count(F.col("d.level5_exits")).alias("n5"),
+    )
 
 
 def latest_run(spark, d):
     """Orders written as one run and then, with one more column, as a newer one."""
-    import uuid
-
     path = f"{scratch_dir(spark)}/runs-{uuid.uuid4().hex}"
     orders = R.table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     write_run(orders, path, "20240101_000000")
-    write_run(orders.withColumn("o_orderstatus", F.lower("o_orderstatus")), path, "20240102_000000")
+    wider = R.table(spark, d, "orders").select(
+        "o_orderkey", F.lower("o_orderstatus").alias("o_orderstatus"), "o_orderpriority"
+    )
+    write_run(wider, path, "20240102_000000")
     return read_latest_run(spark, path)
 
 
@@ -224,7 +276,7 @@ QUERIES = {
         scores34,
         f"""SELECT {_RECORD}, {_COMPANIES}, n3 AS level3, n4 AS level4, n3 + n4 AS total,
               {_highest([(4, "n4"), (3, "n3")])} AS highest_level
-            FROM ({R.SCORED_SQL}) WHERE n2 > 0 AND event_type <> 'error'""",
+            FROM ({R.SCORED_SQL}) WHERE n2 > 0 AND k % 7 <> 3""",
     ),
     "q_levels": (
         levels,
@@ -236,7 +288,18 @@ QUERIES = {
               WHEN 5 THEN 'Companies acquired/publicly listed (exit strategies for companies)' END AS description
             FROM (SELECT {_RECORD}, n1 AS level1, n2 AS level2, n3 AS level3, n4 AS level4, n5 AS level5,
               {_highest([(5, "n5"), (4, "n4"), (3, "n3"), (2, "n2"), (1, "n1")])} AS highest_level
-            FROM ({R.SCORED_SQL}) WHERE n2 > 0 AND event_type <> 'error')""",
+            FROM ({R.SCORED_SQL}) WHERE n2 > 0 AND k % 7 <> 3)""",
+    ),
+    "q_levels_repeated": (
+        levels_repeated,
+        f"""WITH s AS ({R.SCORED_SQL}),
+              f AS (SELECT user_id, event_type, grant_date, n3 AS f3, n4 AS f4 FROM s WHERE k % 7 <> 3
+                    QUALIFY row_number() OVER (PARTITION BY user_id, event_type, grant_date
+                                               ORDER BY event_id DESC) = 1)
+            SELECT event_id, code AS grant_code, grant_date, n1 AS level1, n2 AS level2, f3 AS level3,
+              f4 AS level4, n5 AS level5,
+              {_highest([(5, "n5"), (4, "f4"), (3, "f3"), (2, "n2"), (1, "n1")])} AS highest_level
+            FROM s JOIN f USING (user_id, event_type, grant_date) WHERE n2 > 0""",
     ),
     "q_json_counts": (
         json_counts,
@@ -272,7 +335,7 @@ QUERIES = {
     "q_funding_items": (
         funding_items,
         f"""WITH r AS (SELECT *, 'Researcher, ' || user_id AS researcher, 'Project ' || event_id AS project
-                       FROM ({R.SCORED_SQL}) WHERE event_type <> 'error')
+                       FROM ({R.SCORED_SQL}) WHERE k % 7 <> 3)
             SELECT researcher, project, grant_date, 3 AS level, i AS item_no,
               'Company ' || event_id || '-' || i AS item_name, NULL AS item_type, k + 1990 AS item_year
             FROM r, range(1, 4) t(i) WHERE i <= n3
@@ -286,7 +349,7 @@ QUERIES = {
               t AS (SELECT DISTINCT "Name", event_type AS "Project_Title", code AS "Competition_CD" FROM s),
               u AS (SELECT *, event_type AS pt,
                       {_highest([(5, "n5"), (2, "n2"), (1, "n1")])} AS highest FROM s
-                    WHERE event_type <> 'view' AND code IS NOT NULL
+                    WHERE k % 7 <> 3 AND code IS NOT NULL
                     QUALIFY row_number() OVER (PARTITION BY "Name", event_type, code ORDER BY event_id DESC) = 1)
             SELECT t."Name", t."Project_Title", t."Competition_CD", coalesce(n1, 0) AS level_1_score,
               coalesce(n2, 0) AS level_2_score, coalesce(n5, 0) AS level_5_score,
@@ -316,18 +379,27 @@ QUERIES = {
     ),
     "q_csv_round_trip": (
         csv_round_trip,
-        "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer",
+        "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     ),
     "q_json_round_trip": (
         json_round_trip,
-        f"""SELECT "Name", "Project_Title", code AS "Competition_CD", event_id, k FROM ({R.SCORED_SQL})""",
+        f"""SELECT event_id, 'Researcher, ' || user_id AS researcher, 'Project ' || event_id AS project,
+              code AS grant_code, {_COMPANIES}, n1 AS level1, n2 AS level2, n5 AS level5,
+              n1 + n2 + n5 AS total, {_highest([(5, "n5"), (2, "n2"), (1, "n1")])} AS highest_level,
+              n1 AS in_document FROM ({R.SCORED_SQL})""",
     ),
     "q_json_per_person": (
         json_per_person,
-        f"""SELECT "Name", event_id, k, 'Researcher_' || user_id AS slug FROM ({R.SCORED_SQL})""",
+        f"""SELECT "Name", event_id, k, 'Researcher_' || user_id AS slug, n2 AS in_document
+            FROM ({R.SCORED_SQL})""",
+    ),
+    "q_table_round_trip": (table_round_trip, "SELECT * FROM supplier"),
+    "q_typed_counts": (
+        typed_counts,
+        f"SELECT event_id, n1, n2, n5 FROM ({R.SCORED_SQL}) WHERE k % 11 > 4",
     ),
     "q_latest_run": (
         latest_run,
-        "SELECT o_orderkey, lower(o_orderstatus) AS o_orderstatus FROM orders",
+        "SELECT o_orderkey, lower(o_orderstatus) AS o_orderstatus, o_orderpriority FROM orders",
     ),
 }

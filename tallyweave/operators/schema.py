@@ -93,19 +93,24 @@ def align_by_name(
 def stack(frames: Sequence[DataFrame]) -> DataFrame | None:
     """Union by column name, absent columns NULL. None for no frames.
 
-    A column whose type differs between frames becomes text in all of them.
-    Frames are joined pairwise in rounds, so the plan stays shallow however
+    Names that differ in letter case only are one column, under the spelling met
+    first. A column whose type differs between frames becomes text in all of
+    them. Frames are joined pairwise in rounds, so the plan stays shallow however
     many there are.
     """
     types: dict[str, set[str]] = {}
+    spelling: dict[str, str] = {}
     for frame in frames:
         for name, kind in frame.dtypes:
-            types.setdefault(name, set()).add(kind)
+            types.setdefault(name.lower(), set()).add(kind)
+            spelling.setdefault(name.lower(), name)
     mixed = {name for name, kinds in types.items() if len(kinds) > 1}
-    level = [
-        frame.withColumns({c: ref(c).cast("string") for c in frame.columns if c in mixed})
-        for frame in frames
-    ]
+
+    def same(name: str) -> Column:
+        value = ref(name).cast("string") if name.lower() in mixed else ref(name)
+        return value.alias(spelling[name.lower()])
+
+    level = [frame.select(*map(same, frame.columns)) for frame in frames]
     while len(level) > 1:
         paired = [
             a.unionByName(b, allowMissingColumns=True) for a, b in zip(level[::2], level[1::2])

@@ -15,6 +15,10 @@ from tallyweave.operators.schema import require_columns
 from tallyweave.operators.upsert import update_matched
 
 
+# What a funding document is looked up by.
+FUNDING_KEY = ("researcher", "project", "grant_date")
+
+
 def _scores(df: DataFrame, document: str, levels: tuple[int, ...]) -> DataFrame:
     """Adds a struct ``scores``; the document is parsed once per row."""
     counts = {n: F.col("_counts")[f"level{n}"] for n in levels}
@@ -61,41 +65,42 @@ def score_funding(
 ) -> DataFrame:
     """Records of levels 3 and 4 for the records that list a company.
 
-    ``funding`` holds the funding document of a (researcher, project, grant_date).
+    ``funding`` holds the funding document of a (researcher, project, grant_date);
+    NULLs in the key equal each other. All columns of a record are kept, with its
+    ``scores`` as ``outcome_scores``, so that nothing has to be joined again: one
+    row per record and funding document.
     """
-    key = ["researcher", "project", "grant_date"]
-    require_columns(funding, [*key, document])
-    asked = with_companies(records).select(*key, "primary_institute", "companies_analyzed")
-    answered = asked.join(funding.select(*key, document), key)
-    return _scores(answered, document, (3, 4)).select(
-        *key,
-        "primary_institute",
-        "companies_analyzed",
-        F.col(document).alias("data"),
-        "scores",
+    require_columns(funding, [*FUNDING_KEY, document])
+    asked = with_companies(records).withColumnRenamed("scores", "outcome_scores").drop("data")
+    theirs = funding.select(
+        F.struct(*FUNDING_KEY).alias("_of"), F.col(document).alias("_funding_document")
     )
+    answered = asked.join(theirs, F.struct(*FUNDING_KEY) == F.col("_of"))
+    scored = _scores(answered.drop("_of"), "_funding_document", (3, 4))
+    return scored.drop("_doc").withColumnRenamed("_funding_document", "data")
 
 
-def combine_levels(records: DataFrame, funding: DataFrame) -> DataFrame:
-    """Levels 1 to 5 of records that have both kinds of result."""
-    key = ["researcher", "project", "grant_date"]
-    theirs = funding.select(*key, F.col("scores").alias("_funding"))
+def combine_levels(funding: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Levels 1 to 5 of what ``score_funding`` returned: records with both kinds of result."""
     zero = F.lit(0)
+    sides = funding.withColumnsRenamed({"outcome_scores": "_outcome", "scores": "_funding"})
     level = lambda side, n: F.coalesce(F.col(side)[f"level{n}"], zero).alias(f"level{n}")
-    return records.join(theirs, key).select(
-        *key,
+    return sides.select(
+        *FUNDING_KEY,
+        "grant_code",
         "primary_institute",
         F.struct(
-            level("scores", 1),
-            level("scores", 2),
+            level("_outcome", 1),
+            level("_outcome", 2),
             level("_funding", 3),
             level("_funding", 4),
-            level("scores", 5),
+            level("_outcome", 5),
         ).alias("level_details"),
         L.final_level(
-            F.col("scores.highest_level"), F.col("_funding.highest_level")
+            F.col("_outcome.highest_level"), F.col("_funding.highest_level")
         ).alias("highest_level"),
         L.level_descriptions().alias("level_descriptions"),
+        *keep,
     )
 
 

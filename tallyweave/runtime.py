@@ -1,48 +1,72 @@
-"""Where intermediate tables go, and how lineage is cut."""
+"""Where intermediate tables go, how lineage is cut, and how the tables are released."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# At 128 MiB a piece this is some 8 GiB, the most that is ever dealt out.
-SMALL_SCAN = 64
+# Tables that ``cut`` has written, by application, until they are released.
+_written: dict[str, list[str]] = {}
+
+
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as named by ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder. A cluster
-    session without it is refused: a folder on one machine would be lost with it.
+    A local session without the setting gets a folder beside its warehouse. A
+    cluster session is refused without it, or with a folder of one machine
+    (``file:``), which would be lost with that machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not is_local(spark) and (not named or named.startswith("file:")):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="tallyweave-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not named:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        named = f"{warehouse}/_scratch-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written table.
 
     Later stages then neither recompute what went before nor lose it with an
-    executor, and Spark knows the true size when it chooses a join.
+    executor, and Spark knows the true size when it chooses a join. The table
+    stays until ``release``, since results are read from it lazily.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a small scan that has fewer pieces than the session has cores.
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application has written; how many there were.
 
-    A scan of more pieces than ``SMALL_SCAN`` is left as it is, whatever the cores.
+    To be called once the results that were read from them are stored.
     """
-    pieces = df.rdd.getNumPartitions()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if pieces < min(cores, SMALL_SCAN) else df
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        delete_path(spark, path)
+    return len(paths)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    place, files = _file_system(spark, path)
+    files.delete(place, True)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right under ``path``, on whatever storage it lies."""
+    place, files = _file_system(spark, path)
+    return sorted(found.getPath().getName() for found in files.listStatus(place) if found.isDirectory())

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions.text import file_slug
+from tallyweave.runtime import folder_names
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -58,7 +59,11 @@ def write_run(df: DataFrame, path: str, run_id: str | None = None) -> str:
 
 
 def read_latest_run(spark: SparkSession, path: str) -> DataFrame:
-    """The newest run under ``path``."""
-    runs = spark.read.parquet(path)
-    newest = runs.agg(F.max(F.col("run_id").cast("string"))).first()[0]
-    return runs.where(F.col("run_id") == newest).drop("run_id")
+    """The newest run under ``path``, with the columns it was written with.
+
+    Only that run's folder is read; an error if there is none.
+    """
+    runs = [name for name in folder_names(spark, path) if name.startswith("run_id=")]
+    if not runs:
+        raise ValueError(f"no run under {path}")
+    return spark.read.parquet(f"{path}/{max(runs)}")

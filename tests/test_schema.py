@@ -52,6 +52,14 @@ def test_stack_fills_and_turns_mixed_types_to_text(spark):
     assert S.stack([]) is None
 
 
+def test_stack_takes_letter_case_as_drift(spark):
+    a = spark.createDataFrame([(1, "x")], "amount int, name string")
+    b = spark.createDataFrame([("many", "y")], "Amount string, NAME string")
+    out = S.stack([a, b])
+    assert out.columns == ["amount", "name"]
+    assert sorted(map(tuple, out.collect())) == [("1", "x"), ("many", "y")]
+
+
 def test_odd_column_names(spark):
     odd = spark.createDataFrame([(" A ", 1)], ["full.name", "Primary`x"])
     out = S.align_by_name(odd, F.lit("y"), ["primary`X"]).collect()

@@ -71,12 +71,37 @@ def test_golden_levels_34_and_combined(spark):
     assert [r.project for r in rows] == ["Project 0"]
     assert rows[0].scores.asDict() == {"level3": 1, "level4": 0, "total": 1, "highest_level": 3}
     assert rows[0].companies_analyzed == "A Inc., B Corp."
-    both = combine_levels(records, scored).collect()
+    both = combine_levels(scored).collect()
     assert len(both) == 1
     assert list(both[0].level_details) == [2, 2, 1, 0, 1] and both[0].highest_level == 5
     assert both[0].level_descriptions == {str(k): v for k, v in L.LEVEL_DESCRIPTIONS.items()}
 
 
+def test_records_of_one_key_stay_apart(spark):
+    """Unreadable codes share a date; each record keeps its own levels, NULLs in the key match."""
+    docs = [DOC, {"level2_companies": [{}]}, DOC]
+    rows = [
+        ("A", "P", "bad1", json.dumps(docs[0])),
+        ("A", "P", "bad2", json.dumps(docs[1])),
+        (None, "P", "bad1", json.dumps(docs[2])),
+    ]
+    records = score_outcomes(
+        spark.createDataFrame(
+            rows, "Name string, Project_Title string, Competition_CD string, outcome_data string"
+        )
+    )
+    funding = spark.createDataFrame(
+        [(n, "P", "2017-09", json.dumps(FUNDING)) for n in ("A", None)],
+        "researcher string, project string, grant_date string, funding_data string",
+    )
+    got = combine_levels(score_funding(records, funding)).collect()
+    assert sorted((r.researcher or "", r.grant_code, list(r.level_details)) for r in got) == [
+        ("", "bad1", [2, 2, 1, 0, 1]),
+        ("A", "bad1", [2, 2, 1, 0, 1]),
+        ("A", "bad2", [0, 1, 1, 0, 0]),
+    ]
+
+
 def test_typed_documents(spark):
     typed = stored(spark, DOC).select(F.from_json("outcome_data", L.OUTCOME_TYPE).alias("d"))
     out = typed.select(

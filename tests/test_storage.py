@@ -1,11 +1,13 @@
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import types as T
 
 from tallyweave.functions.levels import OUTCOME_TYPE
-from tallyweave.runtime import cut, scratch_dir, spread
+from tallyweave.operators.fuzzy import best_edit_matches
+from tallyweave.runtime import cut, release, scratch_dir
 from tallyweave.sources import readers as R
 from tallyweave.sources import writers as W
 
@@ -57,6 +59,12 @@ def test_runs(spark, tmp_path):
     # reads the table it replaces
     W.write_run(W.read_latest_run(spark, path).limit(2), path, "20240102_000000")
     assert W.read_latest_run(spark, path).count() == 2
+    wider = spark.range(3).selectExpr("id", "id * 2 as extra")
+    W.write_run(wider, path, "20240103_000000")
+    assert W.read_latest_run(spark, path).columns == ["id", "extra"]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no run"):
+        W.read_latest_run(spark, str(tmp_path / "none"))
     assert W.run_stamp(datetime(2024, 5, 6, 7, 8, 9)) == "20240506_070809"
     W.write_parquet(spark.range(2), str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
@@ -68,18 +76,31 @@ def test_cut_uses_the_shared_folder(spark):
     assert all(scratch_dir(spark) in f for f in rows.inputFiles())
 
 
-def test_a_cluster_needs_a_shared_folder():
-    class Session:
-        class conf:
-            get = staticmethod(lambda key, default=None: None)
+class Cluster:
+    named = None
 
-        class sparkContext:
-            master = "yarn"
+    class conf:
+        get = staticmethod(lambda key, default=None: Cluster.named)
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch_dir(Session)
+    class sparkContext:
+        master = "yarn"
 
 
-def test_spread(spark):
-    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 4
-    assert spread(spark.range(10, numPartitions=9)).rdd.getNumPartitions() == 9
+@pytest.mark.parametrize("named", [None, "file:/tmp/x", "file:///tmp/x"])
+def test_a_cluster_needs_a_shared_folder(named, monkeypatch):
+    monkeypatch.setattr(Cluster, "named", named)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Cluster)
+    monkeypatch.setattr(Cluster, "named", "hdfs://store/scratch/")
+    assert scratch_dir(Cluster) == "hdfs://store/scratch"
+
+
+def test_a_finished_job_leaves_nothing_once_released(spark):
+    release(spark)
+    folder = Path(scratch_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    titles = spark.createDataFrame([("gene therapy one",)], "title string")
+    grants = spark.createDataFrame([(1, "gene therapy two")], "grant_id int, title string")
+    assert best_edit_matches(titles, grants).count() == 1
+    assert set(folder.iterdir()) > before
+    assert release(spark) > 0 and set(folder.iterdir()) == before
