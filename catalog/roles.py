@@ -51,17 +51,18 @@ RECIPIENTS_SQL = """
 def year_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Tables by name. The first and last also take any year before or after."""
     names = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    orders = table(spark, d, "orders").select(
-        "o_custkey", "o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("year")
-    )
+    orders = table(spark, d, "orders")
+    ordered = F.col("o_orderdate")
     frames = {}
     for year in range(FIRST_YEAR, LAST_YEAR + 1):
-        its = F.col("year") == year
-        if year == FIRST_YEAR:
-            its = F.col("year") <= year
-        if year == LAST_YEAR:
-            its = F.col("year") >= year
-        rows = orders.where(its).join(names, F.col("o_custkey") == F.col("c_custkey"))
+        its = F.lit(True)
+        if year > FIRST_YEAR:
+            its = its & (ordered >= F.lit(f"{year}-01-01").cast("timestamp"))
+        if year < LAST_YEAR:
+            its = its & (ordered < F.lit(f"{year + 1}-01-01").cast("timestamp"))
+        rows = orders.where(ordered.isNotNull() & its).join(
+            names, F.col("o_custkey") == F.col("c_custkey")
+        )
         name = F.col("c_name").alias(
             {0: C.NAME_CANDIDATES[1], 1: C.NAME_CANDIDATES[0], 2: "recipient_name"}[year % 3]
         )

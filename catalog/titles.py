@@ -49,9 +49,13 @@ def title_exact(spark, d):
     return outcomes.join(grants, "title_key").select("outcome_id", "title_key", "grant_id")
 
 
+def _grant_keys(spark, d):
+    return with_usable_key(R.line_grants(spark, d), C.TITLE_COLUMN)
+
+
 def title_unmatched(spark, d):
-    outcomes, grants = _keyed(spark, d)
-    return unmatched_keys(title_keys(outcomes), grants)
+    outcomes = with_title_key(R.page_outcomes(spark, d), "Project_Title")
+    return unmatched_keys(title_keys(outcomes), _grant_keys(spark, d))
 
 
 def _open_titles(spark, d):
@@ -87,8 +91,9 @@ def text_enrich(spark, d):
 
 
 def _unmatched(spark, d):
-    outcomes, grants = _keyed(spark, d)
-    return outcomes.join(grants.select("title_key"), "title_key", "left_anti")
+    outcomes = with_title_key(R.page_outcomes(spark, d), "Project_Title")
+    known = _grant_keys(spark, d).select("title_key").distinct()
+    return outcomes.join(known, "title_key", "left_anti")
 
 
 def unmatched_length(spark, d):
@@ -115,8 +120,15 @@ def partial(spark, d):
     titles = _unmatched(spark, d).select(
         F.col("outcome_id").alias("title_id"), F.col("title_key").alias("title")
     )
-    grants = with_usable_key(R.line_grants(spark, d), C.TITLE_COLUMN)
-    return partial_matches(titles, grants.select("grant_id", F.col("title_key").alias("title")))
+
+    def keyed(lines):
+        rows = with_usable_key(lines, C.TITLE_COLUMN)
+        return rows.select("grant_id", F.col("title_key").alias("title"))
+
+    lines = R.line_grants(spark, d)
+    return partial_matches(
+        titles, keyed(lines), titles_of=lambda ids: keyed(lines.join(ids, "grant_id", "left_semi"))
+    )
 
 
 def dedupe_titles(spark, d):

@@ -47,5 +47,12 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def without_duplicates(df: DataFrame) -> DataFrame:
-    """Whole-row deduplication."""
-    return df.dropDuplicates()
+    """Whole-row deduplication, texts compared and shuffled as keys by their digest."""
+    texts = [name for name, kind in df.dtypes if kind == "string"]
+    keyed = df.withColumns({f"_digest_{i}": digest(_named(n)) for i, n in enumerate(texts)})
+    keys = [c for c in keyed.columns if c not in texts]
+    return keyed.dropDuplicates(keys).select(*map(_named, df.columns))
+
+
+def _named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")

@@ -48,9 +48,8 @@ def best_edit_matches(
     """
     wanted = cut(
         titles.where(usable(F.col("title")))
-        .select("title")
-        .distinct()
-        .withColumn("tid", F.md5("title")),
+        .groupBy(F.md5("title").alias("tid"))
+        .agg(F.first("title").alias("title")),
         "titles",
     )
     shortest, longest = wanted.agg(F.min(F.length("title")), F.max(F.length("title"))).first()

@@ -8,17 +8,15 @@ the first few grants of every word travel on. No pair of titles is formed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.text import words
 from tallyweave.operators.dedupe import top_per_key
 from tallyweave.runtime import cut
 
-# Words longer than this are looked up by their head and then compared whole,
-# which keeps the number of substrings proportional to the length of a word.
-HEAD = 32
-
 
 def _title_words(df: DataFrame, key: str, min_length: int) -> DataFrame:
     found = F.array_distinct(words(F.col("title"), min_length - 1))
@@ -39,20 +37,32 @@ def _contained(
         beginnings = inner.select(F.substring("inner", 1, min_length).alias("_begin")).distinct()
         begin = F.substring(F.col("outer"), F.col("_from"), F.lit(min_length))
         places = places.withColumn("_begin", begin).join(beginnings, "_begin", "left_semi")
-    longest = F.least(F.lit(HEAD), F.length("outer") - F.col("_from") + 1)
-    pieces = places.withColumn(
-        "_size", F.explode(F.sequence(F.lit(min_length), longest))
-    ).select("outer", F.substring("outer", F.col("_from"), F.col("_size")).alias("_head"))
-    heads = inner.withColumn("_head", F.substring("inner", 1, HEAD))
+    # Only pieces as long as some inner word, each known by its hash, are looked up.
+    # There are no more lengths than the longest word has characters.
+    lengths = inner.select(F.length("inner").alias("n")).distinct().collect()
+    sizes = F.array(*[F.lit(n) for n in sorted(row.n for row in lengths)]).cast("array<int>")
+    left = F.length("outer") - F.col("_from") + 1
+    pieces = places.withColumn("_size", F.explode(F.filter(sizes, lambda n: n <= left))).select(
+        "outer", F.xxhash64(_piece()).alias("_hash"), "_from", "_size"
+    )
+    hashed = inner.withColumn("_hash", F.xxhash64("inner"))
     return (
-        heads.join(pieces, "_head")
-        .where(F.contains(F.col("outer"), F.col("inner")))
+        hashed.join(pieces, "_hash")
+        .where(F.col("inner") == _piece())
         .select("inner", "outer")
     )
 
 
+def _piece() -> Column:
+    return F.substring(F.col("outer"), F.col("_from"), F.col("_size"))
+
+
 def partial_matches(
-    titles: DataFrame, grants: DataFrame, min_length: int = 5, keep: int = 5
+    titles: DataFrame,
+    grants: DataFrame,
+    min_length: int = 5,
+    keep: int = 5,
+    titles_of: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The first ``keep`` partial matches of every title, in grant order.
 
@@ -62,6 +72,9 @@ def partial_matches(
     title contains a long word of the grant. A list cut to its first ``keep``
     entries at every step holds the first ``keep`` of the whole. Writes the words
     of both sides to the shared folder, so that long inputs are read once.
+
+    ``titles_of`` gives ``grant_id`` and ``title`` of a table of grant ids, where
+    that is cheaper than to work out all titles of ``grants`` a second time.
     """
     title_words = cut(_title_words(titles, "title_id", min_length), "title-words")
     grant_words = _title_words(grants, "grant_id", min_length)
@@ -103,6 +116,9 @@ def partial_matches(
         [F.col("grant_id"), F.col("kind")],
         keep,
     )
+    if titles_of:
+        per_title = cut(per_title, "partial")
+        grants = titles_of(per_title.select("grant_id").distinct())
     return per_title.join(
         grants.select("grant_id", F.col("title").alias("grant_title")), "grant_id"
     ).select(

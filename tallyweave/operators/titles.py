@@ -23,12 +23,12 @@ def with_usable_key(df: DataFrame, title: str, form: str = "loose") -> DataFrame
 
 def one_per_title(grants: DataFrame, title: str) -> DataFrame:
     """One grant per raw title: the smallest id."""
-    return first_per_key(grants, [title], [F.col("grant_id")])
+    return first_per_key(grants, [digest(F.col(title))], [F.col("grant_id")])
 
 
-def exact_winners(grants: DataFrame) -> DataFrame:
+def exact_winners(grants: DataFrame, key: str = "title_key") -> DataFrame:
     """One grant per key. Where raw titles share a key the last one wins."""
-    return first_per_key(grants, ["title_key"], [F.desc("grant_id")])
+    return first_per_key(grants, [key], [F.desc("grant_id")])
 
 
 def title_keys(outcomes: DataFrame) -> DataFrame:

@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave import columns as C
+from tallyweave.operators.dedupe import digest
 from tallyweave.operators.fuzzy import best_edit_matches
 from tallyweave.operators.joins import join_to_single, left_join_many
 from tallyweave.operators.schema import available_enrichment, require_columns, title_column
 from tallyweave.operators.titles import (
     exact_winners,
     one_per_title,
-    title_keys,
-    unmatched_keys,
     with_title_key,
     with_usable_key,
 )
@@ -52,10 +51,13 @@ def enrich_by_title(
         raise ValueError(f"no title column; the table has {grants.columns}")
     served = available_enrichment(grants, dict(enrichment))
 
-    keyed = with_title_key(outcomes, outcome_title, form)
+    # Titles may be whole documents: they are joined by the digest of their key.
+    key_id = digest(F.col("title_key")).alias("key_id")
+    keyed = with_title_key(outcomes, outcome_title, form).select("*", key_id)
     # Read four times below: normalise and deduplicate once.
     known = cut(
         one_per_title(with_usable_key(grants, grant_title, form), grant_title).select(
+            key_id,
             "title_key",
             "grant_id",
             F.col(grant_title).alias("matched_title"),
@@ -63,29 +65,34 @@ def enrich_by_title(
         ),
         "known",
     )
-    asked = cut(title_keys(keyed), "asked")
-    exact = known
+    asked = cut(
+        keyed.where(F.col("key_id").isNotNull())
+        .groupBy("key_id")
+        .agg(F.first("title_key").alias("title")),
+        "asked",
+    )
+    exact = known.drop("title_key")
     if mode == "one":
         # Winners lie by key already, so the others are left out without a shuffle.
-        exact = exact_winners(known).join(asked, "title_key", "left_semi")
+        exact = exact_winners(exact, "key_id").join(asked.select("key_id"), "key_id", "left_semi")
     nearest = best_edit_matches(
-        unmatched_keys(asked, known).withColumnRenamed("title_key", "title"),
+        asked.join(known.select("key_id").distinct(), "key_id", "left_anti"),
         known.select(F.col("title_key").alias("title"), "grant_id"),
         max_distance,
     )
-    fuzzy = nearest.select(F.col("title").alias("title_key"), "grant_id", "distance").join(
-        known.drop("title_key"), "grant_id"
+    fuzzy = nearest.select(digest(F.col("title")).alias("key_id"), "grant_id", "distance").join(
+        known.drop("key_id", "title_key"), "grant_id"
     )
     # Exact and fuzzy keys are disjoint, so one table answers both in one join.
     answers = exact.withColumns(
         {"match_stage": F.lit("exact"), "distance": F.lit(0)}
     ).unionByName(fuzzy.withColumn("match_stage", F.lit("fuzzy")))
 
-    base = keyed.drop(*served.values())
+    base = keyed.drop("title_key", *served.values())
     if mode == "one":
-        joined = join_to_single(base, answers, ["title_key"], "left")
+        joined = join_to_single(base, answers, ["key_id"], "left")
     else:
-        joined = left_join_many(base, answers, "title_key").drop("matched")
+        joined = left_join_many(base, answers, "key_id").drop("matched")
     kept = [c for c in outcomes.columns if c not in served.values()]
     return joined.select(
         *kept,
