@@ -197,7 +197,7 @@ def coded_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _list(n, item):
-    return F.transform(F.filter(F.array(*map(F.lit, (1, 2, 3))), lambda i: i <= n), item)
+    return F.transform(F.filter(F.sequence(F.lit(1), F.lit(6)), lambda i: i <= n), item)
 
 
 def scored_records(spark: SparkSession, d: str) -> DataFrame:
@@ -208,26 +208,32 @@ def scored_records(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k")
     label = lambda kind, i: F.concat(F.lit(kind), "event_id", F.lit("-"), i.cast("string"))
     ip = _list(
-        k % 4,
+        k % 7,
         lambda i: F.struct(
             F.when(i < 3, label("IP ", i)).alias("title"),
             F.when(i > 1, F.lit("patent")).alias("type"),
             (k + 1950).alias("filing_year"),
             F.col("event_type").alias("assignee"),
+            F.when(i % 2 == 0, label("About ", i)).alias("description"),
         ),
     )
     companies = _list(
-        k % 3,
+        k % 5,
         lambda i: F.struct(
-            label("Company ", i).alias("company_name"), (k + 1900).alias("founding_year")
+            label("Company ", i).alias("company_name"),
+            (k + 1900).alias("founding_year"),
+            F.when(k % 2 == 0, F.lit("biotech")).alias("industry"),
+            label("via ", i).alias("connection"),
         ),
     )
     exits = _list(
-        k % 2,
+        k % 3,
         lambda i: F.struct(
             label("Company ", i).alias("company_name"),
             F.when(k % 5 == 0, F.lit("IPO")).otherwise("acquisition").alias("exit_type"),
             F.lit("Buyer").alias("acquirer"),
+            (k + 1970).alias("exit_year"),
+            F.when(i > 1, F.concat(k.cast("string"), F.lit("M"))).alias("value"),
         ),
     )
     whole = F.to_json(
@@ -273,11 +279,11 @@ CODED_EVENTS_SQL = """
 # The counts follow from k; the documents themselves are not needed.
 SCORED_SQL = f"""
   SELECT *, 'Researcher, ' || user_id AS "Name", 'Project ' || event_id AS "Project_Title",
-         CASE WHEN k % 11 > 4 THEN k % 4 ELSE 0 END AS n1,
-         CASE WHEN k % 11 = 3 OR k % 11 > 4 THEN k % 3 ELSE 0 END AS n2,
-         CASE WHEN k % 11 > 4 THEN k % 2 ELSE 0 END AS n5,
+         CASE WHEN k % 11 > 4 THEN k % 7 ELSE 0 END AS n1,
+         CASE WHEN k % 11 = 3 OR k % 11 > 4 THEN k % 5 ELSE 0 END AS n2,
+         CASE WHEN k % 11 > 4 THEN k % 3 ELSE 0 END AS n5,
          CASE WHEN k % 11 > 4 THEN event_type END AS institute,
-         (k // 4) % 3 AS n3, (k // 12) % 2 AS n4
+         (k // 4) % 5 AS n3, (k // 12) % 4 AS n4
   FROM ({CODED_EVENTS_SQL})
 """
 
@@ -287,12 +293,26 @@ def funding_documents(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k")
     name = lambda i: F.concat(F.lit("Company "), "event_id", F.lit("-"), i.cast("string"))
     series_a = _list(
-        F.floor(k / 4) % 3,
-        lambda i: F.struct(name(i).alias("company_name"), (k + 1990).alias("funding_year")),
+        F.floor(k / 4) % 5,
+        lambda i: F.struct(
+            name(i).alias("company_name"),
+            (k + 1990).alias("funding_year"),
+            F.concat(k.cast("string"), F.lit("K")).alias("funding_amount"),
+            F.when(i > 1, F.lit("Pill")).alias("product_name"),
+            F.when(i == 1, k + 2000).alias("clinical_trial_year"),
+        ),
     )
     series_bc = _list(
-        F.floor(k / 12) % 2,
-        lambda i: F.struct(name(i).alias("company_name"), F.lit("B").alias("funding_round")),
+        F.floor(k / 12) % 4,
+        lambda i: F.struct(
+            name(i).alias("company_name"),
+            F.lit("B").alias("funding_round"),
+            (k + 1995).alias("funding_year"),
+            F.concat(k.cast("string"), F.lit("M")).alias("funding_amount"),
+            F.lit("Pump").alias("product_name"),
+            F.when(i % 2 == 0, F.lit("II")).alias("clinical_stage"),
+            (k + 2001).alias("clinical_trial_year"),
+        ),
     )
     document = F.to_json(
         F.struct(series_a.alias("level3_series_a"), series_bc.alias("level4_series_bc"))

@@ -129,13 +129,25 @@ def items(spark, d):
         "item_type",
         "item_year",
         "item_party",
+        "item_detail",
     )
 
 
 def funding_items(spark, d):
     key = ["researcher", "project", "grant_date"]
     found = outcome_items(R.funding_documents(spark, d), key, "funding_data", (3, 4))
-    return found.select(*key, "level", "item_no", "item_name", "item_type", "item_year")
+    return found.select(
+        *key,
+        "level",
+        "item_no",
+        "item_name",
+        "item_type",
+        "item_year",
+        "item_party",
+        "item_detail",
+        "clinical_stage",
+        "clinical_trial_year",
+    )
 
 
 def _stored(spark, d):
@@ -281,6 +293,7 @@ QUERIES = {
     "q_levels": (
         levels,
         f"""SELECT *, CASE highest_level
+              -- fixed values: what the levels mean
               WHEN 1 THEN 'Patents, copyright, trademarks'
               WHEN 2 THEN 'Companies opened'
               WHEN 3 THEN 'Series A funding round occurred; product in clinical stage I'
@@ -323,25 +336,33 @@ QUERIES = {
             SELECT "Name", "Project_Title", "Competition_CD", 1 AS level, i AS item_no,
               CASE WHEN i < 3 THEN 'IP ' || event_id || '-' || i ELSE 'Untitled' END AS item_name,
               CASE WHEN i > 1 THEN 'patent' ELSE 'IP' END AS item_type, k + 1950 AS item_year,
-              event_type AS item_party FROM r, range(1, 4) t(i) WHERE i <= n1
+              event_type AS item_party,
+              CASE WHEN i % 2 = 0 THEN 'About ' || event_id || '-' || i END AS item_detail
+            FROM r, range(1, 7) t(i) WHERE i <= n1
             UNION ALL
             SELECT "Name", "Project_Title", "Competition_CD", 2, i, 'Company ' || event_id || '-' || i,
-              NULL, k + 1900, NULL FROM r, range(1, 4) t(i) WHERE i <= n2
+              CASE WHEN k % 2 = 0 THEN 'biotech' END, k + 1900, NULL, 'via ' || event_id || '-' || i
+            FROM r, range(1, 7) t(i) WHERE i <= n2
             UNION ALL
             SELECT "Name", "Project_Title", "Competition_CD", 5, i, 'Company ' || event_id || '-' || i,
-              CASE WHEN k % 5 = 0 THEN 'IPO' ELSE 'acquisition' END, NULL,
-              CASE WHEN k % 5 <> 0 THEN 'Buyer' END FROM r, range(1, 4) t(i) WHERE i <= n5""",
+              CASE WHEN k % 5 = 0 THEN 'IPO' ELSE 'acquisition' END, k + 1970,
+              CASE WHEN k % 5 <> 0 THEN 'Buyer' END, CASE WHEN i > 1 THEN k || 'M' END
+            FROM r, range(1, 7) t(i) WHERE i <= n5""",
     ),
     "q_funding_items": (
         funding_items,
         f"""WITH r AS (SELECT *, 'Researcher, ' || user_id AS researcher, 'Project ' || event_id AS project
                        FROM ({R.SCORED_SQL}) WHERE k % 7 <> 3)
             SELECT researcher, project, grant_date, 3 AS level, i AS item_no,
-              'Company ' || event_id || '-' || i AS item_name, NULL AS item_type, k + 1990 AS item_year
-            FROM r, range(1, 4) t(i) WHERE i <= n3
+              'Company ' || event_id || '-' || i AS item_name,
+              CASE WHEN i > 1 THEN 'Pill' END AS item_type, k + 1990 AS item_year, NULL AS item_party,
+              k || 'K' AS item_detail, NULL AS clinical_stage,
+              CASE WHEN i = 1 THEN k + 2000 END AS clinical_trial_year
+            FROM r, range(1, 7) t(i) WHERE i <= n3
             UNION ALL
-            SELECT researcher, project, grant_date, 4, i, 'Company ' || event_id || '-' || i, 'B', NULL
-            FROM r, range(1, 4) t(i) WHERE i <= n4""",
+            SELECT researcher, project, grant_date, 4, i, 'Company ' || event_id || '-' || i, 'B', k + 1995,
+              'Pump', k || 'M', CASE WHEN i % 2 = 0 THEN 'II' END, k + 2001
+            FROM r, range(1, 7) t(i) WHERE i <= n4""",
     ),
     "q_upsert": (
         upsert,

@@ -21,6 +21,7 @@ from tallyweave.operators.titles import (
     with_usable_key,
 )
 from tallyweave.operators.words import average_length, sample_rows, top_words, word_counts
+from tallyweave.plans.diagnosis import diagnose_unmatched
 from tallyweave.plans.title_enrichment import enrich_by_title
 from tallyweave.runtime import cut
 
@@ -79,6 +80,63 @@ def title_enrich_all(spark, d):
     return enrich_by_title(R.page_outcomes(spark, d), R.line_grants(spark, d), mode="all")
 
 
+def title_strict(spark, d):
+    """Exact and near titles in the strict form, one row per grant of a title."""
+    return enrich_by_title(
+        R.page_outcomes(spark, d), R.line_grants(spark, d), mode="all", form="strict"
+    )
+
+
+def enrichment_subset(spark, d):
+    """Grants that lack two of the enrichment columns."""
+    grants = R.line_grants(spark, d).drop(C.FUNDING_START, C.FUNDING_END)
+    return enrich_by_title(R.page_outcomes(spark, d), grants)
+
+
+def unenriched_sample(spark, d):
+    """The first five outcomes without a grant."""
+    return sample_where(
+        title_enrich(spark, d), F.col("match_stage") == "none", [F.col("outcome_id")]
+    ).select("outcome_id", "Project_Title", "match_stage")
+
+
+def diagnosis(spark, d):
+    """The whole report on unmatched pages as rows of one shape."""
+    number = F.col("outcome_id") % 3
+    name = F.when(number == 0, "EN").when(number == 1, " fr").otherwise(F.col("Name"))
+    unmatched = _unmatched(spark, d).select("outcome_id", name.alias("Name"), "Project_Title")
+    grants = R.line_grants(spark, d).select(
+        "grant_id", F.col(C.CATEGORIES).alias("name"), F.col(C.TITLE_COLUMN).alias("title")
+    )
+    report = diagnose_unmatched(unmatched, grants, sample=None)
+
+    def rows(part, df, key, number, text=None):
+        return df.select(
+            F.lit(part).alias("part"),
+            F.col(key).cast("string").alias("key"),
+            F.col(number).cast("double").alias("number"),
+            (F.lit(None).cast("string") if text is None else text).alias("note"),
+        )
+
+    lengths = report.lengths.withColumn("key", F.lit("average"))
+    return (
+        rows("lengths", lengths, "key", "average_length", F.col("rows").cast("string"))
+        .unionByName(rows("words", report.words, "word", "occurrences"))
+        .unionByName(
+            rows("partial", report.partial, "title_id", "grant_id", F.col("match_type"))
+        )
+        .unionByName(
+            rows(
+                "names",
+                report.names,
+                "name_key",
+                "grant_count",
+                F.array_join("first_titles", "|"),
+            )
+        )
+    )
+
+
 def stages(spark, d):
     return stage_counts(title_enrich(spark, d))
 
@@ -198,7 +256,55 @@ _UNMATCHED = f"WITH {_EDGES} SELECT o.* FROM o WHERE k IS NULL OR k IN (SELECT k
 
 _WORDS = "SELECT unnest(string_split(k, ' ')) AS word"
 
+_LENGTH = f"""SELECT count(*) AS rows, avg(coalesce(length("Project_Title"), 0)) AS average_length
+            FROM ({_UNMATCHED})"""
+_TOP_WORDS = f"""SELECT word, count(*) AS occurrences FROM ({_WORDS} FROM ({_UNMATCHED}))
+            WHERE length(word) > 3 GROUP BY word ORDER BY occurrences DESC, word LIMIT 10"""
+_PARTIAL = f"""WITH {_EDGES},
+              un AS (SELECT outcome_id, k FROM o WHERE k IS NULL OR k IN (SELECT k FROM u)),
+              tw AS (SELECT DISTINCT outcome_id, w FROM (SELECT outcome_id, unnest(string_split(k, ' ')) AS w FROM un)
+                     WHERE length(w) >= 5),
+              gr AS (SELECT grant_id, k FROM ({R.LINE_GRANTS_SQL}) WHERE k IS NOT NULL),
+              gw AS (SELECT DISTINCT grant_id, w FROM (SELECT grant_id, unnest(string_split(k, ' ')) AS w FROM gr)
+                     WHERE length(w) >= 5),
+              tv AS (SELECT DISTINCT w FROM tw), gv AS (SELECT DISTINCT w FROM gw),
+              near AS (SELECT tv.w AS t, gv.w AS g, 1 AS kind FROM tv JOIN gv ON contains(gv.w, tv.w)
+                       UNION ALL SELECT tv.w, gv.w, 2 FROM tv JOIN gv ON contains(tv.w, gv.w)),
+              hits AS (SELECT DISTINCT tw.outcome_id, near.kind, gw.grant_id
+                       FROM tw JOIN near ON tw.w = near.t JOIN gw ON gw.w = near.g),
+              best AS (SELECT * FROM hits QUALIFY
+                       row_number() OVER (PARTITION BY outcome_id ORDER BY grant_id, kind) <= 5)
+            SELECT outcome_id AS title_id, best.grant_id, gr.k AS grant_title,
+              CASE kind WHEN 1 THEN 'word_in_grant' ELSE 'word_in_unmatched' END AS match_type
+            FROM best JOIN gr ON gr.grant_id = best.grant_id"""
+_STRICT = _ALL
+for _text in ("line", '"Project_Title"'):
+    _STRICT = _STRICT.replace(R.loose_sql(_text), R.strict_sql(_text))
+
 QUERIES = {
+    "q_title_strict": (title_strict, _STRICT),
+    "q_enrichment_subset": (
+        enrichment_subset,
+        f'SELECT * EXCLUDE ("Funding_Start", "Funding_End") FROM ({_ONE})',
+    ),
+    "q_unenriched_sample": (
+        unenriched_sample,
+        f"""SELECT outcome_id, "Project_Title", match_stage FROM ({_ONE})
+            WHERE match_stage = 'none' ORDER BY outcome_id LIMIT 5""",
+    ),
+    "q_diagnosis": (
+        diagnosis,
+        f"""SELECT 'lengths' AS part, 'average' AS key, average_length AS number, rows::VARCHAR AS note
+            FROM ({_LENGTH})
+            UNION ALL SELECT 'words', word, occurrences, NULL FROM ({_TOP_WORDS})
+            UNION ALL SELECT 'partial', title_id::VARCHAR, grant_id, match_type FROM ({_PARTIAL})
+            UNION ALL
+            SELECT 'names', c, n, first FROM (
+              SELECT c, count(*) AS n, string_agg(title, '|' ORDER BY grant_id) FILTER (WHERE rn <= 3) AS first
+              FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY grant_id) AS rn
+                    FROM ({R.LINE_GRANTS_SQL}))
+              WHERE c IN (SELECT unnest(['en', 'fr'])) GROUP BY c)""",
+    ),
     "q_norm_spark": (
         norm_strict,
         f"SELECT doc_id, {R.strict_sql('text')} AS title_key FROM documents",
@@ -237,16 +343,8 @@ QUERIES = {
                    coalesce(a.match_stage, 'none') AS match_stage, a.distance
             FROM o LEFT JOIN a ON o.k = a.k LEFT JOIN g ON g.grant_id = a.grant_id""",
     ),
-    "q_unmatched_len": (
-        unmatched_length,
-        f"""SELECT count(*) AS rows, avg(coalesce(length("Project_Title"), 0)) AS average_length
-            FROM ({_UNMATCHED})""",
-    ),
-    "q_unmatched_words": (
-        unmatched_words,
-        f"""SELECT word, count(*) AS occurrences FROM ({_WORDS} FROM ({_UNMATCHED}))
-            WHERE length(word) > 3 GROUP BY word ORDER BY occurrences DESC, word LIMIT 10""",
-    ),
+    "q_unmatched_len": (unmatched_length, _LENGTH),
+    "q_unmatched_words": (unmatched_words, _TOP_WORDS),
     "q_word_top": (
         word_top,
         f"""SELECT word, count(*) AS occurrences
@@ -258,26 +356,7 @@ QUERIES = {
         f"""SELECT outcome_id, "Project_Title" FROM ({_UNMATCHED})
             ORDER BY md5(outcome_id::VARCHAR || ':0'), outcome_id LIMIT 5""",
     ),
-    "q_partial": (
-        partial,
-        f"""WITH {_EDGES},
-              un AS (SELECT outcome_id, k FROM o WHERE k IS NULL OR k IN (SELECT k FROM u)),
-              tw AS (SELECT DISTINCT outcome_id, w FROM (SELECT outcome_id, unnest(string_split(k, ' ')) AS w FROM un)
-                     WHERE length(w) >= 5),
-              gr AS (SELECT grant_id, k FROM ({R.LINE_GRANTS_SQL}) WHERE k IS NOT NULL),
-              gw AS (SELECT DISTINCT grant_id, w FROM (SELECT grant_id, unnest(string_split(k, ' ')) AS w FROM gr)
-                     WHERE length(w) >= 5),
-              tv AS (SELECT DISTINCT w FROM tw), gv AS (SELECT DISTINCT w FROM gw),
-              near AS (SELECT tv.w AS t, gv.w AS g, 1 AS kind FROM tv JOIN gv ON contains(gv.w, tv.w)
-                       UNION ALL SELECT tv.w, gv.w, 2 FROM tv JOIN gv ON contains(tv.w, gv.w)),
-              hits AS (SELECT DISTINCT tw.outcome_id, near.kind, gw.grant_id
-                       FROM tw JOIN near ON tw.w = near.t JOIN gw ON gw.w = near.g),
-              best AS (SELECT * FROM hits QUALIFY
-                       row_number() OVER (PARTITION BY outcome_id ORDER BY grant_id, kind) <= 5)
-            SELECT outcome_id AS title_id, best.grant_id, gr.k AS grant_title,
-              CASE kind WHEN 1 THEN 'word_in_grant' ELSE 'word_in_unmatched' END AS match_type
-            FROM best JOIN gr ON gr.grant_id = best.grant_id""",
-    ),
+    "q_partial": (partial, _PARTIAL),
     "q_dedupe_titles": (
         dedupe_titles,
         """SELECT doc_id, source, lang FROM documents

@@ -11,6 +11,7 @@ from tallyweave.functions.text import loose_title
 from tallyweave.operators.names import lookup_names
 from tallyweave.operators.partial import partial_matches
 from tallyweave.operators.words import average_length, sample_rows, top_words, word_counts
+from tallyweave.runtime import cut
 
 
 class Diagnosis(NamedTuple):
@@ -39,6 +40,7 @@ def diagnose_unmatched(
         }
     )
     picked = keyed if sample is None else sample_rows(keyed, F.col("outcome_id"), sample, seed)
+    picked = cut(picked, "picked")
     grant_keys = grants.select(
         "grant_id",
         "title",
