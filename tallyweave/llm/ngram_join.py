@@ -11,9 +11,10 @@ others holds hardly any strangers. A point lies in one box per block.
 
 Points of one box are compared by their overlap bound, the sum over 256 coarser
 groups of the smaller count; pairs that pass are verified on their exact sets.
-First every point is compared with one pivot of each of its boxes. What that
-links becomes a component, and only pairs of points that still lie in different
-components are compared further, since only components are asked for.
+First every point is compared with one pivot of each of its boxes, then with one
+more point of each, which differs from box to box. What that links becomes a
+component, and only pairs of points that still lie in different components are
+compared further, since only components are asked for.
 """
 
 from __future__ import annotations
@@ -223,34 +224,45 @@ def _verify(bands: Bands):
     return run
 
 
-def _within_boxes(bands: Bands):
-    """Of each box and pair of its tiles, the pairs of components that pass the bound."""
+def _within_boxes(bands: Bands, every: bool):
+    """Of each box and pair of its tiles, pairs of different components that pass the bound.
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    All of them, or for each point the one that comes first in an order that the
+    box's own key shuffles.
+    """
+
+    def pairs(box: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
         keys, labels, sizes, tiles = (np.array(c) for c in list(zip(*rows, strict=True))[:4])
         vectors = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        place = np.argsort(_mix(keys.view(np.uint64) ^ np.array([box]).view(np.uint64))).argsort()
+        first = np.full(len(rows), len(rows))  # place of the point each is to meet
         one_tile = tiles.min() == tiles.max()
         for i in np.flatnonzero(tiles == tiles.min()):
             others = np.arange(i + 1, len(rows)) if one_tile else np.flatnonzero(tiles != tiles[i])
             others = others[labels[others] != labels[i]]
             vector = vectors[i].astype(np.int16)
-            fits = _passes(bands, sizes[others], vectors[others], int(sizes[i]), vector)
-            for j in others[fits]:
-                a, b = sorted((int(keys[i]), int(keys[j])))
-                yield a, b
+            near = others[_passes(bands, sizes[others], vectors[others], int(sizes[i]), vector)]
+            if every:
+                yield from ((int(keys[i]), int(keys[j])) for j in near)
+            elif len(near):
+                first[near] = np.minimum(first[near], place[i])
+                first[i] = min(first[i], place[near].min())
+        at = np.argsort(place)
+        for i in np.flatnonzero(first < len(rows)):
+            yield int(keys[i]), int(keys[at[first[i]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, box, held = Rows(_PAIR), None, []
         names = ("box", "low", "high", "key", "label", "n", "tile", "counts")
         for *of, key, label, n, tile, vector in rows_of(batches, names):
             if of != box:
-                for pair in pairs(held) if len(held) > 1 else ():
-                    if out.add(pair):
+                for pair in pairs(box[0], held) if len(held) > 1 else ():
+                    if out.add((min(pair), max(pair))):
                         yield out.batch()
                 box, held = of, []
             held.append((key, label, n, tile, vector))
-        for pair in pairs(held) if len(held) > 1 else ():
-            out.add(pair)
+        for pair in pairs(box[0], held) if len(held) > 1 else ():
+            out.add((min(pair), max(pair)))
         yield out.batch()
 
     return run
@@ -292,6 +304,33 @@ def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, ba
     return cut(pairs.mapInArrow(_verify(bands), "a bigint, b bigint"), "verified")
 
 
+def _met(filed: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
+    """The points of boxes that hold several components, pivots aside, by pairs of tiles."""
+    by_box = Window.partitionBy("box")
+    rest = (
+        filed.where("key <> pivot")
+        .join(labels, "key", "left")
+        .withColumn("label", F.coalesce("label", "key"))
+        .withColumn("least", F.min("label").over(by_box))
+        .withColumn("most", F.max("label").over(by_box))
+        .where("least <> most")
+        .select("box", "key", "label")
+        .join(points, "key")
+    )
+    by_size = Window.partitionBy("box").orderBy("n", "key")
+    tiled = rest.withColumn(
+        "tile", F.floor((F.row_number().over(by_size) - 1) / TILE)
+    ).withColumn("tiles", F.max("tile").over(by_box))
+    others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles")))
+    return (
+        tiled.select("*", others.alias("other"))
+        .withColumn("low", F.least("tile", "other"))
+        .withColumn("high", F.greatest("tile", "other"))
+        .repartition("box", "low", "high")
+        .sortWithinPartitions("box", "low", "high", "key")
+    )
+
+
 def join(
     documents: DataFrame,
     words: int = 5,
@@ -352,35 +391,16 @@ def join(
     near = _with_points(spokes, points).mapInArrow(_bound(bands), "a bigint, b bigint")
     links = _links(cut(near, "near-spokes"), rows, classes, words, bands)
 
-    labels = components(links).withColumnRenamed("node", "key")
-    rest = (
-        filed.where("key <> pivot")
-        .join(labels, "key", "left")
-        .withColumn("label", F.coalesce("label", "key"))
-        .withColumn("least", F.min("label").over(by_box))
-        .withColumn("most", F.max("label").over(by_box))
-        .where("least <> most")
-        .select("box", "key", "label")
-        .join(points, "key")
-    )
-    by_size = Window.partitionBy("box").orderBy("n", "key")
-    tiled = rest.withColumn(
-        "tile", F.floor((F.row_number().over(by_size) - 1) / TILE)
-    ).withColumn("tiles", F.max("tile").over(by_box))
-    met = (
-        tiled.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles"))).alias("other"))
-        .withColumn("low", F.least("tile", "other"))
-        .withColumn("high", F.greatest("tile", "other"))
-        .repartition("box", "low", "high")
-        .sortWithinPartitions("box", "low", "high", "key")
-    )
-    candidates = met.mapInArrow(_within_boxes(bands), "a bigint, b bigint").distinct()
-    more = _links(
-        cut(candidates.join(spokes, ["a", "b"], "left_anti"), "candidates"),
-        rows, classes, words, bands,
-    )
+    tested = spokes
+    for every in (False, True):
+        labels = components(links).withColumnRenamed("node", "key")
+        met = _met(filed, labels, points)
+        found = met.mapInArrow(_within_boxes(bands, every), "a bigint, b bigint").distinct()
+        pairs = cut(found.join(tested, ["a", "b"], "left_anti"), "candidates")
+        tested = tested.unionByName(pairs)
+        links = links.unionByName(_links(pairs, rows, classes, words, bands))
 
-    labels = components(links.unionByName(more)).withColumnRenamed("node", "key")
+    labels = components(links).withColumnRenamed("node", "key")
     named = cut(
         classes.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")),
         "labelled",
