@@ -25,7 +25,7 @@ from tallyweave.plans.scoring import (
     unreadable_outcomes,
     upsert_scores,
 )
-from tallyweave.runtime import scratch_dir
+from tallyweave.runtime import scratch_path
 from tallyweave.sources.readers import find_tables, read_csv, read_json, read_table
 from tallyweave.sources.writers import (
     read_latest_run,
@@ -196,7 +196,7 @@ def profile_columns(spark, d):
 
 
 def csv_round_trip(spark, d):
-    path = f"{scratch_dir(spark)}/customer-csv-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "customer-csv")
     customers = R.table(spark, d, "customer")
     write_csv(customers, path)
     return read_csv(spark, path, customers.schema)
@@ -204,7 +204,7 @@ def csv_round_trip(spark, d):
 
 def json_round_trip(spark, d):
     """Whole records, their document and nested scores among it."""
-    path = f"{scratch_dir(spark)}/records-json-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "records-json")
     rows = score_outcomes(R.scored_records(spark, d), keep=["event_id"])
     write_json(rows, path)
     back = read_json(spark, path, rows.schema, lines=True)
@@ -220,7 +220,7 @@ def json_round_trip(spark, d):
 
 
 def json_per_person(spark, d):
-    path = f"{scratch_dir(spark)}/person-json-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "person-json")
     rows = R.scored_records(spark, d).select("Name", "event_id", "k", "outcome_data")
     write_json_per_person(rows, path, "Name")
     shape = "Name string, event_id long, k int, outcome_data string, slug string"
@@ -252,7 +252,7 @@ def typed_counts(spark, d):
 
 def latest_run(spark, d):
     """Orders written as one run and then, with one more column, as a newer one."""
-    path = f"{scratch_dir(spark)}/runs-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "runs")
     orders = R.table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     write_run(orders, path, "20240101_000000")
     wider = R.table(spark, d, "orders").select(

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Tables that ``cut`` has written, by application, until they are released.
+# Paths handed out in the shared folder, by application, until they are released.
 _written: dict[str, list[str]] = {}
 
 
@@ -31,6 +31,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, deleted by ``release``."""
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written table.
 
@@ -38,11 +45,9 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     executor, and Spark knows the true size when it chooses a join. The table
     stays until ``release``, since results are read from it lazily.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
