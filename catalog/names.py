@@ -107,7 +107,7 @@ def _folder_part(t: str) -> str:
     )
     return (
         f"SELECT lower(trim({t[0]}_name)) AS clean_name, "
-        f"'{t[:4]}-{t[4:6]}' AS fiscal_year, '{t}.parquet' AS \"Source_File\", {cells} FROM {t}"
+        f"'Unknown' AS fiscal_year, '{t}.parquet' AS \"Source_File\", {cells} FROM {t}"
     )
 
 

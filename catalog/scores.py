@@ -207,7 +207,7 @@ def json_round_trip(spark, d):
     path = scratch_path(spark, "records-json")
     rows = score_outcomes(R.scored_records(spark, d), keep=["event_id"])
     write_json(rows, path)
-    back = read_json(spark, path, rows.schema, lines=True)
+    back = read_json(spark, path, rows.schema)
     return back.select(
         "event_id",
         "researcher",
@@ -224,7 +224,7 @@ def json_per_person(spark, d):
     rows = R.scored_records(spark, d).select("Name", "event_id", "k", "outcome_data")
     write_json_per_person(rows, path, "Name")
     shape = "Name string, event_id long, k int, outcome_data string, slug string"
-    back = read_json(spark, path, shape, lines=True)
+    back = read_json(spark, path, shape)
     in_document = level_count(parsed(F.col("outcome_data")), 2)
     return back.withColumn("in_document", in_document).drop("outcome_data")
 

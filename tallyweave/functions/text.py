@@ -89,9 +89,10 @@ def grant_date(code: Column) -> Column:
 
 
 def fiscal_year_of_file(file_name: Column) -> Column:
-    """``..._201011.csv`` gives ``2010-11``."""
+    """``..._201011.csv`` gives ``2010-11``; a name without six digits there ``Unknown``."""
     stem = F.substring_index(F.substring_index(file_name, "_", -1), ".", 1)
-    return F.concat(F.substring(stem, 1, 4), F.lit("-"), F.substring(stem, 5, 2))
+    year = F.concat(F.substring(stem, 1, 4), F.lit("-"), F.substring(stem, 5, 2))
+    return F.when(stem.rlike("^[0-9]{6}"), year).otherwise(F.lit("Unknown"))
 
 
 def fiscal_year_of_table(table_name: Column) -> Column:

@@ -40,9 +40,12 @@ def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_json(
-    spark: SparkSession, path: str, schema: T.StructType | str, lines: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | str, lines: bool = True
 ) -> DataFrame:
-    """One row per object of files holding one object or an array, or one object a line."""
+    """One row per object: one a line, or with ``lines=False`` files of one object or an array.
+
+    A file that is not read by lines is read by one task, however large it is.
+    """
     return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 

@@ -32,7 +32,7 @@ def test_json_object_and_array(spark, tmp_path):
     one = {"researcher": "r", "data": {"level1_ip": [{"title": "t", "filing_year": 2001}]}}
     (tmp_path / "one.json").write_text(json.dumps(one, indent=2))
     (tmp_path / "many.json").write_text(json.dumps([one, one], indent=2))
-    out = R.read_json(spark, str(tmp_path), f"researcher string, data {OUTCOME_TYPE}")
+    out = R.read_json(spark, str(tmp_path), f"researcher string, data {OUTCOME_TYPE}", lines=False)
     assert [r.data.level1_ip[0].filing_year for r in out.collect()] == [2001] * 3
 
 
@@ -40,10 +40,10 @@ def test_json_per_person(spark, tmp_path):
     rows = spark.createDataFrame([("Doe, Jane", 1), ("Doe, Jane", 2), ("Bo", 3)], "name string, n int")
     W.write_json_per_person(rows, str(tmp_path / "x"), "name")
     assert {p.name for p in (tmp_path / "x").iterdir() if p.is_dir()} == {"slug=Doe_Jane", "slug=Bo"}
-    back = R.read_json(spark, str(tmp_path / "x"), "name string, n int, slug string", lines=True)
+    back = R.read_json(spark, str(tmp_path / "x"), "name string, n int, slug string")
     assert sorted(r.n for r in back.collect()) == [1, 2, 3]
     W.write_json(rows, str(tmp_path / "all"))
-    assert R.read_json(spark, str(tmp_path / "all"), rows.schema, lines=True).count() == 3
+    assert R.read_json(spark, str(tmp_path / "all"), rows.schema).count() == 3
 
 
 def test_tables(spark):

@@ -60,7 +60,7 @@ def test_competition_codes(apply):
 
 def test_fiscal_years(apply):
     files = ["grants_x_201011.csv", "a_200001.tar.csv", "plain.csv"]
-    assert apply(X.fiscal_year_of_file, files) == ["2010-11", "2000-01", "plai-n"]
+    assert apply(X.fiscal_year_of_file, files) == ["2010-11", "2000-01", "Unknown"]
     tables = ["grants_2010_11", "grants_201011", "grants", "a_1b_2"]
     assert apply(X.fiscal_year_of_table, tables) == ["2010-11", "201011", "Unknown", "2"]
 
