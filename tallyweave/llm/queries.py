@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweave.llm import encoding, fingerprints, neighbours, ngram_join, packing, quality, secret_scan, toxicity, url_filter
+from tallyweave.llm import (
+    encoding,
+    fingerprints,
+    license_scan,
+    neighbours,
+    ngram_join,
+    packing,
+    quality,
+    secret_scan,
+    toxicity,
+    url_filter,
+)
 from tallyweave.llm.labels import fold
 
 
@@ -63,6 +74,20 @@ def op6_toxicity(spark, d):
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op7_licenses(spark, d):
+    found = license_scan.scan(_table(spark, d, "documents"))
+    names = F.array_sort(F.array_distinct(F.col("matches.license")))
+    span = F.transform(
+        "matches", lambda m: F.concat_ws(":", m["license"], m["start"], m["end"])
+    )
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("bigint").alias("n_matches"),
+        F.array_join(names, ",").alias("licenses"),
+        F.array_join(span, ",").alias("spans"),
+    )
+
+
 def op8_secrets(spark, d):
     found = secret_scan.scan(_table(spark, d, "documents"))
 
@@ -96,6 +121,7 @@ QUERIES = {
     "op4_encoding": (op4_encoding, None),
     "op5_neighbours": (op5_neighbours, None),
     "op6_toxicity": (op6_toxicity, None),
+    "op7_licenses": (op7_licenses, None),
     "op8_secrets": (op8_secrets, None),
     "op9_url_filter": (op9_url_filter, None),
     "op10_ngram_join": (op10_ngram_join, None),
