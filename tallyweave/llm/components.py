@@ -18,12 +18,11 @@ def components(links: DataFrame) -> DataFrame:
     the shape, and rounds grow with the logarithm of the nodes.
     """
     edges = cut(links.select("a", "b").where("a <> b").distinct(), "links")
-    labels = cut(
+    labels = (
         links.select(F.col("a").alias("node"))
         .unionByName(links.select(F.col("b").alias("node")))
         .distinct()
-        .withColumn("label", F.col("node")),
-        "labels",
+        .withColumn("label", F.col("node"))
     )
     while edges.take(1):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -31,15 +30,12 @@ def components(links: DataFrame) -> DataFrame:
             both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("to")),
             "least",
         )
-        labels = cut(
-            labels.join(least.withColumnRenamed("node", "label"), "label", "left").select(
-                "node", F.coalesce("to", "label").alias("label")
-            ),
-            "labels",
+        labels = labels.join(least.withColumnRenamed("node", "label"), "label", "left").select(
+            "node", F.coalesce("to", "label").alias("label")
         )
         ends = [least.select(F.col("node").alias(e), F.col("to").alias(f"{e}_to")) for e in "ab"]
         drawn = edges.join(ends[0], "a").join(ends[1], "b").where("a_to <> b_to")
         edges = cut(
             drawn.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct(), "links"
         )
-    return labels
+    return cut(labels, "labels")

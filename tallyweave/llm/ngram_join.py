@@ -279,24 +279,17 @@ def _with_points(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, bands: Bands):
-    """The pairs (a, b) whose exact sets are similar enough, as a written table."""
-    wanted = cut(
-        pairs.select(F.col("a").alias("key"))
-        .unionByName(pairs.select(F.col("b").alias("key")))
-        .distinct(),
-        "wanted-sets",
+    """The pairs (a, b) whose exact sets are similar enough, as a written table; some twice."""
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(
+        pairs.select(F.col("b").alias("key"))
     )
     # one document of each wanted set; another text under its id is told apart by its key
-    ids = classes.join(wanted, "key", "left_semi").select(F.col("first").alias("id")).distinct()
+    ids = classes.join(wanted, "key", "left_semi").select(F.col("first").alias("id"))
     texts = rows.join(
         small(cut(ids, "wanted-ids"), 16), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"
     )
     sets = cut(
-        texts.select("text")
-        .mapInArrow(_sets(words), "key bigint, shingles binary")
-        .join(wanted, "key", "left_semi")
-        .dropDuplicates(["key"]),
-        "sets",
+        texts.select("text").mapInArrow(_sets(words), "key bigint, shingles binary"), "sets"
     )
     for end in "ab":
         side = sets.select(F.col("key").alias(end), F.col("shingles").alias(f"{end}_set"))
@@ -391,16 +384,16 @@ def join(
     near = _with_points(spokes, points).mapInArrow(_bound(bands), "a bigint, b bigint")
     links = _links(cut(near, "near-spokes"), rows, classes, words, bands)
 
-    tested = spokes
+    tested, labels = spokes, filed.select("key", F.col("key").alias("label")).distinct()
     for every in (False, True):
-        labels = components(links).withColumnRenamed("node", "key")
         met = _met(filed, labels, points)
         found = met.mapInArrow(_within_boxes(bands, every), "a bigint, b bigint").distinct()
         pairs = cut(found.join(tested, ["a", "b"], "left_anti"), "candidates")
         tested = tested.unionByName(pairs)
-        links = links.unionByName(_links(pairs, rows, classes, words, bands))
-
-    labels = components(links).withColumnRenamed("node", "key")
+        more = _links(pairs, rows, classes, words, bands) if pairs.take(1) else pairs
+        if not every or more.take(1):
+            links = links.unionByName(more)
+            labels = components(links).withColumnRenamed("node", "key")
     named = cut(
         classes.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")),
         "labelled",
