@@ -7,7 +7,8 @@ than d blocks by their hash; so two linked points have the same counts in every
 group of some block. These blocks are the index's boxes: boxes that span all
 coordinates, as an R-tree would draw them, overlap every query at such
 thresholds, while a box that is exact in one block's coordinates and open in all
-others holds hardly any strangers. A point lies in one box per block.
+others holds hardly any strangers, empty blocks aside, which are left out. A
+point lies in one box per block.
 
 Points of one box are compared by their overlap bound, the sum over 256 coarser
 groups of the smaller count; pairs that pass are verified on their exact sets.
@@ -47,9 +48,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_CELLS = _mix(np.arange(1, 65, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-
-
 class _Words(dict):
     """64-bit hash of each word met."""
 
@@ -114,16 +112,24 @@ class Bands:
 
 
 def boxes(shingles: np.ndarray, filed: list[tuple[int, int]]) -> np.ndarray:
-    """A key for each box: band, block, and a linear hash of the block's 64 group counts."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CELLS[shingles & _U(63)])])
+    """A key for each box: band, block, and a linear hash of the block's 65,536 group counts.
+
+    A quarter more blocks are made than asked for, and as many of the emptiest are
+    left out: of the blocks that two linked sets have in common, at least one more
+    than are left out, the fullest stays with both. Ties go by place.
+    """
+    weights = _mix((shingles & _U(0xFFFF)) + _U(0x9E3779B97F4A7C15))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weights)])
     high, made = shingles >> _U(32), []
-    for band, blocks in filed:
+    for band, asked in filed:
+        blocks = asked + (asked + 3) // 4
         block = (high * _U(blocks)) >> _U(32)
         edges = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
         counts = sums[edges[1:]] - sums[edges[:-1]]
         of_band = np.full(blocks, band + 1, np.uint64) * _U(0xD1B54A32D192ED03)
         place = _mix(np.arange(blocks, dtype=np.uint64) + of_band)
-        made.append(_mix(counts + place))
+        fullest = np.argsort(-np.diff(edges), kind="stable")[:asked]
+        made.append(_mix(counts + place)[fullest])
     return np.concatenate(made) if made else np.zeros(0, np.uint64)
 
 
@@ -359,13 +365,15 @@ def join(
         "classes",
     )
     by_box = Window.partitionBy("box")
+    # Boxes of the same points say the same: one stays for each set of points.
     filed = cut(
         sketch.where("boxes is not null")
         .select(F.explode("boxes").alias("box"), "key")
         .withColumn("pivot", F.min("key").over(by_box))
         .withColumn("last", F.max("key").over(by_box))
+        .withColumn("members", F.bit_xor(F.xxhash64("key")).over(by_box))
         .where("pivot <> last")
-        .select("box", "key", "pivot")
+        .select(F.col("members").alias("box"), "key", "pivot")
         .distinct(),
         "boxes",
     )
