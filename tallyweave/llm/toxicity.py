@@ -26,8 +26,8 @@ from tallyweave.llm.common import rows_of, text_of
 from tallyweave.llm.labels import learning_rows
 from tallyweave.runtime import cut
 
-# Labelled rows that a fit learns from at most, and voters it keeps at most.
-MOST_ROWS, MOST_VOTERS = 20_000, 600
+# Labelled rows that a fit learns from at most, and voters whose correlations are held at a time.
+MOST_ROWS, BLOCK = 20_000, 256
 # Lengths of word beginnings that can be patterns; a pattern is written with a final star.
 STEMS = (4, 5, 6)
 LABEL_ACCURACY = 0.999
@@ -47,7 +47,7 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for text, label in rows_of([batch], ("text", "label")):
             seen[int(label)].update(traits(text) | {""})
-        names = sorted(seen[0] | seen[1]) if seen[1] else [""]
+        names = sorted(seen[0] | seen[1])
         yield pa.RecordBatch.from_pydict(
             {
                 "trait": names,
@@ -57,8 +57,8 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def mine_voters(rows: DataFrame, most: int, least_texts: int, least_lift: float) -> list[str]:
-    """Traits of at least ``least_texts`` toxic texts that are ``least_lift`` times as frequent there.
+def mine_voters(rows: DataFrame, least_texts: int, least_lift: float) -> list[str]:
+    """All traits of at least ``least_texts`` toxic texts that are ``least_lift`` times as frequent there.
 
     ``rows`` holds ``text`` and ``label``. The strongest come first, ties by name.
     """
@@ -76,11 +76,77 @@ def mine_voters(rows: DataFrame, most: int, least_texts: int, least_lift: float)
         counts.where("trait <> ''")
         .where((F.col("toxic") >= least_texts) & (lift >= least_lift))
         .orderBy((F.log(lift) * F.sqrt("toxic")).desc(), "trait")
-        .limit(most)
     )
     return [row.trait for row in chosen.select("trait").collect()]
 
 
+@dataclass(frozen=True)
+class Votes:
+    """0/1 votes, a row per text, as the places of the ones, by row."""
+
+    row: np.ndarray
+    voter: np.ndarray
+    shape: tuple[int, int]
+
+    @staticmethod
+    def of(votes: Votes | np.ndarray) -> Votes:
+        return votes if isinstance(votes, Votes) else Votes(*np.nonzero(votes), votes.shape)
+
+    def sums(self, of_voters: np.ndarray) -> np.ndarray:
+        """Of each row, the sum over the voters that fire."""
+        return np.bincount(self.row, of_voters[self.voter], self.shape[0])
+
+    def totals(self, of_rows: np.ndarray) -> np.ndarray:
+        """Of each voter, the sum over the rows it fires in."""
+        return np.bincount(self.voter, of_rows[self.row], self.shape[1])
+
+    def together(self, texts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """How many texts each two voters share: a block of voters at a time, places and values."""
+        ends = np.searchsorted(self.row, np.arange(self.shape[0] + 1))
+        out = []
+        for low in range(0, self.shape[1], BLOCK):
+            shared = np.zeros((min(BLOCK, self.shape[1] - low), self.shape[1]))
+            for row in np.unique(self.row[(self.voter >= low) & (self.voter < low + BLOCK)]):
+                fired = self.voter[ends[row] : ends[row + 1]]
+                inside = fired[(fired >= low) & (fired < low + BLOCK)] - low
+                shared[np.ix_(inside, fired)] += texts[row]
+            places = np.flatnonzero(shared)
+            out.append((places, shared.ravel()[places]))
+        return out
+
+
+def _repeats(
+    votes: Votes,
+    shared: list[tuple[np.ndarray, np.ndarray]],
+    texts: np.ndarray,
+    posterior: np.ndarray,
+    rates: tuple[np.ndarray, np.ndarray],
+    noise: float,
+) -> np.ndarray:
+    """Of each voter, the sum of its absolute correlations above ``noise`` with others.
+
+    Correlated are the votes less what the row's posterior and the voters'
+    ``rates`` make of them, so all but the shared texts is of rank four.
+    """
+    p, q = posterior * texts, (1 - posterior) * texts
+    a, c = rates
+    in_p, in_q = votes.totals(p), votes.totals(q)
+    pp, pq, qq = p @ posterior, p @ (1 - posterior), q @ (1 - posterior)
+    left = np.c_[in_p, in_q, a, c]
+    right = np.c_[a, c, in_p - pp * a - pq * c, in_q - pq * a - qq * c]
+    norm = np.sqrt(np.maximum(votes.totals(texts) - (left * right).sum(1), 0)) + 1e-9
+    out = np.zeros(votes.shape[1])
+    for low, (places, values) in zip(range(0, len(out), BLOCK), shared, strict=True):
+        high = min(low + BLOCK, len(out))
+        block = -left[low:high] @ right.T
+        block.ravel()[places] += values
+        block = np.abs(block / norm[low:high, None] / norm)
+        block[np.arange(high - low), np.arange(low, high)] = 0
+        block[block <= noise] = 0
+        out[low:high] = block.sum(1)
+    return out
+
+
 @dataclass(frozen=True)
 class LabelModel:
     """Of each voter: how often it fires in toxic and in other texts, and its weight."""
@@ -90,16 +156,16 @@ class LabelModel:
     in_clean: np.ndarray
     weight: np.ndarray
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: Votes | np.ndarray) -> np.ndarray:
         """P(toxic) from 0/1 votes, a row per text."""
         fired = np.log(self.in_toxic / self.in_clean) * self.weight
         silent = np.log((1 - self.in_toxic) / (1 - self.in_clean)) * self.weight
-        z = np.log(self.prior / (1 - self.prior)) + votes @ (fired - silent) + silent.sum()
+        z = np.log(self.prior / (1 - self.prior)) + Votes.of(votes).sums(fired - silent) + silent.sum()
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit_label_model(
-    votes: np.ndarray,
+    votes: Votes | np.ndarray,
     labels: np.ndarray,
     texts: np.ndarray | None = None,
     rounds: int = 20,
@@ -112,53 +178,66 @@ def fit_label_model(
     posteriors, then their correlations within either class; a voter's weight is
     one over one plus the sum of its absolute correlations with others.
     """
-    texts = np.ones(len(votes)) if texts is None else texts
+    votes = Votes.of(votes)
+    texts = np.ones(votes.shape[0]) if texts is None else texts
     known = ~np.isnan(labels)
     sure = np.log(accuracy / (1 - accuracy))
     offset = np.where(known, np.where(labels == 1, sure, -sure), 0.0)
     posterior = np.where(
         known,
         np.where(labels == 1, accuracy, 1 - accuracy),
-        np.where(votes.any(axis=1), 0.7, 0.05),
+        np.where(np.bincount(votes.row, minlength=votes.shape[0]) > 0, 0.7, 0.05),
     )
     noise = 4 / np.sqrt(texts.sum())  # what chance alone makes of independent voters
+    shared = votes.together(texts)
     model = None
     for _ in range(rounds):
         p, q = posterior * texts, (1 - posterior) * texts
-        in_toxic = (p @ votes + 0.1) / (p.sum() + 1)
-        in_clean = (q @ votes + 0.01) / (q.sum() + 1)
-        expected = np.outer(posterior, in_toxic) + np.outer(1 - posterior, in_clean)
-        centred = (votes - expected) * np.sqrt(texts)[:, None]
-        centred /= np.sqrt((centred**2).sum(0)) + 1e-9
-        together = np.abs(centred.T @ centred)
-        np.fill_diagonal(together, 0)
-        together[together <= noise] = 0
+        in_toxic = (votes.totals(p) + 0.1) / (p.sum() + 1)
+        in_clean = (votes.totals(q) + 0.01) / (q.sum() + 1)
+        repeats = _repeats(votes, shared, texts, posterior, (in_toxic, in_clean), noise)
         prior = float(np.clip(p.sum() / texts.sum(), 1e-3, 1 - 1e-3))
-        model = LabelModel(prior, in_toxic, in_clean, 1 / (1 + together.sum(0)))
+        model = LabelModel(prior, in_toxic, in_clean, 1 / (1 + repeats))
         from_votes = model.posterior(votes)
         z = np.log(from_votes) - np.log1p(-from_votes) + offset
         posterior = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return model, posterior
 
 
+def _steepest(votes: Votes, share: np.ndarray) -> float:
+    """A bound just above the largest eigenvalue of the weighted votes' squares, intercept included.
+
+    For any positive vector the largest ratio of its image to itself is one
+    (Collatz and Wielandt); a power iteration makes it tight.
+    """
+    one, of_voters, bound = 1.0, votes.totals(share), share.sum()
+    fires = of_voters > 0
+    for _ in range(100):
+        rows = share * (one + votes.sums(of_voters))
+        new, new_of = rows.sum(), votes.totals(rows)
+        bound = max(new / one, (new_of[fires] / of_voters[fires]).max(initial=0.0))
+        one, of_voters = 1.0, new_of / new
+    return float(bound)
+
+
 def fit_linear(
-    votes: np.ndarray,
+    votes: Votes | np.ndarray,
     target: np.ndarray,
     texts: np.ndarray | None = None,
     penalty: float = 1e-5,
     rounds: int = 1500,
 ) -> tuple[float, np.ndarray]:
     """Intercept and weights of a logistic regression on soft labels, by accelerated descent."""
-    texts = np.ones(len(votes)) if texts is None else texts
-    x = np.hstack([np.ones((len(votes), 1)), votes])
+    votes = Votes.of(votes)
+    texts = np.ones(votes.shape[0]) if texts is None else texts
     share = texts / texts.sum()
-    w, momentum = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    steepest = np.linalg.norm(x * np.sqrt(share)[:, None], 2) ** 2
-    rate = 4 / (steepest + 4 * penalty)
+    w, momentum = np.zeros(votes.shape[1] + 1), np.zeros(votes.shape[1] + 1)
+    rate = 4 / (_steepest(votes, share) + 4 * penalty)
     for k in range(rounds):
         ahead = w + momentum * (k / (k + 3))
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        slope = x.T @ (share * (p - target)) + penalty * np.r_[0, ahead[1:]]
+        p = 1 / (1 + np.exp(-np.clip(ahead[0] + votes.sums(ahead[1:]), -30, 30)))
+        miss = share * (p - target)
+        slope = np.r_[miss.sum(), votes.totals(miss)] + penalty * np.r_[0, ahead[1:]]
         new = ahead - rate * slope
         momentum, w = new - w, new
     return float(w[0]), w[1:]
@@ -192,8 +271,8 @@ class ToxicityModel:
         return rows.mapInArrow(run, f"row {row_type}, score double")
 
 
-def _votes(rows: DataFrame, voters: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """0/1 votes and labels of a bounded number of rows, brought to the driver."""
+def _votes(rows: DataFrame, voters: list[str]) -> tuple[Votes, np.ndarray, np.ndarray]:
+    """Votes, labels and number of texts of a bounded number of rows, equal ones as one, on the driver."""
     place = {name: i for i, name in enumerate(voters)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,10 +287,18 @@ def _votes(rows: DataFrame, voters: list[str]) -> tuple[np.ndarray, np.ndarray]:
             )
 
     given = rows.mapInArrow(run, "label double, fired array<int>").toArrow()
-    votes = np.zeros((given.num_rows, len(voters)), np.int8)
-    for i, fired in enumerate(given.column("fired").to_pylist()):
-        votes[i, fired] = 1
-    return votes, given.column("label").to_numpy()
+    alike = Counter(
+        zip(map(tuple, given.column("fired").to_pylist()), given.column("label").to_pylist(), strict=True)
+    )
+    kinds = sorted(alike)
+    sizes = [len(fired) for fired, _ in kinds]
+    votes = Votes(
+        np.repeat(np.arange(len(kinds)), sizes),
+        np.array([voter for fired, _ in kinds for voter in fired], np.int64),
+        (len(kinds), len(voters)),
+    )
+    labels = np.array([label for _, label in kinds], float)
+    return votes, labels, np.array([alike[kind] for kind in kinds], float)
 
 
 def fit(
@@ -221,7 +308,6 @@ def fit(
     folds: int = 4,
     held: int = 2,
     most_rows: int = MOST_ROWS,
-    most_voters: int = MOST_VOTERS,
     least_texts: int = 3,
     least_lift: float = 8.0,
 ) -> ToxicityModel:
@@ -234,13 +320,12 @@ def fit(
     rows = cut(
         learning_rows(documents, labels, label, folds, held, most_rows), "toxicity-texts"
     )
-    voters = mine_voters(rows, most_voters, least_texts, least_lift)
-    votes, given = _votes(rows, voters)
+    voters = mine_voters(rows, least_texts, least_lift)
+    votes, given, texts = _votes(rows, voters)
     if not voters or not len(given):
-        mean = float(np.clip(given.mean() if len(given) else 0.0, 1e-9, 1 - 1e-9))
+        mean = np.average(given, weights=texts) if len(given) else 0.0
+        mean = float(np.clip(mean, 1e-9, 1 - 1e-9))
         return ToxicityModel(float(np.log(mean / (1 - mean))), {})
-    rows_alike, texts = np.unique(np.c_[votes, given], axis=0, return_counts=True)
-    votes, given = rows_alike[:, :-1], rows_alike[:, -1]
     _, posterior = fit_label_model(votes, given, texts)
     intercept, weights = fit_linear(votes, posterior, texts)
     return ToxicityModel(intercept, dict(zip(voters, weights.tolist(), strict=True)))

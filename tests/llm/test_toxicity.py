@@ -50,6 +50,43 @@ def test_texts_with_planted_words(spark):
     assert got[None] >= 0.3 and max(got[500], got[501], got[502]) < 0.3
 
 
+def test_voters_do_not_depend_on_partitions(spark):
+    rows = [(f"common words vile{i % 9}", 1.0) for i in range(40)]
+    rows += [(f"common words other{i % 9}", 0.0) for i in range(280)]
+    for parts in (1, 8):  # of 8, the first holds all toxic rows and no clean one
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "text string, label double")
+        found = toxicity.mine_voters(df, 3, 8.0)
+        assert set(found) == {f"vile{i}" for i in range(9)} | {"vile*"}, parts
+
+
+def test_every_voter_that_passes_is_kept(spark):
+    rows = [(i, f"z{i % 700:03d}") for i in range(2100)] + [(i, f"c{i % 50}") for i in range(2100, 9000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 2100)) for i, _ in rows], LABELS)
+    model = toxicity.fit(docs, labels, held=-2)
+    assert {f"z{i:03d}" for i in range(700)} <= model.weights.keys()
+    got = {r.row.doc_id: r.score for r in model.score(docs).collect()}
+    assert all((got[i] >= 0.3) == (i < 2100) for i, _ in rows)
+
+
+def test_correlations_equal_the_dense_ones(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 4)
+    random = np.random.default_rng(3)
+    votes = (random.random((300, 11)) < 0.2).astype(float)
+    texts, p = random.integers(1, 5, 300).astype(float), random.random(300)
+    a, c = random.random(11), random.random(11)
+    centred = (votes - np.outer(p, a) - np.outer(1 - p, c)) * np.sqrt(texts)[:, None]
+    centred /= np.sqrt((centred**2).sum(0)) + 1e-9
+    want = np.abs(centred.T @ centred)
+    np.fill_diagonal(want, 0)
+    want[want <= 0.1] = 0
+    v = toxicity.Votes.of(votes)
+    assert toxicity._repeats(v, v.together(texts), texts, p, (a, c), 0.1) == pytest.approx(want.sum(0))
+    share = texts / texts.sum()
+    norm = np.linalg.norm(np.c_[np.ones(300), votes] * np.sqrt(share)[:, None], 2) ** 2
+    assert norm <= toxicity._steepest(v, share) * (1 + 1e-12) <= norm * 1.01
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     for rows in ([], [(1, 0)], [(1, None)], [(9, 1)]):
