@@ -1,17 +1,18 @@
-"""License scans: MinHash over overlapping word windows, then exact containment.
+"""License scans: every place that holds a template's word shingles, then exact containment.
 
-For each length of template, windows of as many words start at every word. A
-window's MinHash values are minima of hashed word shingles; a template is
-retrieved where one of them (a band of one row) equals its own. With n bands a
-window of similarity j is missed with probability (1 - j) ** n. What is
-retrieved is verified by the share of the template's shingles that it holds.
+The shingles of a text that any template has are looked up in a sorted list.
+Where enough of one template's lie close together, the share of its shingles is
+counted in windows of the template's length and in spans of up to its length
+over the least share, so that inserted words, and texts that break off, still
+match. Nothing is retrieved by chance: a span that holds enough is found.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from tallyweave.llm.common import Rows, narrow, rows_of
 
-# Words of a shingle, bands, share of a template that must be there, and text hashed at a time.
-SHINGLE, BANDS, LEAST, BATCH_BYTES = 3, 12, 0.8, 4 << 20
+# Words of a shingle, share of a template that must be there, and text hashed at a time.
+SHINGLE, LEAST, BATCH_BYTES = 3, 0.8, 4 << 20
 
 # Notices by the name of their license.
 TEMPLATES = {
@@ -49,9 +50,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_SEEDS = _mix(np.arange(1, 65, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-
-
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _REMEMBERED:
@@ -74,66 +72,90 @@ def shingles(words: list[int]) -> np.ndarray:
     return out
 
 
-def window_minima(values: np.ndarray, size: int) -> np.ndarray:
-    """The minimum of every ``size`` values in a row, by doubling."""
-    reach = 1
-    while 2 * reach <= size:
-        values = np.minimum(values[:-reach], values[reach:])
-        reach *= 2
-    rest = size - reach
-    return np.minimum(values[:-rest], values[rest:]) if rest else values
-
-
 @dataclass(frozen=True)
 class _Template:
     name: str
     shingles: np.ndarray  # sorted, distinct
-    minima: np.ndarray  # one per band
+    size: int  # shingles, repeated ones too
+    need: int  # fewest distinct shingles that are enough
+    reach: int  # shingles of the longest span
 
 
-def _prepared(templates: Mapping[str, str], bands: int) -> dict[int, list[_Template]]:
-    """The templates by their number of shingles."""
-    known, out = _Words(), defaultdict(list)
+def _prepared(templates: Mapping[str, str], least: float) -> tuple[np.ndarray, list[_Template]]:
+    """All shingles of the templates, sorted, and the templates."""
+    known, out = _Words(), []
     for name, text in sorted(templates.items()):
         found = shingles([known[w] for w in plain(text).split()])
         if not len(found):
             raise ValueError(f"{name}: a template has {SHINGLE} words at least")
-        minima = np.array([_mix(found ^ seed).min() for seed in _SEEDS[:bands]], np.uint64)
-        out[len(found)].append(_Template(name, np.unique(found), minima))
-    return out
+        distinct = np.unique(found)
+        need = next(n for n in range(1, len(distinct) + 1) if n / len(distinct) >= least)
+        out.append(_Template(name, distinct, len(found), need, math.ceil(len(found) / least)))
+    every = [t.shingles for t in out]
+    return np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64), out
+
+
+def _within(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are among the sorted ones."""
+    at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
+    return sorted_values[at] == values
 
 
 def _matches(
-    found: np.ndarray, owner: np.ndarray, prepared: dict[int, list[_Template]], bands: int, least: float
-) -> Iterator[tuple[int, int, int, str, float]]:
-    """(text, first word, words, name, containment) of the windows that pass.
+    found: np.ndarray, firsts: np.ndarray, every: np.ndarray, prepared: list[_Template]
+) -> Iterator[tuple[int, bool, int, int, str, float]]:
+    """(text, wide, first word, words, name, containment) of the windows and spans that pass.
 
-    ``found`` are the shingles of several texts in a row, ``owner`` the text of each.
+    ``found`` are the shingles of several texts in a row, ``firsts`` where each
+    begins, and the end. Windows have the template's length; spans, which are
+    wide, begin and end with a shingle of the template.
     """
-    retrieved = defaultdict(list)
-    for seed in range(bands):
-        hashed = _mix(found ^ _SEEDS[seed])
-        for size, templates in prepared.items():
-            if size <= len(found):
-                minima = window_minima(hashed, size)
-                for template in templates:
-                    retrieved[template.name].append(np.flatnonzero(minima == template.minima[seed]))
-    for size, templates in prepared.items():
-        for template in templates:
-            starts = retrieved.get(template.name)
-            for start in np.unique(np.concatenate(starts)).tolist() if starts else ():
-                if owner[start] == owner[start + size - 1]:
-                    window = np.unique(found[start : start + size])
-                    held = np.isin(window, template.shingles, assume_unique=True).sum()
-                    share = float(held / len(template.shingles))
-                    if share >= least:
-                        yield int(owner[start]), start, size + SHINGLE - 1, template.name, share
-
-
-def _best(matches: list[tuple]) -> list[tuple]:
-    """Of windows of one template that overlap, the fullest, then the first."""
+    hits = np.flatnonzero(_within(every, found)) if len(every) else np.zeros(0, np.int64)
+    if not len(hits):
+        return
+    values = found[hits]
+    owners = np.searchsorted(firsts, hits, "right") - 1
+    for t in prepared:
+        own = _within(t.shingles, values)
+        places, held, texts = hits[own], values[own], owners[own]
+        last = np.arange(len(places) - t.need + 1) + t.need - 1
+        close = places[last] - places[: len(last)] < t.reach if len(last) else np.zeros(0, bool)
+        starts: dict[int, int] = {}
+        for i in np.flatnonzero(close).tolist():
+            text, end = int(texts[i]), int(firsts[texts[i] + 1])
+            if texts[i + t.need - 1] != text:
+                continue
+            low = max(int(places[i + t.need - 1]) - t.size + 1, int(firsts[text]))
+            for start in range(low, min(int(places[i]), end - t.size) + 1):
+                starts[start] = text
+            stop = np.searchsorted(places, min(int(places[i]) + t.reach, end))
+            _, new = np.unique(held[i:stop], return_index=True)
+            if len(new) >= t.need:
+                n = int(places[i + new.max()] - places[i]) + SHINGLE
+                yield text, True, int(places[i]), n, t.name, len(new) / len(t.shingles)
+        for start, text in starts.items():
+            low, high = np.searchsorted(places, (start, start + t.size))
+            n = len(np.unique(held[low:high]))
+            if n >= t.need:
+                yield text, False, start, t.size + SHINGLE - 1, t.name, n / len(t.shingles)
+
+
+def _best(matches: list[tuple], wide: Sequence[tuple] = ()) -> list[tuple]:
+    """Of windows of one template that overlap, the fullest, then the first.
+
+    A ``wide`` span counts if no window that holds it is as full, the shortest first.
+    """
+    wide = [
+        w for w in wide
+        if not any(
+            m[2] == w[2] and m[3] >= w[3] and m[0] <= w[0] and w[0] + w[1] <= m[0] + m[1]
+            for m in matches
+        )
+    ]
+    ranked = [((-m[3], 0, 0, m[0]), m) for m in matches]
+    ranked += [((-m[3], 1, m[1], m[0]), m) for m in wide]
     kept: list[tuple] = []
-    for match in sorted(matches, key=lambda m: (-m[3], m[0])):
+    for _, match in sorted(ranked, key=lambda r: r[0]):
         _, words, name, _ = match
         if not any(
             k[2] == name and k[0] < match[0] + words and match[0] < k[0] + k[1] for k in kept
@@ -147,18 +169,19 @@ def scan(
     templates: Mapping[str, str] = TEMPLATES,
     doc_id: str = "doc_id",
     text: str = "text",
-    bands: int = BANDS,
     least: float = LEAST,
 ) -> DataFrame:
     """``doc_id`` and ``matches`` of every whole text: (start, end, license, containment).
 
-    Places are code points, end exclusive. Letter case and signs do not count. Of
-    windows of one license that overlap, the fullest counts, then the first.
+    Places are code points, end exclusive. Letter case and signs do not count. A
+    match is a window of the template's length that holds ``least`` of its
+    shingles, or a span of up to the length over ``least`` that holds as much and
+    lies in no window as full; the span may be shorter than the template. Of those of one
+    license that overlap, the fullest counts, then windows, the shorter span, the
+    first.
 
     Null text counts as empty: no matches. Null and repeated ids are kept, other
-    columns ignored. Nothing is shuffled. A window that holds ``least`` of a
-    template has a similarity of ``least / (2 - least)`` or more: at 0.8 and 12
-    bands it is missed with a probability below 2 in a million.
+    columns ignored. Nothing is shuffled, and no match is missed.
     """
     rows = narrow(documents, doc_id, text)
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -167,27 +190,21 @@ def scan(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prepared, known = _prepared(templates, bands), _Words()
+        (every, prepared), known = _prepared(templates, least), _Words()
 
         def found_in(held: list[tuple]) -> Iterator[tuple]:
-            parts, owners, firsts, at = [], [], [], 0
-            for i, (_, raw) in enumerate(held):
-                part = shingles([known[w] for w in plain(raw).split()])
-                firsts.append(at)
-                parts.append(part)
-                owners.append(np.full(len(part), i))
-                at += len(part)
-            by_text = defaultdict(list)
-            if at:
-                every = _matches(np.concatenate(parts), np.concatenate(owners), prepared, bands, least)
-                for i, start, words, name, share in every:
-                    by_text[i].append((start - firsts[i], words, name, share))
+            parts = [shingles([known[w] for w in plain(raw).split()]) for _, raw in held]
+            firsts = np.cumsum([0, *map(len, parts)])
+            by_text = defaultdict(lambda: ([], []))
+            if firsts[-1]:
+                for i, wide, start, *rest in _matches(np.concatenate(parts), firsts, every, prepared):
+                    by_text[i][wide].append((start - int(firsts[i]), *rest))
             for i, (given, raw) in enumerate(held):
                 out = []
                 if i in by_text:
                     data = raw.encode()
                     words = [m.span() for m in _WORD.finditer(plain(raw))]
-                    for first, n, name, share in _best(by_text[i]):
+                    for first, n, name, share in _best(*by_text[i]):
                         low, high = words[first][0], words[first + n - 1][1]
                         start = len(data[:low].decode())
                         out.append(

@@ -1,5 +1,6 @@
 """License scans against every window compared in plain Python."""
 
+import math
 import random
 import re
 
@@ -61,3 +62,33 @@ def test_given_documents(spark):
 
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def fullest(text, template, least):
+    """The largest share of the template in any span of up to its length over ``least``."""
+    wanted, held = grams(words_of(template)), grams(words_of(text))
+    reach = math.ceil(len(wanted) / least)
+    return max(
+        (len(set(held[i : i + reach]) & set(wanted)) / len(set(wanted)) for i in range(len(held))),
+        default=0,
+    )
+
+
+def test_inserted_and_missing_words(spark):
+    random.seed(8)
+    long = " ".join(f"term{i}" for i in range(40))
+    templates = {**L.TEMPLATES, "long": long}
+    gpl = L.TEMPLATES["GPL-3.0"].replace("GNU", "well known GNU")
+    texts = [gpl, "before " + gpl + " after", "Licensed under the Apache License, Version 2"]
+    for _ in range(150):
+        words = random.choice(list(templates.values())).split()
+        for _ in range(random.randrange(4)):
+            words.insert(random.randrange(len(words) + 1), random.choice(["Jane", "2020", "x y z"]))
+        low = random.randrange(3)
+        texts.append("start " * random.randrange(3) + " ".join(words[low : len(words) - random.randrange(3)]))
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: {m.license: m.containment for m in r.matches} for r in L.scan(df, templates).collect()}
+    for i, text in enumerate(texts):
+        shares = {name: fullest(text, template, L.LEAST) for name, template in templates.items()}
+        assert got[i] == {name: share for name, share in shares.items() if share >= L.LEAST}, text
+    assert got[0].keys() == got[1].keys() == {"GPL-3.0"} and got[2].keys() == {"Apache-2.0"}
