@@ -14,6 +14,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from types import MappingProxyType
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from tallyweave.llm.common import Rows, narrow, rows_of
 # Words of a shingle, share of a template that must be there, and text hashed at a time.
 SHINGLE, LEAST, BATCH_BYTES = 3, 0.8, 4 << 20
 
-# Notices by the name of their license.
+# The lines that the given documents hold, by license; ``notices`` has a fuller set.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -35,6 +36,7 @@ TEMPLATES = {
 }
 
 _U = np.uint64
+_NONE: Mapping[str, str] = MappingProxyType({})
 _REMEMBERED = 400_000
 _WORD = re.compile(rb"\S+")
 # Byte by byte, so that places stay: A-Z as a-z, ASCII signs and control characters as spaces.
@@ -81,10 +83,15 @@ class _Template:
     reach: int  # shingles of the longest span
 
 
-def _prepared(templates: Mapping[str, str], least: float) -> tuple[np.ndarray, list[_Template]]:
+def _prepared(templates: Mapping[str, str | Sequence[str]], least: float) -> tuple[np.ndarray, list[_Template]]:
     """All shingles of the templates, sorted, and the templates."""
     known, out = _Words(), []
-    for name, text in sorted(templates.items()):
+    wordings = [
+        (name, text)
+        for name, given in sorted(templates.items())
+        for text in ([given] if isinstance(given, str) else given)
+    ]
+    for name, text in wordings:
         found = shingles([known[w] for w in plain(text).split()])
         if not len(found):
             raise ValueError(f"{name}: a template has {SHINGLE} words at least")
@@ -103,8 +110,8 @@ def _within(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def _matches(
     found: np.ndarray, firsts: np.ndarray, every: np.ndarray, prepared: list[_Template]
-) -> Iterator[tuple[int, bool, int, int, str, float]]:
-    """(text, wide, first word, words, name, containment) of the windows and spans that pass.
+) -> Iterator[tuple[int, bool, int, int, str, float, int]]:
+    """(text, wide, first word, words, name, containment, shingles held) of the windows and spans that pass.
 
     ``found`` are the shingles of several texts in a row, ``firsts`` where each
     begins, and the end. Windows have the template's length; spans, which are
@@ -132,33 +139,35 @@ def _matches(
             _, new = np.unique(held[i:stop], return_index=True)
             if len(new) >= t.need:
                 n = int(places[i + new.max()] - places[i]) + SHINGLE
-                yield text, True, int(places[i]), n, t.name, len(new) / len(t.shingles)
+                yield text, True, int(places[i]), n, t.name, len(new) / len(t.shingles), len(new)
         for start, text in starts.items():
             low, high = np.searchsorted(places, (start, start + t.size))
             n = len(np.unique(held[low:high]))
             if n >= t.need:
-                yield text, False, start, t.size + SHINGLE - 1, t.name, n / len(t.shingles)
+                yield text, False, start, t.size + SHINGLE - 1, t.name, n / len(t.shingles), n
 
 
-def _best(matches: list[tuple], wide: Sequence[tuple] = ()) -> list[tuple]:
-    """Of windows of one template that overlap, the fullest, then the first.
+def _best(
+    matches: list[tuple], wide: Sequence[tuple] = (), alike: Mapping[str, str] = _NONE
+) -> list[tuple]:
+    """Of windows of one license, or of ``alike`` ones, that overlap, the fullest, then the first.
 
-    A ``wide`` span counts if no window that holds it is as full, the shortest first.
+    The last value of a match says how full it is. A ``wide`` span counts if no window that holds it is as full, the shortest first.
     """
     wide = [
         w for w in wide
         if not any(
-            m[2] == w[2] and m[3] >= w[3] and m[0] <= w[0] and w[0] + w[1] <= m[0] + m[1]
+            m[2] == w[2] and m[-1] >= w[-1] and m[0] <= w[0] and w[0] + w[1] <= m[0] + m[1]
             for m in matches
         )
     ]
-    ranked = [((-m[3], 0, 0, m[0]), m) for m in matches]
-    ranked += [((-m[3], 1, m[1], m[0]), m) for m in wide]
+    ranked = [((-m[-1], 0, 0, m[0]), m) for m in matches]
+    ranked += [((-m[-1], 1, m[1], m[0]), m) for m in wide]
     kept: list[tuple] = []
     for _, match in sorted(ranked, key=lambda r: r[0]):
-        _, words, name, _ = match
+        words, kind = match[1], alike.get(match[2], match[2])
         if not any(
-            k[2] == name and k[0] < match[0] + words and match[0] < k[0] + k[1] for k in kept
+            alike.get(k[2], k[2]) == kind and k[0] < match[0] + words and match[0] < k[0] + k[1] for k in kept
         ):
             kept.append(match)
     return sorted(kept, key=lambda m: (m[0], m[2]))
@@ -166,24 +175,26 @@ def _best(matches: list[tuple], wide: Sequence[tuple] = ()) -> list[tuple]:
 
 def scan(
     documents: DataFrame,
-    templates: Mapping[str, str] = TEMPLATES,
+    templates: Mapping[str, str | Sequence[str]] = TEMPLATES,
     doc_id: str = "doc_id",
     text: str = "text",
     least: float = LEAST,
+    alike: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """``doc_id`` and ``matches`` of every whole text: (start, end, license, containment).
 
     Places are code points, end exclusive. Letter case and signs do not count. A
-    match is a window of the template's length that holds ``least`` of its
+    template is a license's wording or several. A match is a window of the template's length that holds ``least`` of its
     shingles, or a span of up to the length over ``least`` that holds as much and
-    lies in no window as full; the span may be shorter than the template. Of those of one
-    license that overlap, the fullest counts, then windows, the shorter span, the
-    first.
+    lies in no window as full; the span may be shorter than the template. Of those
+    of one license that overlap, or of licenses that ``alike`` gives the same
+    group, the one that holds most shingles counts, then windows, the shorter
+    span, the first.
 
     Null text counts as empty: no matches. Null and repeated ids are kept, other
     columns ignored. Nothing is shuffled, and no match is missed.
     """
-    rows = narrow(documents, doc_id, text)
+    rows, groups = narrow(documents, doc_id, text), dict(alike or {})
     id_type = rows.schema["doc_id"].dataType.simpleString()
     span = pa.struct(
         [("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("containment", pa.float64())]
@@ -204,7 +215,7 @@ def scan(
                 if i in by_text:
                     data = raw.encode()
                     words = [m.span() for m in _WORD.finditer(plain(raw))]
-                    for first, n, name, share in _best(*by_text[i]):
+                    for first, n, name, share, _ in _best(*by_text[i], groups):
                         low, high = words[first][0], words[first + n - 1][1]
                         start = len(data[:low].decode())
                         out.append(

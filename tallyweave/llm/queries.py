@@ -10,6 +10,7 @@ from tallyweave.llm import (
     license_scan,
     neighbours,
     ngram_join,
+    notices,
     packing,
     quality,
     secret_scan,
@@ -75,7 +76,8 @@ def op6_toxicity(spark, d):
 
 
 def op7_licenses(spark, d):
-    found = license_scan.scan(_table(spark, d, "documents"))
+    documents = _table(spark, d, "documents")
+    found = license_scan.scan(documents, notices.NOTICES, alike=notices.ALIKE)
     names = F.array_sort(F.array_distinct(F.col("matches.license")))
     span = F.transform(
         "matches", lambda m: F.concat_ws(":", m["license"], m["start"], m["end"])

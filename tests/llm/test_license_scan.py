@@ -5,6 +5,7 @@ import random
 import re
 
 from tallyweave.llm import license_scan as L
+from tallyweave.llm import notices, queries
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -92,3 +93,24 @@ def test_inserted_and_missing_words(spark):
         shares = {name: fullest(text, template, L.LEAST) for name, template in templates.items()}
         assert got[i] == {name: share for name, share in shares.items() if share >= L.LEAST}, text
     assert got[0].keys() == got[1].keys() == {"GPL-3.0"} and got[2].keys() == {"Apache-2.0"}
+
+
+def test_the_query_finds_real_notices(spark, tmp_path):
+    rows = [
+        (name, f"/* {chr(10).join(text.split())} */ code follows")
+        for name, texts in notices.NOTICES.items()
+        for text in texts
+    ]
+    mit = notices.NOTICES["MIT"][0].replace("the Software is", "the Example Software is")
+    rows += [("MIT", "Copyright 2020 Jane Doe " + mit), ("", "Permission is granted to walk the dog.")]
+    df = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.licenses for r in queries.op7_licenses(spark, str(tmp_path)).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(rows)}
+
+
+def test_the_query_finds_the_given_lines(spark):
+    df = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    lines = {r.doc_id: {m.license for m in r.matches} for r in L.scan(df).collect()}
+    got = {r.doc_id: set(filter(None, r.licenses.split(","))) for r in queries.op7_licenses(spark, FOLDER).collect()}
+    assert all(names <= got[i] for i, names in lines.items())
