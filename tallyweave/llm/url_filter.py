@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
+from zlib import crc32
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from tallyweave.llm.common import small
 from tallyweave.runtime import cut
 
-# Labelled pages that rules are mined from at most, and mined rules kept at most.
-MOST_PAGES, MOST_RULES = 200_000, 500
+# Labelled pages that rules are mined from at most.
+MOST_PAGES = 200_000
 _BLOCK = "label:block"
 
 
@@ -96,36 +97,47 @@ class MinedRules:
         """Whether some rule's tokens are all among ``tokens``."""
         if not self.index:
             return F.lit(False)
-        filed = F.create_map(
+        # a token finds its rules by its place in a list, however many rules there are
+        places = defaultdict(list)
+        for token, rules in sorted(self.index.items()):
+            places[crc32(token.encode()) % len(self.index)].extend(rules)
+        none = F.array().cast("array<array<string>>")
+        filed = F.array(
             *(
-                item
-                for token, rules in sorted(self.index.items())
-                for item in (
-                    F.lit(token),
-                    F.array(*(F.array(*map(F.lit, sorted(rule))) for rule in rules)),
-                )
+                F.array(*(F.array(*map(F.lit, sorted(rule))) for rule in places[place]))
+                if place in places
+                else none
+                for place in range(len(self.index))
             )
         )
 
         def fits(rule: Column) -> Column:
             return F.size(F.array_except(rule, tokens)) == 0
 
-        none = F.array().cast("array<array<string>>")
-        return F.exists(
-            tokens, lambda token: F.exists(F.coalesce(F.try_element_at(filed, token), none), fits)
-        )
+        def place(token: Column) -> Column:
+            return F.pmod(F.crc32(token), F.lit(len(self.index))).cast("int")
+
+        return F.exists(tokens, lambda token: F.exists(F.get(filed, place(token)), fits))
 
 
-def file_rules(rules: Sequence[tuple[frozenset[str], float]], most: int) -> MinedRules:
+def file_rules(
+    rules: Sequence[tuple[frozenset[str], float]], most: int | None = None
+) -> MinedRules:
     """The index of the rules that say more than the shorter ones.
 
     A rule is left out if a subset of its tokens is a rule of at least its
-    confidence. Of more than ``most``, the surest stay.
+    confidence. Of more than ``most``, if given, the surest stay.
     """
     kept: list[tuple[frozenset[str], float]] = []
+    by_least = defaultdict(list)
     for tokens, sure in sorted(rules, key=lambda r: (len(r[0]), -r[1], sorted(r[0]))):
-        if not any(short <= tokens and sure <= as_sure for short, as_sure in kept):
+        if not any(
+            short <= tokens and sure <= as_sure
+            for token in tokens
+            for short, as_sure in by_least[token]
+        ):
             kept.append((tokens, sure))
+            by_least[min(tokens)].append((tokens, sure))
     kept = sorted(kept, key=lambda r: (-r[1], len(r[0]), sorted(r[0])))[:most]
     uses = Counter(token for tokens, _ in kept for token in tokens)
     index = defaultdict(list)
@@ -140,9 +152,11 @@ def mine(
     least_support: float = 0.002,
     least_confidence: float = 0.6,
     most_pages: int = MOST_PAGES,
-    most_rules: int = MOST_RULES,
 ) -> MinedRules:
-    """Rules from about ``most_pages`` labelled pages at most.
+    """All rules of enough support and confidence, from about ``most_pages`` labelled pages at most.
+
+    A rule that holds all tokens of a shorter one is left out, however sure: it
+    blocks no page that the shorter does not.
 
     A page's label is that of the document whose id is the first number of its
     path: "block" for low quality (0) or toxic (1). Pages without such a
@@ -175,10 +189,8 @@ def mine(
     model = FPGrowth(
         itemsCol="items", minSupport=least_support, minConfidence=least_confidence
     ).fit(baskets)
-    found = model.associationRules.where(F.get("consequent", 0) == _BLOCK).select(
-        "antecedent", "confidence"
-    )
-    return file_rules([(frozenset(r[0]), r[1]) for r in found.toLocalIterator()], most_rules)
+    found = model.associationRules.where(F.get("consequent", 0) == _BLOCK).select("antecedent")
+    return file_rules([(frozenset(r[0]), 1.0) for r in found.toLocalIterator()])
 
 
 def judge(

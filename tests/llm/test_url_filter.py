@@ -91,6 +91,23 @@ def test_mined_rules(planted):
     assert got[900] == "block"
 
 
+def test_every_mined_rule_counts(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    hosts = [f"q{a}{b}z" for a in letters for b in letters]  # 676
+    rows = [(i, f"https://{hosts[i % 676]}.é.de/{i}") for i in range(2028)]
+    rows += [(i, f"https://fine.é.de/{i}") for i in range(2028, 6000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame(
+        [(i, int(i >= 2028), 0) for i, _ in rows], "doc_id bigint, quality int, toxic int"
+    )
+    mined = U.mine(pages, labels, least_support=0.0004)
+    assert {r for filed in mined.index.values() for r in filed} == {
+        frozenset([f"host:{h}"]) for h in hosts
+    }
+    got = {r.page_id: r.verdict for r in U.judge(pages, mined).collect()}
+    assert got == {i: "block" if i < 2028 else "allow" for i, _ in rows}
+
+
 def test_empty_tables(planted):
     pages, labels = planted
     assert U.mine(pages.limit(0), labels).index == {}
