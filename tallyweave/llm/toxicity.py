@@ -6,8 +6,8 @@ fitted by expectation maximisation, estimates how often each voter fires in toxi
 and in other texts, and how much voters move together beyond that; a voter counts
 the less, the more it only repeats others. Given labels take part as one more
 voter of stated accuracy. A linear classifier over the votes is then trained on
-the model's posterior labels, so that it also weighs votes in texts without any
-label.
+the model's posterior labels. ``fit`` learns from labelled rows only: the label
+model can take rows without label, but none are given to it.
 """
 
 from __future__ import annotations
