@@ -303,6 +303,29 @@ def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, ba
     return cut(pairs.mapInArrow(_verify(bands), "a bigint, b bigint"), "verified")
 
 
+def _filed(sketch: DataFrame) -> DataFrame:
+    """``box``, ``key`` and ``pivot`` of the boxes of several points, one for each set of points.
+
+    A set that several tasks have met lies in a box once; the rows are dealt by
+    box for that, which the window needs anyway. The hash of a box's points
+    takes in their number, so that no two sets of points cancel out alike.
+    """
+    by_box = Window.partitionBy("box")
+    return (
+        sketch.where("boxes is not null")
+        .select(F.explode("boxes").alias("box"), "key")
+        .repartition("box")
+        .distinct()
+        .withColumn("pivot", F.min("key").over(by_box))
+        .withColumn("last", F.max("key").over(by_box))
+        .withColumn("points", F.count("key").over(by_box))
+        .withColumn("mixed", F.bit_xor(F.xxhash64("key")).over(by_box))
+        .where("pivot <> last")
+        .select(F.xxhash64("mixed", "points", "pivot", "last").alias("box"), "key", "pivot")
+        .distinct()
+    )
+
+
 def _met(filed: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
     """The points of boxes that hold several components, pivots aside, by pairs of tiles."""
     by_box = Window.partitionBy("box")
@@ -364,19 +387,7 @@ def join(
         sketch.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first")),
         "classes",
     )
-    by_box = Window.partitionBy("box")
-    # Boxes of the same points say the same: one stays for each set of points.
-    filed = cut(
-        sketch.where("boxes is not null")
-        .select(F.explode("boxes").alias("box"), "key")
-        .withColumn("pivot", F.min("key").over(by_box))
-        .withColumn("last", F.max("key").over(by_box))
-        .withColumn("members", F.bit_xor(F.xxhash64("key")).over(by_box))
-        .where("pivot <> last")
-        .select(F.col("members").alias("box"), "key", "pivot")
-        .distinct(),
-        "boxes",
-    )
+    filed = cut(_filed(sketch), "boxes")
     points = cut(
         sketch.where("boxes is not null")
         .select("key", "n", "counts")

@@ -118,5 +118,16 @@ def test_given_documents(spark, words, percent):
     assert got(J.join(df, words, percent)) == brute(rows, words, percent)
 
 
+def test_copies_in_several_partitions_leave_boxes_apart(spark):
+    rows = [(key, [10 * (key // 2), 1000]) for key in range(2, 8)]
+    for copies in (1, 2, 3):
+        sketch = spark.createDataFrame(rows * copies, "key bigint, boxes array<bigint>")
+        filed = J._filed(sketch.repartition(copies)).collect()
+        keys = {}
+        for row in filed:
+            keys.setdefault(row.box, []).append(row.key)
+        assert sorted(map(sorted, keys.values())) == [[2, 3], [2, 3, 4, 5, 6, 7], [4, 5], [6, 7]]
+
+
 def test_empty_table(spark):
     assert J.join(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
