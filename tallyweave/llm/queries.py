@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.llm import (
+    alignment,
     encoding,
     fingerprints,
+    hard_negatives,
     license_scan,
     neighbours,
     ngram_join,
@@ -14,6 +16,7 @@ from tallyweave.llm import (
     packing,
     quality,
     secret_scan,
+    token_counts,
     toxicity,
     url_filter,
 )
@@ -116,6 +119,45 @@ def op10_ngram_join(spark, d):
     return ngram_join.join(_table(spark, d, "documents"), words=3, percent=90)
 
 
+def op11_hard_negatives(spark, d):
+    return hard_negatives.mine(_table(spark, d, "embeddings"))
+
+
+HARD_NEGATIVES_SQL = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS code
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS vec_id, a.label = r.label AS same,
+         CAST(list_inner_product(CAST(a.code AS DOUBLE[]), CAST(r.code AS DOUBLE[])) AS BIGINT) AS score
+  FROM usable a JOIN usable r ON a.vec_id <> r.vec_id
+  WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (
+         PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
+def op12_alignment(spark, d):
+    aligned = alignment.align(_table(spark, d, "documents"))
+    return alignment.weigh(aligned, alignment.link_counts(aligned)).drop("place")
+
+
+def op13_token_counts(spark, d):
+    return token_counts.count_tokens(_table(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_quality": (op2_quality, None),
@@ -127,4 +169,7 @@ QUERIES = {
     "op8_secrets": (op8_secrets, None),
     "op9_url_filter": (op9_url_filter, None),
     "op10_ngram_join": (op10_ngram_join, None),
+    "op11_hard_negatives": (op11_hard_negatives, HARD_NEGATIVES_SQL),
+    "op12_alignment": (op12_alignment, None),
+    "op13_token_counts": (op13_token_counts, None),
 }
