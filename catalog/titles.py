@@ -175,18 +175,12 @@ def unmatched_sample(spark, d):
 
 
 def partial(spark, d):
-    titles = _unmatched(spark, d).select(
-        F.col("outcome_id").alias("title_id"), F.col("title_key").alias("title")
-    )
-
-    def keyed(lines):
-        rows = with_usable_key(lines, C.TITLE_COLUMN)
-        return rows.select("grant_id", F.col("title_key").alias("title"))
-
-    lines = R.line_grants(spark, d)
-    return partial_matches(
-        titles, keyed(lines), titles_of=lambda ids: keyed(lines.join(ids, "grant_id", "left_semi"))
-    )
+    lines = _grant_keys(spark, d).select("grant_id", F.col("title_key").alias("title"))
+    lines = cut(lines, "line-titles")
+    outcomes = with_title_key(R.page_outcomes(spark, d), "Project_Title")
+    titles = outcomes.select(F.col("outcome_id").alias("title_id"), F.col("title_key").alias("title"))
+    known = lines.select("title").distinct()
+    return partial_matches(titles.join(known, "title", "left_anti"), lines)
 
 
 def dedupe_titles(spark, d):

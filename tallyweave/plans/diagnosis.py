@@ -31,24 +31,33 @@ def diagnose_unmatched(
 
     ``unmatched`` has ``outcome_id``, ``Name`` and ``Project_Title``; ``grants`` has
     ``grant_id``, ``name`` and ``title``. Partial and name matches are looked for
-    among ``sample`` random rows, or among all with None.
+    among ``sample`` random rows, or among all with None. Both sides are written
+    once with their keys, which every report reads.
     """
-    keyed = unmatched.withColumns(
-        {
-            "title_key": loose_title(F.col("Project_Title")),
-            "name_key": loose_title(F.col("Name")),
-        }
+    keyed = cut(
+        unmatched.select(
+            "outcome_id",
+            "Name",
+            "Project_Title",
+            loose_title(F.col("Project_Title")).alias("title_key"),
+            loose_title(F.col("Name")).alias("name_key"),
+        ),
+        "unmatched",
     )
-    picked = keyed if sample is None else sample_rows(keyed, F.col("outcome_id"), sample, seed)
-    picked = cut(picked, "picked")
-    grant_keys = grants.select(
-        "grant_id",
-        "title",
-        loose_title(F.col("title")).alias("title_key"),
-        loose_title(F.col("name")).alias("name_key"),
+    picked = keyed
+    if sample is not None:
+        picked = cut(sample_rows(keyed, F.col("outcome_id"), sample, seed), "picked")
+    grant_keys = cut(
+        grants.select(
+            "grant_id",
+            "title",
+            loose_title(F.col("title")).alias("title_key"),
+            loose_title(F.col("name")).alias("name_key"),
+        ),
+        "grant-keys",
     )
     return Diagnosis(
-        average_length(unmatched, "Project_Title"),
+        average_length(keyed, "Project_Title"),
         top_words(word_counts(keyed, "title_key")),
         picked,
         partial_matches(

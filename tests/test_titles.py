@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from tallyweave import columns as C
 from tallyweave.operators.dedupe import duplicate_count, first_per_key, without_duplicates
+from tallyweave.operators import partial as partial_module
 from tallyweave.operators.partial import partial_matches
 from tallyweave.operators.titles import keep_known, stage_counts
 from tallyweave.functions.text import record_id
+from tallyweave.runtime import cut
 from tallyweave.operators.words import average_length, sample_rows, top_words, word_counts
 from tallyweave.plans.diagnosis import diagnose_unmatched
 from tallyweave.plans.title_enrichment import enrich_by_title
@@ -146,6 +148,42 @@ def test_partial_same_as_brute_force(spark):
     assert got == expected
 
 
+def test_partial_with_very_long_words(spark):
+    """Words longer than a head agree with brute force, and rows grow with characters only."""
+    rng = random.Random(6)
+    long = ["".join(rng.choices("ab", k=n)) for n in (64, 65, 66, 90, 300)]
+    grown = [rng.choice(long) + rng.choice(["", "b", "ab" * 20]) for _ in range(40)] + ["a" * 64, "a" * 65]
+    titles = [(i, t) for i, t in enumerate([*long, *(w[3:] for w in long), "a" * 70, "aaaaa short"])]
+    grants = list(enumerate([*grown, *long, "x" + long[3][:-1], "short", "a" * 200]))
+    rows = partial_matches(
+        spark.createDataFrame(titles, "title_id int, title string"),
+        spark.createDataFrame(grants, "grant_id int, title string"),
+    ).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.title_id, r.grant_id, r.match_type)):
+        got.setdefault(r.title_id, []).append((r.grant_id, r.match_type))
+    assert got == {i: brute_partial(t, grants) for i, t in titles if brute_partial(t, grants)}
+
+
+def test_partial_lists_a_row_per_character(spark, monkeypatch):
+    whole = "".join(random.Random(7).choices("abcdefgh", k=50_000))
+    rows = []
+
+    def counted(df, label):
+        made = cut(df, label)
+        if label == "contained":
+            rows.append(made.count())
+        return made
+
+    monkeypatch.setattr(partial_module, "cut", counted)
+    titles = spark.createDataFrame([(1, whole[:20]), (2, "a" * 50_000)], "title_id int, title string")
+    grants = spark.createDataFrame([(1, whole), (2, "aaaaa"), (3, whole[100:150])], "grant_id int, title string")
+    got = {(r.title_id, r.grant_id, r.match_type) for r in partial_matches(titles, grants).collect()}
+    assert got == {(1, 1, "word_in_grant"), (2, 2, "word_in_unmatched")}
+    # the word of many equal places is listed once
+    assert rows == [2]
+
+
 def test_diagnosis(spark):
     unmatched = spark.createDataFrame(
         [(1, "Ann Lee", "Sleeping pathways"), (2, "Bo", None), (3, None, "zzz")],
