@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog import roles as R
 from tallyweave import columns as C
@@ -25,13 +26,22 @@ from tallyweave.plans.scoring import (
     unreadable_outcomes,
     upsert_scores,
 )
-from tallyweave.runtime import scratch_path
-from tallyweave.sources.readers import find_tables, read_csv, read_json, read_table
+from tallyweave.runtime import cut, scratch_path
+from tallyweave.sources.readers import (
+    CORRUPT,
+    find_tables,
+    read_csv,
+    read_json,
+    read_table,
+    split_rejects,
+    with_corrupt_column,
+)
 from tallyweave.sources.writers import (
     read_latest_run,
     write_csv,
     write_json,
     write_json_per_person,
+    write_parquet,
     write_run,
     write_table,
 )
@@ -202,6 +212,24 @@ def csv_round_trip(spark, d):
     return read_csv(spark, path, customers.schema)
 
 
+def csv_by_header(spark, d):
+    """Two files whose columns differ in place, letter case and number, and their bad lines."""
+    path = scratch_path(spark, "customer-files")
+    nation = F.when(F.col("c_custkey") % 50 == 0, "n/a").otherwise(F.col("c_nationkey").cast("string"))
+    customers = R.table(spark, d, "customer").withColumn("c_nationkey", nation)
+    even = F.col("c_custkey") % 2 == 0
+    write_csv(customers.where(even).select("c_custkey", "c_name", "c_nationkey"), f"{path}/even")
+    turned = {"C_NATIONKEY": "c_nationkey", "segment": "c_mktsegment", "C_Name": "c_name", "C_CustKey": "c_custkey"}
+    odd = customers.where(~even).select(*[F.col(c).alias(name) for name, c in turned.items()])
+    write_csv(odd, f"{path}/odd")
+    shape = T.StructType.fromDDL("c_custkey long, c_name string, c_nationkey int, c_phone string")
+    lines = read_csv(spark, f"{path}/*", with_corrupt_column(shape))
+    good, bad = split_rejects(cut(lines, "customer-lines"))
+    return good.withColumn("line", F.lit(None).cast("string")).unionByName(
+        bad.select(F.col(CORRUPT).alias("line")), allowMissingColumns=True
+    )
+
+
 def json_round_trip(spark, d):
     """Whole records, their document and nested scores among it."""
     path = scratch_path(spark, "records-json")
@@ -251,7 +279,7 @@ def typed_counts(spark, d):
 
 
 def latest_run(spark, d):
-    """Orders written as one run and then, with one more column, as a newer one."""
+    """Orders written as one run, with one more column as a newer one, and one left unfinished."""
     path = scratch_path(spark, "runs")
     orders = R.table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     write_run(orders, path, "20240101_000000")
@@ -259,6 +287,8 @@ def latest_run(spark, d):
         "o_orderkey", F.lower("o_orderstatus").alias("o_orderstatus"), "o_orderpriority"
     )
     write_run(wider, path, "20240102_000000")
+    # a newer run that has written some rows but is not finished
+    write_parquet(orders.limit(10), f"{path}/run_id=20240103_000000")
     return read_latest_run(spark, path)
 
 
@@ -402,6 +432,13 @@ QUERIES = {
         csv_round_trip,
         "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     ),
+    "q_csv_by_header": (
+        csv_by_header,
+        """SELECT c_custkey, c_name, c_nationkey, NULL::VARCHAR AS c_phone, NULL::VARCHAR AS line
+             FROM customer WHERE c_custkey % 50 <> 0
+           UNION ALL SELECT NULL, NULL, NULL, NULL, c_custkey || ',' || c_name || ',n/a'
+             FROM customer WHERE c_custkey % 50 = 0""",
+    ),
     "q_json_round_trip": (
         json_round_trip,
         f"""SELECT event_id, 'Researcher, ' || user_id AS researcher, 'Project ' || event_id AS project,
