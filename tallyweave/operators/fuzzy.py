@@ -11,11 +11,18 @@ the rest of the string, left and right of the shared segment, must still be
 within k edits, so it is cut into k + 1 segments in turn and the key takes in one
 of those, ``GROWTHS`` times at most. What is heavy even then, and the titles
 still open after the last distance, are compared in slices, of which only the
-best grant per title leaves. Every step is exact; nothing is capped or sampled.
+best grant per title leaves. There signatures are compared before the titles.
+One half has a bit per bucket of letter pairs, set if an odd number of the title's
+pairs falls into it; an edit changes four pairs at most. The other counts the
+letters of each bucket in as many bits, up to eight; an edit changes two counts by
+one at most. So titles within k edits differ in 4 k and 2 k bits at most, while
+titles further apart mostly differ in more. Every step is exact; nothing is capped
+or sampled.
 
 Costs are bounded: a key lists ``HEAVY`` pairs at most; a grant has
 (k + 1) keys at first, (d + 1) ** (GROWTHS + 1) at most at a nearer distance d;
-a comparison in slices costs the titles concerned times their grants.
+a comparison in slices costs the titles concerned times their grants, a few
+machine instructions for all pairs but those with near signatures.
 """
 
 from __future__ import annotations
@@ -34,6 +41,9 @@ HEAVY, GROWTHS, NEAREST = 1_000_000, 2, 3
 # Grants that are compared with a title at a time.
 SLICE = 256
 
+# Words of 64 bits in each half of a signature, and how many of its bits one edit flips at most.
+SIGNATURE_WORDS, PAIRS_FLIPPED, LETTERS_FLIPPED = 4, 4, 2
+
 
 def best_edit_matches(
     titles: DataFrame, grants: DataFrame, max_distance: int = 5, heavy: int = HEAVY
@@ -168,7 +178,8 @@ def _compared(titles: DataFrame, grants: DataFrame, k: int, by: str | None = Non
     """The best grant per title among all of the same ``by``, or of fitting length.
 
     Grants are gathered into slices of about ``SLICE``; a title meets a slice in
-    one row, which leaves with the best of the slice.
+    one row, which leaves with the best of the slice. Only grants whose signature
+    is near are compared by their letters.
     """
     slices = F.ceil(F.lit(grants.count()) / SLICE)
     own = F.col(by) if by else F.length("title")
@@ -176,16 +187,18 @@ def _compared(titles: DataFrame, grants: DataFrame, k: int, by: str | None = Non
         grants.select(
             own.alias("of"),
             F.pmod(F.xxhash64("gid"), F.greatest(slices, F.lit(1))).alias("slice"),
-            F.struct("title", "grant_id", "gid").alias("grant"),
+            F.struct("title", "grant_id", "gid", signature(F.col("title")).alias("signature")).alias("grant"),
         )
         .groupBy("of", "slice")
         .agg(F.collect_list("grant").alias("slice_of"))
     )
     lengths = F.explode(F.sequence(F.length("title") - k, F.length("title") + k))
-    asked = titles.select("tid", "title", (F.col(by) if by else lengths).alias("of"))
+    asked = titles.withColumn("signature", signature(F.col("title"))).select(
+        "tid", "title", "signature", (F.col(by) if by else lengths).alias("of")
+    )
     title = F.col("title")
     near = F.transform(
-        "slice_of",
+        F.filter("slice_of", lambda g: may_be_near(F.col("signature"), g["signature"], k)),
         lambda g: F.struct(
             F.levenshtein(title, g["title"], k).alias("distance"),
             g["grant_id"].alias("grant_id"),
@@ -201,6 +214,55 @@ def _compared(titles: DataFrame, grants: DataFrame, k: int, by: str | None = Non
     )
 
 
+def _put(words: list[Column], word: Column, change) -> list[Column]:
+    """The words of a half, with ``change`` made to the one numbered ``word``."""
+    return [F.when(word == i, change(w)).otherwise(w) for i, w in enumerate(words)]
+
+
+def signature(title: Column) -> Column:
+    """The letter pairs and the letters of a title in bits; an array of words."""
+    n = SIGNATURE_WORDS
+    shift = lambda x, by: F.call_function("shiftleft", x, by.cast("int"))
+    one = F.lit(1).cast("bigint")
+
+    def take(state: Column, at: Column) -> Column:
+        words = [state[f"w{i}"] for i in range(2 * n)]
+        pair = F.pmod(F.xxhash64(F.substring(title, at, F.lit(2))), F.lit(64 * n))
+        pairs = _put(words[:n], F.floor(pair / 64), lambda w: w.bitwiseXOR(shift(one, pair % 64)))
+        # the last place has a letter, but no pair
+        pairs = [F.when(at < F.length(title), new).otherwise(old) for new, old in zip(pairs, words)]
+        letter = F.pmod(F.xxhash64(F.substring(title, at, F.lit(1))), F.lit(8 * n))
+        lane = (letter % 8) * 8
+
+        def count(w: Column) -> Column:
+            held = F.call_function("shiftrightunsigned", w, lane.cast("int")).bitwiseAND(F.lit(255))
+            return w.bitwiseOR(shift((held * 2 + 1).bitwiseAND(F.lit(255)).cast("bigint"), lane))
+
+        letters = _put(words[n:], F.floor(letter / 8), count)
+        return F.struct(*[w.alias(f"w{i}") for i, w in enumerate(pairs + letters)])
+
+    places = F.when(title != "", F.sequence(F.lit(1), F.length(title)))
+    none = F.struct(*[F.lit(0).cast("bigint").alias(f"w{i}") for i in range(2 * n)])
+    return F.aggregate(
+        F.coalesce(places, F.array().cast("array<int>")),
+        none,
+        take,
+        lambda state: F.array(*[state[f"w{i}"] for i in range(2 * n)]),
+    )
+
+
+def may_be_near(left: Column, right: Column, k: int) -> Column:
+    """Whether titles with these signatures can be within ``k`` edits."""
+    differ = [
+        F.bit_count(F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i))))
+        for i in range(2 * SIGNATURE_WORDS)
+    ]
+    pairs, letters = differ[:SIGNATURE_WORDS], differ[SIGNATURE_WORDS:]
+    return (reduce(Column.__add__, letters) <= LETTERS_FLIPPED * k) & (
+        reduce(Column.__add__, pairs) <= PAIRS_FLIPPED * k
+    )
+
+
 # ``gaps`` are the stretches of a grant title no key segment covers yet, each with
 # its start ``gs`` and length ``gl`` in the grant, the open length ``gp`` before
 # it, and the stretch ``ts``, ``tl`` of the title it has to be aligned with.

@@ -104,3 +104,42 @@ def test_dense_cluster(spark, key_rows, heavy, away):
     assert (len(expected) == 0) == (away is None)
     for k, rows in key_rows:  # bounded by the distance alone
         assert rows <= ((k + 1) if k > fuzzy.NEAREST else (k + 1) ** (fuzzy.GROWTHS + 1))
+
+
+def test_signatures_never_part_near_titles(spark):
+    rng = random.Random(11)
+    letters = "abcdefgh é"
+    rows = []
+    for _ in range(3000):
+        text = "".join(rng.choices(letters, k=rng.randint(0, 40)))
+        rows.append((text, changed(rng, text, rng.randint(0, 5), letters)))
+    pairs = spark.createDataFrame(rows + [("a" * 300, "a" * 295), ("", "ab")], "a string, b string")
+    for k in (0, 1, 3, 5):
+        near = pairs.where(F.levenshtein("a", "b") <= k)
+        kept = fuzzy.may_be_near(fuzzy.signature(F.col("a")), fuzzy.signature(F.col("b")), k)
+        assert near.count() > 0 and near.where(~kept).count() == 0
+
+
+def scattered(rng, text, edits):
+    chars = list(text)
+    for at in rng.sample(range(len(chars)), edits):
+        chars[at] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+    return "".join(chars)
+
+
+def test_few_titles_of_a_dense_cluster_are_compared(spark):
+    """A cluster of 20,000 near-identical grants, none within 3 edits of those asked for."""
+    rng = random.Random(12)
+    base = "randomised trial of early rehabilitation after acute ischemic stroke"
+    grants = [(i, scattered(rng, base, 7)) for i in range(20_000)]
+    asked = [scattered(rng, base, 6) for _ in range(60)]
+    titles, known = frames(spark, asked, grants)
+    titles, known = (
+        df.withColumn("signature", fuzzy.signature(F.col("title"))).cache() for df in (titles, known)
+    )
+    pairs = titles.crossJoin(known.withColumnsRenamed({"title": "grant_title", "signature": "other"}))
+    in_reach = F.abs(F.length("title") - F.length("grant_title")) <= 5
+    calls = pairs.where(in_reach & fuzzy.may_be_near(F.col("signature"), F.col("other"), 5))
+    assert calls.count() * 10 <= pairs.where(in_reach).count()
+    expected = brute(titles.select("title"), known, F.levenshtein("title", "grant_title", 5), 5)
+    assert found(best_edit_matches(titles.select("title"), known.select("grant_id", "title"), 5, 5000)) == expected
