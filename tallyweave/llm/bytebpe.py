@@ -49,9 +49,9 @@ def read_json_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, added: bool = False) -> Encoder:
     """The encoder of a vocabulary, made once per worker."""
-    return Encoder(path, pattern)
+    return Encoder(path, pattern, added)
 
 
 class Encoder(dict):
@@ -61,18 +61,26 @@ class Encoder(dict):
     that do not see each other, so a text with no two white spaces in a row is
     cut there and each word's ids are looked up. Other texts go through whole.
     Words with rarer scripts go through the JSON file's own tokenizer.
+
+    Strings of added tokens are ordinary text, or with ``added`` they become the
+    ids that the JSON file's tokenizer gives them: texts that hold one go through it.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: bool = False):
         super().__init__()
         is_json = path.endswith(".json")
         self.ranks = read_json_ranks(path) if is_json else read_ranks(path)
         top = max(self.ranks.values())
         self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
-        self.tokenizer = None
+        self.tokenizer, self.added = None, None
         if is_json:
             self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+            known = self.tokenizer.get_added_tokens_decoder()
+            self.tokenizer.encode_special_tokens = not added
+            if added and known:
+                top = max(top, *known)
+                self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
+                self.added = regex.compile("|".join(regex.escape(t.content) for t in known.values()))
         self.bpe = tiktoken.Encoding(
             "given", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={}
         )
@@ -94,6 +102,9 @@ class Encoder(dict):
         """All ids of the text, little-endian, each as wide as ``kind``."""
         if not text:
             return b""
+        if self.added and self.added.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return np.array(ids, self.kind).tobytes()
         if text[0].isspace() or _DOUBLE_SPACE.search(text):
             return self._whole(text)
         first, *words = text.replace("\n", " \n").split(" ")

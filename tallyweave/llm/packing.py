@@ -35,7 +35,7 @@ def _fields(id_type: pa.DataType, **others: pa.DataType) -> pa.Schema:
 
 def _tokenise(vocabulary: str, pattern: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern)
+        encode = encoder(vocabulary, pattern, added=True)
         end = np.array([end_id], encode.kind).tobytes()
         part, first, out = TaskContext.get().partitionId(), 0, None
         for batch in batches:
@@ -59,7 +59,7 @@ def _tokenise(vocabulary: str, pattern: str, end_id: int):
 
 def _windows(length: int, vocabulary: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, out = encoder(vocabulary, pattern).kind, None
+        kind, out = encoder(vocabulary, pattern, added=True).kind, None
         for batch in batches:
             out = out or Rows(
                 _fields(

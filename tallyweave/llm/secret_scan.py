@@ -21,8 +21,9 @@ from tallyweave.llm.common import text_of
 ASSIGN = (
     r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# These two match whole runs, so that asking for the length at once gives the same spans.
+ACCESS = r"AKIA[A-Z0-9]{12,}"
+HEX = r"[0-9a-f]{32,}"
 KINDS = (("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32))
 # A text without a match of these has no span of the kind; they only save the work of splitting.
 _MAY_HOLD = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
@@ -48,26 +49,66 @@ class EntropyRules:
         default=(
             r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",  # UUID
             r"(?i)example|sample|dummy|placeholder|xxxx|changeme|your[-_]",
-            r"^[A-Za-z]+([-_/=+][A-Za-z]+)*([-_/=+]?[0-9]{1,4})?$",  # words, then a short number
-            r"^([A-Za-z]+[-_/])*[0-9]{4}[-_/][0-9]{2}[-_/][0-9]{2}",  # dates in names and paths
+            # Repeated groups are possessive: others are matched by recursion, as deep as the run is long.
+            r"^[A-Za-z]++(?:[-_/=+][A-Za-z]++)*+([-_/=+]?[0-9]{1,4})?$",  # words, then a short number
+            r"^(?:[A-Za-z]++[-_/])*+[0-9]{4}[-_/][0-9]{2}[-_/][0-9]{2}",  # dates in names and paths
         )
     )
 
 
-def _ends(lengths: Column) -> Column:
-    """Running totals of an array of lengths."""
+# Running totals are made part by part; a part is copied as often as it has numbers.
+_PART = 64
+
+
+def _running(values: Column, take) -> Column:
+    """What ``take`` makes of an array's values up to each place, from 0 on."""
     empty = F.array().cast("array<bigint>")
     return F.aggregate(
-        lengths,
-        F.struct(F.lit(0).cast("bigint").alias("total"), empty.alias("all")),
+        values,
+        F.struct(F.lit(0).cast("bigint").alias("last"), empty.alias("all")),
         lambda so_far, n: F.struct(
-            (so_far["total"] + n).alias("total"),
-            F.array_append(so_far["all"], so_far["total"] + n).alias("all"),
+            take(so_far["last"], n).alias("last"),
+            F.array_append(so_far["all"], take(so_far["last"], n)).alias("all"),
         ),
         lambda so_far: so_far["all"],
     )
 
 
+def _once(value: Column, make) -> Column:
+    """``make(value)``, with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def _running_long(values: Column, take) -> Column:
+    """``_running`` of long arrays, in parts that start from what came before them."""
+
+    def joined(parts: Column) -> Column:
+        upto = _running(F.transform(parts, lambda p: F.element_at(p, -1)), take)
+        before = F.concat(F.array(F.lit(0).cast("bigint")), upto)
+        # there is one more total than there are parts
+        zipped = F.zip_with(
+            parts,
+            F.slice(before, F.lit(1), F.size(parts)),
+            lambda part, so_far: F.transform(part, lambda n: take(so_far, n)),
+        )
+        return F.flatten(zipped)
+
+    def in_parts(v: Column) -> Column:
+        count = F.ceil(F.size(v) / _PART).cast("int")
+        parts = F.transform(
+            F.sequence(F.lit(0), count - 1),
+            lambda i: _running(F.slice(v, i * _PART + 1, F.lit(_PART)), take),
+        )
+        return F.when(F.size(v) <= _PART, _running(v, take)).otherwise(_once(parts, joined))
+
+    return _once(values, in_parts)
+
+
+def _ends(lengths: Column) -> Column:
+    """Running totals of an array of lengths."""
+    return _running_long(lengths, lambda total, n: total + n)
+
+
 def _matches(text: Column, pattern: str, group: int) -> Column:
     """Start, end, whole match and one group's length for every match, in order."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -121,22 +162,21 @@ def _high_part(run: Column, window: int, least_bits: Column) -> Column:
     The state holds the count of each character and the sum of their terms, from
     which the entropy is log2(window) - sum / window; a step changes one count.
     """
-    codes = F.transform(F.split(run, ""), lambda c: F.ascii(c))
 
     def step(code: Column, change: int, at: Column) -> Column:
         return F.struct(code.alias("code"), F.lit(change).alias("change"), at.alias("at"))
 
-    steps = F.flatten(
-        F.transform(
-            codes,
-            lambda code, i: F.when(i < window, F.array(step(code, 1, i))).otherwise(
-                F.array(
-                    step(F.get(codes, i - window), -1, i),
-                    step(code, 1, i),
-                )
-            ),
+    def all_steps(codes: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                codes,
+                lambda code, i: F.when(i < window, F.array(step(code, 1, i))).otherwise(
+                    F.array(step(F.get(codes, i - window), -1, i), step(code, 1, i))
+                ),
+            )
         )
-    )
+
+    steps = _once(F.transform(F.split(run, ""), lambda c: F.ascii(c)), all_steps)
 
     def take(state: Column, one: Column) -> Column:
         count = F.get(state["counts"], one["code"])
@@ -175,8 +215,26 @@ def _least_bits(run: Column, rules: EntropyRules) -> Column:
     )
 
 
+def _uncovered(text: Column, base: Column) -> Column:
+    """The parts of the text that no span of ``base`` covers: start and text."""
+    until = _running_long(base["end"], F.greatest)
+    edges = F.arrays_zip(
+        F.concat(F.array(F.lit(0).cast("bigint")), until).alias("from"),
+        F.concat(base["start"], F.array(F.char_length(text).cast("bigint"))).alias("to"),
+    )
+    parts = F.transform(
+        F.filter(edges, lambda e: e["from"] < e["to"]),
+        lambda e: F.struct(
+            e["from"].alias("start"),
+            F.substring(text, (e["from"] + 1).cast("int"), (e["to"] - e["from"]).cast("int")).alias("text"),
+        ),
+    )
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), text.alias("text")))
+    return F.when(F.size(base) == 0, whole).otherwise(parts)
+
+
 def _entropy(text: Column, base: Column, rules: EntropyRules) -> Column:
-    """Spans of high entropy that touch no span of a pattern."""
+    """Spans of high entropy in what the spans of the patterns leave over."""
     long_run = f"{CANDIDATE}{{{rules.window},}}"
 
     def suspect(m: Column) -> Column:
@@ -184,20 +242,23 @@ def _entropy(text: Column, base: Column, rules: EntropyRules) -> Column:
         held = run.rlike("[0-9]") & run.rlike("[A-Za-z]")
         for pattern in rules.allow:
             held = held & ~run.rlike(pattern)
-        return held & ~F.exists(base, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
+        return held
 
-    def high(m: Column) -> Column:
-        return F.struct(
-            m["start"].alias("start"),
-            _high_part(m["match"], rules.window, _least_bits(m["match"], rules)).alias("part"),
-        )
+    def high(m: Column, start: Column) -> Column:
+        least = _least_bits(m["match"], rules)
+        part = _once(least, lambda bits: _high_part(m["match"], rules.window, bits))
+        return F.struct((start + m["start"]).alias("start"), part.alias("part"))
 
-    found = F.filter(
-        F.transform(F.filter(_matches(text, long_run, 0), suspect), high),
-        lambda m: m["part"]["first"].isNotNull(),
+    runs = F.flatten(
+        F.transform(
+            _uncovered(text, base),
+            lambda part: F.transform(
+                F.filter(_matches(part["text"], long_run, 0), suspect), lambda m: high(m, part["start"])
+            ),
+        )
     )
     spans = F.transform(
-        found,
+        F.filter(runs, lambda m: m["part"]["first"].isNotNull()),
         lambda m: _span(
             m["start"] + m["part"]["first"], "entropy", m["start"] + m["part"]["last"]
         ),

@@ -16,21 +16,19 @@ JSON = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    made = Tokenizer.from_file(JSON)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(JSON)
 
 
 ODD = [
     "", " ", "\n", "a", " a", "a ", "a  b", "a\n b", "a \nb", "a\n\nb", "\ta\tb", "it's we'll I'D",
-    "x<|endoftext|>y", "é è ñ ß", "漢字 かな 😀 ‍", "a  b", "　", "1 22 333", "a\r\nb",
+    "x<|endoftext|>y", "x <|endoftext|> y", "<|endoftext|>", "é<|endoftext|><|endoftext|>\n", "é è ñ ß", "漢字 かな 😀 ‍", "a  b", "　", "1 22 333", "a\r\nb",
     "loooong " * 3000, "\x1c\x1d a\x1fb", "ends\n", "  lead",
 ]
 
 
 @pytest.mark.parametrize("text", ODD)
 def test_ids_are_the_tokenizers(tokenizer, text):
-    encode = bytebpe.encoder(JSON, public_tokenizers.PATTERN)
+    encode = bytebpe.encoder(JSON, public_tokenizers.PATTERN, added=True)
     got = np.frombuffer(encode.packed(text), encode.kind).tolist()
     assert got == tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -38,11 +36,20 @@ def test_ids_are_the_tokenizers(tokenizer, text):
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab'sté 1.\n\t\r  !漢"), max_size=40))
 def test_ids_of_any_text(tokenizer, text):
-    encode = bytebpe.encoder(JSON, public_tokenizers.PATTERN)
+    encode = bytebpe.encoder(JSON, public_tokenizers.PATTERN, added=True)
     got = np.frombuffer(encode.packed(text), encode.kind).tolist()
     assert got == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_as_plain_text():
+    plain = Tokenizer.from_file(JSON)
+    plain.encode_special_tokens = True
+    encode = bytebpe.encoder(JSON, public_tokenizers.PATTERN)
+    for text in ODD:
+        got = np.frombuffer(encode.packed(text), encode.kind).tolist()
+        assert got == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_tile_the_stream(spark, tokenizer):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "no id"), (3, "a"), (3, "a"), (99, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)

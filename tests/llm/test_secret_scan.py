@@ -1,6 +1,8 @@
 """Secret scans against Python's own regular expressions and a plain entropy."""
 
+import base64
 import math
+import random
 import re
 from collections import Counter
 
@@ -10,8 +12,8 @@ from tallyweave.llm import secret_scan as S
 
 PATTERNS = {
     "assign": (re.compile(S.ASSIGN.replace("(?i)", ""), re.I | re.A), 2, 8),
-    "access": (re.compile(S.ACCESS), 0, 16),
-    "hex": (re.compile(S.HEX), 0, 32),
+    "access": (re.compile("AKIA[A-Z0-9]+"), 0, 16),
+    "hex": (re.compile("[0-9a-f]+"), 0, 32),
 }
 KEY = "q7Zp2LxV9tKfW3sBn8RdY4mHj6Gc"
 TEXTS = [
@@ -29,6 +31,10 @@ TEXTS = [
     ("x " * 4000) + "passwd='" + "z1" * 40 + "' ",
     "aaaaaaaaaaaaaaaaaaaaaaaaaaaaa1 " + "xyzxyzxyz1" * 5,
     "ſecret=abcdefghij toKen=abcdefghij",
+    "AKIA" + "Q" * 16 + "/" + KEY + KEY[:12] + " left over",
+    KEY + "+" + "0123456789abcdef" * 2 + "+" + KEY,
+    " ".join(f"{i:032x}" for i in range(200)) + " token=" + KEY + " " + KEY,
+    "token=ab secret=" * 150 + KEY,
 ]
 
 
@@ -46,16 +52,27 @@ def bits(window):
     return -sum(c / n * math.log2(c / n) for c in Counter(window).values())
 
 
+def uncovered(text, base):
+    """Start and text of what lies between the spans."""
+    at = 0
+    for start, end, _ in [*base, (len(text), len(text), "")]:
+        if at < start:
+            yield at, text[at:start]
+        at = max(at, end)
+
+
 def expected_entropy(text, base, rules):
     out = []
-    for m in re.finditer(f"{S.CANDIDATE}{{{rules.window},}}", text):
-        run = m.group()
+    runs = [
+        (at + m.start(), m.group())
+        for at, part in uncovered(text, base)
+        for m in re.finditer(f"{S.CANDIDATE}{{{rules.window},}}", part)
+    ]
+    for begin, run in runs:
         if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
             continue
         if any(re.search(p, run) for p in rules.allow):
             continue
-        if any(s < m.end() and m.start() < e for s, e, _ in base):
-            continue
         least = rules.lower_bits
         if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run):
             least = rules.hex_bits
@@ -67,7 +84,7 @@ def expected_entropy(text, base, rules):
             if bits(run[i : i + rules.window]) >= least - 1e-9
         ]
         if high:
-            out.append((m.start() + high[0], m.start() + high[-1] + rules.window, "entropy"))
+            out.append((begin + high[0], begin + high[-1] + rules.window, "entropy"))
     return out
 
 
@@ -95,5 +112,29 @@ def test_spans_equal_the_plain_ones(spark):
     assert by_id[9] == [] and by_id[2] == [] and by_id[12] == []
 
 
+LONG = {
+    "path": "a/" * 50_000 + "9z",
+    "dates": "a/" * 50_000 + "2020-01-02",
+    "words": "word-" * 20_000 + "z",
+    "numbered words": "word_" * 20_000 + "z-2024",
+    "letters": "mn" * 50_000 + "1",
+    "prose": "bad face x " * 180_000 + "0123456789abcdef" * 2 + " end",
+    "blob": base64.b64encode(random.Random(1).randbytes(750_000)).decode().replace("x", "y"),
+    "short values": "token=ab " * 50_000 + "0123456789abcdef" * 2,
+}
+
+
+def test_very_long_runs_and_texts(spark):
+    """Each of them would end a matcher that goes as deep as its input, or take hours if squared."""
+    docs = spark.createDataFrame(list(LONG.items()), "doc_id string, text string")
+    found = S.scan(docs).select("row.doc_id", "base", S.listed(F.col("spans")).alias("spans"))
+    got = {r.doc_id: (len(r.base), r.spans) for r in found.collect()}
+    assert got.pop("prose") == (1, "hex:1980000:1980032")
+    assert got.pop("short values") == (1, "hex:450000:450032")
+    blob = got.pop("blob")
+    assert blob[0] <= 1 and blob[1].startswith("entropy:0:")
+    assert set(got.values()) == {(0, "")}
+
+
 def test_empty_table(spark):
     assert S.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
