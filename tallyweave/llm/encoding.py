@@ -28,6 +28,13 @@ from tallyweave.llm.common import Rows, narrow, rows_of
 
 CHUNK, OVERLAP = 1 << 15, 1 << 11
 _SPACES = " \n"
+# Bytes made by a worker before it hands them out.
+MOST_BYTES = 4 << 20
+
+
+@lru_cache(maxsize=2)
+def _table(vocabulary: str) -> list[bytes]:
+    return token_table(vocabulary)
 
 
 @lru_cache(maxsize=4)
@@ -35,10 +42,6 @@ def _pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
-def _wide(encode, text: str) -> bytes:
-    return np.frombuffer(encode.packed(text), encode.kind).astype("<u4").tobytes()
-
-
 def _starts(pattern: regex.Pattern, text: str) -> list[int]:
     """Where pre-tokens of ``text`` begin that are fit for a stitch."""
     return [
@@ -48,18 +51,42 @@ def _starts(pattern: regex.Pattern, text: str) -> list[int]:
     ]
 
 
-def _encode_whole(vocabulary: str, pattern: str):
+def _with_bytes(column: str, name: str, make):
+    """A function over batches that adds ``name``, the bytes that ``make`` gives for ``column``.
+
+    Batches out are bounded by bytes, so a worker holds little beside the batch it reads.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern)
         for batch in batches:
-            ids = [_wide(encode, text) for (text,) in rows_of([batch], ("text",))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
-            )
+            begin, size, made = 0, 0, []
+            for i, (given,) in enumerate(rows_of([batch], (column,))):
+                made.append(make(given))
+                size += len(made[-1] or b"")
+                if size >= MOST_BYTES:
+                    yield _added(batch.slice(begin, len(made)), column, name, made)
+                    begin, size, made = i + 1, 0, []
+            yield _added(batch.slice(begin, len(made)), column, name, made)
 
     return run
 
 
+def _added(batch: pa.RecordBatch, column: str, name: str, made: list) -> pa.RecordBatch:
+    kept = {"doc_id": batch.column("doc_id")}
+    if column != "text":
+        kept[column] = batch.column(column)
+    kept[name] = pa.array(made, pa.binary())
+    return pa.RecordBatch.from_arrays(list(kept.values()), names=list(kept))
+
+
+def _encode_whole(vocabulary: str, pattern: str):
+    def make(text: str) -> bytes:
+        ids = encoder(vocabulary, pattern).bpe.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
+
+    return _with_bytes("text", "ids", make)
+
+
 def _by_chunk(columns: dict[str, pa.DataType], make):
     """A function over batches that makes rows of ``row`` and ``columns`` from each row."""
 
@@ -173,19 +200,11 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     id_type = encoded.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_table(vocabulary)
-        for batch in batches:
-            made = [
-                ids if ids is None
-                else b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                for (ids,) in rows_of([batch], ("ids",))
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("ids"), pa.array(made, pa.binary())],
-                names=["doc_id", "ids", "bytes"],
-            )
+    def make(ids: bytes | None) -> bytes | None:
+        if ids is None:
+            return None
+        return b"".join(map(_table(vocabulary).__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     return encoded.select("doc_id", "ids").mapInArrow(
-        run, f"doc_id {id_type}, ids binary, bytes binary"
+        _with_bytes("ids", "bytes", make), f"doc_id {id_type}, ids binary, bytes binary"
     )
