@@ -39,6 +39,8 @@ _U = np.uint64
 _GROUPS = 256
 # Most points of a box that a task compares at a time, and words whose hash a worker remembers.
 TILE, REMEMBERED = 512, 400_000
+# Pairs of a box and a point that a task sorts at a time.
+BUCKET = 1 << 20
 _LONGEST = 1 << 40  # shingles of the largest set provided for
 
 
@@ -303,25 +305,83 @@ def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, ba
     return cut(pairs.mapInArrow(_verify(bands), "a bigint, b bigint"), "verified")
 
 
+def _dealt(buckets: int):
+    """The (box, key) pairs of a batch of points, packed by bucket of boxes."""
+    schema = pa.schema([("bucket", pa.int64()), ("pairs", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            boxes = batch.column("boxes")
+            sizes = boxes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            pairs = np.empty((int(sizes.sum()), 2), np.int64)
+            pairs[:, 0] = boxes.flatten().to_numpy(zero_copy_only=False)
+            pairs[:, 1] = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), sizes)
+            bucket = (pairs[:, 0].copy().view(_U) % _U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            pairs, bucket = pairs[order], bucket[order]
+            begins = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends = np.append(begins[1:], len(bucket))
+            packed = [pairs[i:j].tobytes() for i, j in zip(begins, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[begins]), pa.array(packed, pa.binary())], schema=schema
+            )
+
+    return run
+
+
+def _shared(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """``box``, ``key`` and ``pivot`` of the boxes of several points in a bucket."""
+    pairs = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    # a set that several tasks have met lies in a box once
+    pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))]
+    begins = np.flatnonzero(np.append(True, pairs[1:, 0] != pairs[:-1, 0]))
+    sizes = np.diff(np.append(begins, len(pairs)))
+    several = np.repeat(sizes > 1, sizes)
+    if not several.any():
+        return None
+    keys, begins = pairs[several, 1], begins[sizes > 1]
+    sizes = sizes[sizes > 1]
+    begins = np.cumsum(sizes) - sizes
+    # boxes of the same points are one: their hash takes in the number, the ends and a mix of all
+    box = np.add.reduceat(_mix(keys.view(_U)), begins)
+    for part in (keys[begins], keys[begins + sizes - 1], sizes):
+        box = _mix(box) + part.astype(np.int64).view(_U)
+    return np.repeat(box.view(np.int64), sizes), keys, np.repeat(keys[begins], sizes)
+
+
+def _shared_boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The points of boxes of several, bucket by bucket."""
+    schema = pa.schema([(name, pa.int64()) for name in ("box", "key", "pivot")])
+
+    def made(packed: list[bytes]):
+        found = _shared(packed) if packed else None
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
+
+    current, held = None, []
+    for bucket, packed in rows_of(batches, ("bucket", "pairs")):
+        if bucket != current:
+            yield from made(held)
+            current, held = bucket, []
+        held.append(packed)
+    yield from made(held)
+
+
 def _filed(sketch: DataFrame) -> DataFrame:
     """``box``, ``key`` and ``pivot`` of the boxes of several points, one for each set of points.
 
-    A set that several tasks have met lies in a box once; the rows are dealt by
-    box for that, which the window needs anyway. The hash of a box's points
-    takes in their number, so that no two sets of points cancel out alike.
+    Most boxes hold one point. So the pairs of box and point travel packed, 16 bytes
+    each, in buckets of about ``BUCKET`` pairs, and only boxes of several become rows.
     """
-    by_box = Window.partitionBy("box")
+    placed = sketch.where("boxes is not null").select("key", "boxes")
+    pairs = placed.agg(F.sum(F.size("boxes"))).first()[0] or 0
+    buckets = max(1, -(-pairs // BUCKET))
     return (
-        sketch.where("boxes is not null")
-        .select(F.explode("boxes").alias("box"), "key")
-        .repartition("box")
-        .distinct()
-        .withColumn("pivot", F.min("key").over(by_box))
-        .withColumn("last", F.max("key").over(by_box))
-        .withColumn("points", F.count("key").over(by_box))
-        .withColumn("mixed", F.bit_xor(F.xxhash64("key")).over(by_box))
-        .where("pivot <> last")
-        .select(F.xxhash64("mixed", "points", "pivot", "last").alias("box"), "key", "pivot")
+        placed.mapInArrow(_dealt(buckets), "bucket bigint, pairs binary")
+        .repartition(buckets, "bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(_shared_boxes, "box bigint, key bigint, pivot bigint")
         .distinct()
     )
 
