@@ -10,12 +10,13 @@ thresholds, while a box that is exact in one block's coordinates and open in all
 others holds hardly any strangers, empty blocks aside, which are left out. A
 point lies in one box per block.
 
-Points of one box are compared by their overlap bound, the sum over 256 coarser
-groups of the smaller count; pairs that pass are verified on their exact sets.
+Points of one box are compared by their overlap bound, the sum over coarser
+groups of the smaller count: over 64 groups where whole boxes are compared, then
+over 256 for each distinct pair. Pairs that pass are verified on their exact sets.
 First every point is compared with one pivot of each of its boxes, then with one
-more point of each, which differs from box to box. What that links becomes a
-component, and only pairs of points that still lie in different components are
-compared further, since only components are asked for.
+more point of each, which differs from box to box; of these a few per point are
+verified. What that links becomes a component, and all pairs of points that still
+lie in different components are compared, since only components are asked for.
 """
 
 from __future__ import annotations
@@ -36,11 +37,16 @@ from tallyweave.llm.components import components
 from tallyweave.runtime import cut
 
 _U = np.uint64
-_GROUPS = 256
+_GROUPS, _COARSE = 256, 64
 # Most points of a box that a task compares at a time, and words whose hash a worker remembers.
-TILE, REMEMBERED = 512, 400_000
-# Pairs of a box and a point that a task sorts at a time.
-BUCKET = 1 << 20
+TILE, REMEMBERED = 1024, 400_000
+# Rows and columns of the block of pairs that is compared at once.
+_BLOCK = 512
+# Pairs of a point that are verified before all of them are.
+_FEW = 4
+# Pairs of a box and a point that a task sorts at a time, and bytes of a box's hash within them:
+# strangers that meet since their boxes have the same hash are told apart like any others.
+BUCKET, _BOX_BYTES = 1 << 20, 5
 _LONGEST = 1 << 40  # shingles of the largest set provided for
 
 
@@ -69,7 +75,7 @@ def shingle_set(text: str, words: int, known: _Words) -> np.ndarray:
     if not found:
         return np.zeros(0, np.uint64)
     size = min(words, len(found))
-    hashes = np.array([known[w] for w in found], np.uint64)
+    hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     out = np.full(len(hashes) - size + 1, size, np.uint64)
     for i in range(size):
         out = _mix(out * _U(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - size + 1 + i])
@@ -82,9 +88,9 @@ class Bands:
 
     percent: int
 
-    def differing(self, size: int) -> int:
-        """Most shingles not shared by two linked sets of which the smaller has ``size``."""
-        return size * (100 - self.percent) // self.percent
+    def differing(self, largest: int) -> int:
+        """Most shingles that only one of two linked sets has, if neither has more than ``largest``."""
+        return 2 * largest * (100 - self.percent) // (100 + self.percent)
 
     def needed(self, a: int, b: int) -> int:
         """Fewest shingles that linked sets of these sizes share."""
@@ -153,17 +159,19 @@ def _sketch(words: int, bands: Bands):
             out = out or Rows(
                 pa.schema(
                     [("doc_id", batch.column("doc_id").type), ("n", pa.int64()),
-                     ("key", pa.int64()), ("counts", pa.binary()), ("boxes", pa.list_(pa.int64()))]
+                     ("key", pa.int64()), ("counts", pa.binary()), ("coarse", pa.binary()),
+                     ("boxes", pa.list_(pa.int64()))]
                 )
             )
             for doc_id, text in rows_of([batch], ("doc_id", "text")):
                 shingles = shingle_set(text, words, known)
                 key = _key(shingles) if len(shingles) else None
-                row, size = (doc_id, len(shingles), key, None, None), 64
+                row, size = (doc_id, len(shingles), key, None, None, None), 64
                 if key is not None and key not in met:  # copies add no point
                     met.add(key)
                     filed = boxes(shingles, bands.of(len(shingles), starts))
-                    row = (*row[:3], counts(shingles), filed.view(np.int64))
+                    vector = counts(shingles)
+                    row = (*row[:3], vector, coarse(vector), filed.view(np.int64))
                     size += 400 + 8 * len(filed)
                 if out.add(row, size):
                     yield out.batch()
@@ -190,18 +198,34 @@ def _sets(words: int):
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _passes(bands: Bands, sizes: np.ndarray, vectors: np.ndarray, size: int, vector: np.ndarray):
-    """Which of many points may link with one, by size and by the overlap bound.
+def coarse(vector: bytes) -> bytes:
+    """The counts of 64 groups of groups, again a byte each and 255 at most."""
+    found = np.frombuffer(vector, np.uint8).reshape(_COARSE, -1).sum(axis=1)
+    return np.minimum(found, 255).astype(np.uint8).tobytes()
+
+
+def _minima(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of rows, the sum of the smaller counts."""
+    if len(a) * len(b) <= 2048:
+        return np.minimum(a[:, None], b[None]).sum(axis=2, dtype=np.int32)
+    out, left, right = np.zeros((len(a), len(b)), np.uint16), a.T.copy(), b.T.copy()
+    for x, y in zip(left, right, strict=True):
+        out += np.minimum(x[:, None], y[None])
+    return out.astype(np.int32)
+
+
+def _passes(bands: Bands, a_n: np.ndarray, a: np.ndarray, b_n: np.ndarray, b: np.ndarray):
+    """Which points of ``a`` may link with which of ``b``, by size and by the overlap bound.
 
-    Two counts' smaller one is half of their sum less their difference.
+    Counts that are cut off at 255 differ no more than the true ones. So what two
+    points share is at most half of their sizes' sum less their counts' differences,
+    and these are the counts' sums less twice the smaller ones.
     """
-    total = sizes + size
+    low, high = np.minimum(a_n[:, None], b_n), np.maximum(a_n[:, None], b_n)
+    fits, total = 100 * low >= bands.percent * high, low + high
+    sums = a.sum(axis=1, dtype=np.int64)[:, None] + b.sum(axis=1, dtype=np.int64)
     needed = -(-bands.percent * total // (100 + bands.percent))
-    fits = 100 * np.minimum(sizes, size) >= bands.percent * np.maximum(sizes, size)
-    near = np.flatnonzero(fits)
-    apart = np.abs(vectors[near].astype(np.int16) - vector).sum(axis=1)
-    fits[near] = (total[near] - apart) // 2 >= needed[near]
-    return fits
+    return fits & ((total - sums) // 2 + _minima(a, b) >= needed)
 
 
 def _bound(bands: Bands):
@@ -209,9 +233,8 @@ def _bound(bands: Bands):
         out = Rows(_PAIR)
         names = ("a", "b", "a_n", "b_n", "a_counts", "b_counts")
         for a, b, a_n, b_n, a_counts, b_counts in rows_of(batches, names):
-            vector = np.frombuffer(b_counts, np.uint8)[None]
-            one = np.frombuffer(a_counts, np.uint8).astype(np.int16)
-            if _passes(bands, np.array([b_n]), vector, a_n, one)[0] and out.add((a, b)):
+            x, y = (np.frombuffer(c, np.uint8)[None] for c in (a_counts, b_counts))
+            if _passes(bands, np.array([a_n]), x, np.array([b_n]), y)[0, 0] and out.add((a, b)):
                 yield out.batch()
         yield out.batch()
 
@@ -242,26 +265,35 @@ def _within_boxes(bands: Bands, every: bool):
     def pairs(box: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
         keys, labels, sizes, tiles = (np.array(c) for c in list(zip(*rows, strict=True))[:4])
         vectors = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-        place = np.argsort(_mix(keys.view(np.uint64) ^ np.array([box]).view(np.uint64))).argsort()
+        place = _mix(keys.view(np.uint64) ^ np.array([box]).view(np.uint64)).argsort().argsort()
         first = np.full(len(rows), len(rows))  # place of the point each is to meet
         one_tile = tiles.min() == tiles.max()
-        for i in np.flatnonzero(tiles == tiles.min()):
-            others = np.arange(i + 1, len(rows)) if one_tile else np.flatnonzero(tiles != tiles[i])
-            others = others[labels[others] != labels[i]]
-            vector = vectors[i].astype(np.int16)
-            near = others[_passes(bands, sizes[others], vectors[others], int(sizes[i]), vector)]
+        own = np.flatnonzero(tiles == tiles.min())
+        others = own if one_tile else np.flatnonzero(tiles != tiles.min())
+        blocks = [
+            (own[i : i + _BLOCK], others[j : j + _BLOCK])
+            for i in range(0, len(own), _BLOCK)
+            for j in range(i if one_tile else 0, len(others), _BLOCK)
+        ]
+        for a, b in blocks:
+            near = _passes(bands, sizes[a], vectors[a], sizes[b], vectors[b])
+            near &= labels[a][:, None] != labels[b]
+            if one_tile:
+                near &= a[:, None] < b
+            x, y = np.nonzero(near)
+            x, y = a[x], b[y]
             if every:
-                yield from ((int(keys[i]), int(keys[j])) for j in near)
-            elif len(near):
-                first[near] = np.minimum(first[near], place[i])
-                first[i] = min(first[i], place[near].min())
+                yield from zip(keys[x].tolist(), keys[y].tolist(), strict=True)
+            else:
+                np.minimum.at(first, x, place[y])
+                np.minimum.at(first, y, place[x])
         at = np.argsort(place)
         for i in np.flatnonzero(first < len(rows)):
             yield int(keys[i]), int(keys[at[first[i]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, box, held = Rows(_PAIR), None, []
-        names = ("box", "low", "high", "key", "label", "n", "tile", "counts")
+        names = ("box", "low", "high", "key", "label", "n", "tile", "coarse")
         for *of, key, label, n, tile, vector in rows_of(batches, names):
             if of != box:
                 for pair in pairs(box[0], held) if len(held) > 1 else ():
@@ -313,12 +345,15 @@ def _dealt(buckets: int):
         for batch in batches:
             boxes = batch.column("boxes")
             sizes = boxes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            pairs = np.empty((int(sizes.sum()), 2), np.int64)
-            pairs[:, 0] = boxes.flatten().to_numpy(zero_copy_only=False)
-            pairs[:, 1] = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), sizes)
-            bucket = (pairs[:, 0].copy().view(_U) % _U(buckets)).astype(np.int64)
+            box = boxes.flatten().to_numpy(zero_copy_only=False).view(_U)
+            keys = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), sizes)
+            bucket = (box % _U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            pairs, bucket = pairs[order], bucket[order]
+            pairs = np.empty((len(box), _BOX_BYTES + 8), np.uint8)
+            within = np.ascontiguousarray((box // _U(buckets))[order], "<u8")
+            pairs[:, :_BOX_BYTES] = within.view(np.uint8).reshape(-1, 8)[:, :_BOX_BYTES]
+            pairs[:, _BOX_BYTES:] = keys[order].astype("<i8").view(np.uint8).reshape(-1, 8)
+            bucket = bucket[order]
             begins = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = np.append(begins[1:], len(bucket))
             packed = [pairs[i:j].tobytes() for i, j in zip(begins, ends, strict=True)]
@@ -331,7 +366,11 @@ def _dealt(buckets: int):
 
 def _shared(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """``box``, ``key`` and ``pivot`` of the boxes of several points in a bucket."""
-    pairs = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2)
+    found = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, _BOX_BYTES + 8)
+    boxes = np.zeros((len(found), 8), np.uint8)
+    boxes[:, :_BOX_BYTES] = found[:, :_BOX_BYTES]
+    keys = np.ascontiguousarray(found[:, _BOX_BYTES:])
+    pairs = np.stack([boxes.view("<i8")[:, 0], keys.view("<i8")[:, 0]], axis=1)
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
     # a set that several tasks have met lies in a box once
     pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))]
@@ -371,7 +410,7 @@ def _shared_boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _filed(sketch: DataFrame) -> DataFrame:
     """``box``, ``key`` and ``pivot`` of the boxes of several points, one for each set of points.
 
-    Most boxes hold one point. So the pairs of box and point travel packed, 16 bytes
+    Most boxes hold one point. So the pairs of box and point travel packed, 13 bytes
     each, in buckets of about ``BUCKET`` pairs, and only boxes of several become rows.
     """
     placed = sketch.where("boxes is not null").select("key", "boxes")
@@ -397,7 +436,7 @@ def _met(filed: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
         .withColumn("most", F.max("label").over(by_box))
         .where("least <> most")
         .select("box", "key", "label")
-        .join(points, "key")
+        .join(points.select("key", "n", "coarse"), "key")
     )
     by_size = Window.partitionBy("box").orderBy("n", "key")
     tiled = rest.withColumn(
@@ -439,7 +478,7 @@ def join(
     sketch = cut(
         rows.mapInArrow(
             _sketch(words, bands),
-            f"doc_id {id_type}, n bigint, key bigint, counts binary, boxes array<bigint>",
+            f"doc_id {id_type}, n bigint, key bigint, counts binary, coarse binary, boxes array<bigint>",
         ),
         "sketch",
     )
@@ -450,7 +489,7 @@ def join(
     filed = cut(_filed(sketch), "boxes")
     points = cut(
         sketch.where("boxes is not null")
-        .select("key", "n", "counts")
+        .select("key", "n", "counts", "coarse")
         .join(filed.select("key").distinct(), "key", "left_semi")
         .dropDuplicates(["key"]),
         "points",
@@ -467,8 +506,15 @@ def join(
     for every in (False, True):
         met = _met(filed, labels, points)
         found = met.mapInArrow(_within_boxes(bands, every), "a bigint, b bigint").distinct()
-        pairs = cut(found.join(tested, ["a", "b"], "left_anti"), "candidates")
-        tested = tested.unionByName(pairs)
+        untested = found.join(tested, ["a", "b"], "left_anti")
+        if not every:
+            some = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"))
+            few = F.row_number().over(some) <= _FEW
+            untested = untested.withColumn("few", few).where("few").select("a", "b")
+        compared = cut(untested, "candidates")
+        tested = tested.unionByName(compared)
+        close = _with_points(compared, points).mapInArrow(_bound(bands), "a bigint, b bigint")
+        pairs = cut(close, "near-candidates")
         more = _links(pairs, rows, classes, words, bands) if pairs.take(1) else pairs
         if not every or more.take(1):
             links = links.unionByName(more)

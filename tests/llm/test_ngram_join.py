@@ -107,8 +107,18 @@ def test_linked_sets_share_a_box(percent):
             a, b = (set(J.boxes(x, bands.of(len(x), starts)).tolist()) for x in (base, other))
             assert a & b
             assert bands.needed(len(base), len(other)) <= shared
-            v, w = (np.frombuffer(J.counts(x), np.uint8) for x in (base, other))
-            assert J._passes(bands, np.array([len(other)]), w[None], len(base), v.astype(np.int16))[0]
+            sizes = [np.array([len(x)]) for x in (base, other)]
+            for view in (J.counts, lambda x: J.coarse(J.counts(x))):
+                v, w = (np.frombuffer(view(x), np.uint8)[None] for x in (base, other))
+                assert J._passes(bands, sizes[0], v, sizes[1], w)[0, 0]
+
+
+def test_minima_of_blocks_of_any_size():
+    random_ = np.random.default_rng(5)
+    for rows, others in ((1, 1), (3, 700), (90, 80), (512, 512)):
+        a, b = (random_.integers(0, 256, (k, 64)).astype(np.uint8) for k in (rows, others))
+        want = np.array([np.minimum(x, b).astype(int).sum(axis=1) for x in a])
+        assert (J._minima(a, b) == want).all()
 
 
 @pytest.mark.parametrize("words, percent", [(3, 90), (5, 80)])
