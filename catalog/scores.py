@@ -13,7 +13,7 @@ from tallyweave.functions.levels import OUTCOME_TYPE, level_count, parsed, typed
 from tallyweave.functions.text import code_year_month, edit_distance, file_slug, grant_date
 from tallyweave.operators.dedupe import first_per_key
 from tallyweave.operators.items import outcome_items
-from tallyweave.operators.profile import profile_table, profile_tables
+from tallyweave.operators.profile import profile_table, profile_tables, sample_values
 from tallyweave.operators.titles import with_title_key
 from tallyweave.plans.scoring import (
     FUNDING_KEY,
@@ -202,7 +202,32 @@ def profile(spark, d):
 
 
 def profile_columns(spark, d):
-    return profile_table(R.table(spark, d, "documents"))
+    """Pages with their labels, of which many are missing; the sketched figures are left out."""
+    labels = R.table(spark, d, "labels").select("doc_id", "toxic", "quality")
+    pages = R.table(spark, d, "documents").join(labels, "doc_id", "left")
+    return profile_table(pages).drop("distinct_about")
+
+
+def profile_sample(spark, d):
+    keys = {"nation": "n_nationkey", "documents": "doc_id", "region": "r_regionkey"}
+    return sample_values({t: (R.table(spark, d, t), [key]) for t, key in keys.items()})
+
+
+def json_files(spark, d):
+    """Customers as files of one array each, and every nation as a file of one object."""
+    path = scratch_path(spark, "customer-arrays")
+    customer = F.struct("c_custkey", "c_name", "c_nationkey")
+    lists = (
+        R.table(spark, d, "customer")
+        .groupBy((F.col("c_custkey") % 40).alias("part"))
+        .agg(F.to_json(F.collect_list(customer)).alias("value"))
+    )
+    lists.write.partitionBy("part").text(f"{path}/arrays")
+    nation = F.struct(F.lit(-1).alias("c_custkey"), F.col("n_name").alias("c_name"), F.col("n_nationkey").alias("c_nationkey"))
+    nations = R.table(spark, d, "nation").select(F.col("n_nationkey").alias("part"), F.to_json(nation).alias("value"))
+    nations.write.partitionBy("part").text(f"{path}/objects")
+    shape = "c_custkey long, c_name string, c_nationkey long"
+    return read_json(spark, f"{path}/*/*", shape, lines=False)
 
 
 def csv_round_trip(spark, d):
@@ -269,7 +294,7 @@ def table_round_trip(spark, d):
 def typed_counts(spark, d):
     """List lengths of documents read with their types."""
     doc = F.from_json("outcome_data", OUTCOME_TYPE)
-    typed = R.scored_records(spark, d).where(F.col("k") % 11 > 4).select("event_id", doc.alias("d"))
+    typed = R.scored_records(spark, d).select("event_id", doc.alias("d"))
     return typed.select(
         "event_id",
         typed_count(F.col("d.level1_ip")).alias("n1"),
@@ -424,9 +449,34 @@ QUERIES = {
     ),
     "q_profile_columns": (
         profile_columns,
-        """SELECT position, column_name, data_type, (SELECT count(*) FROM documents) AS row_count
-           FROM (VALUES (1, 'doc_id', 'bigint'), (2, 'text', 'string'), (3, 'lang', 'string'),
-                        (4, 'source', 'string'), (5, 'n_chars', 'bigint')) v(position, column_name, data_type)""",
+        """WITH p AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id))
+           SELECT position, column_name, data_type, (SELECT count(*) FROM p) AS row_count,
+             (SELECT count(*) FROM p) - filled AS null_count
+           FROM (VALUES (1, 'doc_id', 'bigint', (SELECT count(doc_id) FROM p)),
+                        (2, 'text', 'string', (SELECT count(text) FROM p)),
+                        (3, 'lang', 'string', (SELECT count(lang) FROM p)),
+                        (4, 'source', 'string', (SELECT count(source) FROM p)),
+                        (5, 'n_chars', 'bigint', (SELECT count(n_chars) FROM p)),
+                        (6, 'toxic', 'int', (SELECT count(toxic) FROM p)),
+                        (7, 'quality', 'int', (SELECT count(quality) FROM p))) v(position, column_name, data_type, filled)""",
+    ),
+    "q_profile_sample": (
+        profile_sample,
+        " UNION ALL ".join(
+            f"""SELECT '{t}' AS table_name, row_no::INT AS row_no, {i} AS position, '{c}' AS column_name, {c}::VARCHAR AS value
+                FROM (SELECT *, row_number() OVER (ORDER BY {columns[0]}) AS row_no FROM {t}) WHERE row_no <= 5"""
+            for t, columns in {
+                "nation": ["n_nationkey", "n_name", "n_regionkey"],
+                "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+                "region": ["r_regionkey", "r_name"],
+            }.items()
+            for i, c in enumerate(columns, start=1)
+        ),
+    ),
+    "q_json_files": (
+        json_files,
+        """SELECT c_custkey, c_name, c_nationkey FROM customer
+           UNION ALL SELECT -1, n_name, n_nationkey FROM nation""",
     ),
     "q_csv_round_trip": (
         csv_round_trip,
@@ -454,7 +504,7 @@ QUERIES = {
     "q_table_round_trip": (table_round_trip, "SELECT * FROM supplier"),
     "q_typed_counts": (
         typed_counts,
-        f"SELECT event_id, n1, n2, n5 FROM ({R.SCORED_SQL}) WHERE k % 11 > 4",
+        f"SELECT event_id, n1, n2, n5 FROM ({R.SCORED_SQL})",
     ),
     "q_latest_run": (
         latest_run,

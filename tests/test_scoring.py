@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import levels as L
 from tallyweave.operators.items import outcome_items
-from tallyweave.operators.profile import profile_table, profile_tables, sample_where
+from tallyweave.operators.profile import profile_table, profile_tables, sample_values, sample_where
 from tallyweave.plans.scoring import (
     combine_levels,
     read_outcomes,
@@ -185,3 +185,21 @@ def test_profile(spark):
     tables = profile_tables({"a": table, "b": spark.range(7)}).collect()
     assert sorted(tuple(r) for r in tables) == [("a", 2, 4), ("b", 7, 1)]
     assert sample_where(spark.range(9), F.col("id") > 2, [F.col("id")], 2).collect()[0].id == 3
+
+
+def test_profile_counts_nulls_and_values(spark):
+    rows = [(i % 20, None if i % 3 else "x", {"k": i}) for i in range(60)]
+    table = spark.createDataFrame(rows, "`a.b` int, c string, m map<string,int>")
+    for df, scale in ((table, 1), (table.limit(0), 0)):
+        found = {r.column_name: r for r in profile_table(df).collect()}
+        assert [found[c].null_count for c in ("a.b", "c", "m")] == [0, 40 * scale, 0]
+        assert abs(found["a.b"].distinct_about - 20 * scale) <= 3
+        assert found["c"].distinct_about == scale and found["m"].distinct_about is None
+
+
+def test_sample_values(spark):
+    table = spark.createDataFrame([(i, f"v{i}") for i in range(20, 0, -1)], "`a.b` int, c string")
+    got = sample_values({"t": (table, ["`a.b`"]), "e": (table.limit(0), ["c"])}, 2).collect()
+    assert sorted((r.row_no, r.position, r.column_name, r.value) for r in got) == [
+        (1, 1, "a.b", "1"), (1, 2, "c", "v1"), (2, 1, "a.b", "2"), (2, 2, "c", "v2"),
+    ]
