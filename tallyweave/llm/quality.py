@@ -153,7 +153,8 @@ def fit(
     rows = learning_rows(documents, labels, label, folds, held, most_rows).select(
         "label", F.array(*statistics(F.col("text")).values()).alias("statistics")
     )
-    rows = cut(rows.coalesce(8), "quality-statistics")
+    # measured by the tasks of the scan; only the bounded rows left are gathered into a few
+    rows = cut(rows, "quality-statistics").coalesce(8)
     seen = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(seen) < 2:
         return RuleEnsemble({0.0: -30.0, 1.0: 30.0}.get(next(iter(seen), None), 0.0), ())
