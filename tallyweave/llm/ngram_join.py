@@ -355,7 +355,8 @@ def _dealt(buckets: int):
             pairs[:, _BOX_BYTES:] = keys[order].astype("<i8").view(np.uint8).reshape(-1, 8)
             bucket = bucket[order]
             begins = np.flatnonzero(np.diff(bucket, prepend=-1))
-            ends = np.append(begins[1:], len(bucket))
+            # sets so small that only equal ones link have no box, so a batch may have none
+            ends = np.append(begins, len(bucket))[1:]
             packed = [pairs[i:j].tobytes() for i, j in zip(begins, ends, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket[begins]), pa.array(packed, pa.binary())], schema=schema
