@@ -1,10 +1,12 @@
-"""License scans: every place that holds a template's word shingles, then exact containment.
-
-The shingles of a text that any template has are looked up in a sorted list.
-Where enough of one template's lie close together, the share of its shingles is
-counted in windows of the template's length and in spans of up to its length
-over the least share, so that inserted words, and texts that break off, still
-match. Nothing is retrieved by chance: a span that holds enough is found.
+"""License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
+
+Every text is covered by overlapping windows of each length class of templates,
+long enough that a span that could match lies whole in one of them. That window
+and the template then have at least a known Jaccard similarity, and the class has
+so many bands that they share one with a probability of at least 1 - ``miss``.
+Around the windows retrieved, the share of the template's shingles is counted
+exactly, in windows of the template's length and in spans of up to its length
+over the least share, so that inserted words, and texts that break off, match.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from tallyweave.llm.common import Rows, narrow, rows_of
 
 # Words of a shingle, share of a template that must be there, and text hashed at a time.
 SHINGLE, LEAST, BATCH_BYTES = 3, 0.8, 4 << 20
+# Hashes of a band, how likely a match at the threshold may be missed, and shingles hashed at a time.
+BAND_ROWS, MISS, CHUNK = 2, 1e-4, 1 << 16
 
 # The lines that the given documents hold, by license; ``notices`` has a fuller set.
 TEMPLATES = {
@@ -35,7 +39,8 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 
-_U = np.uint64
+_U, _U32 = np.uint64, np.uint32
+_MARK_BITS = 14
 _NONE: Mapping[str, str] = MappingProxyType({})
 _REMEMBERED = 400_000
 _WORD = re.compile(rb"\S+")
@@ -83,8 +88,8 @@ class _Template:
     reach: int  # shingles of the longest span
 
 
-def _prepared(templates: Mapping[str, str | Sequence[str]], least: float) -> tuple[np.ndarray, list[_Template]]:
-    """All shingles of the templates, sorted, and the templates."""
+def _prepared(templates: Mapping[str, str | Sequence[str]], least: float) -> list[_Template]:
+    """All wordings of the templates."""
     known, out = _Words(), []
     wordings = [
         (name, text)
@@ -98,8 +103,7 @@ def _prepared(templates: Mapping[str, str | Sequence[str]], least: float) -> tup
         distinct = np.unique(found)
         need = next(n for n in range(1, len(distinct) + 1) if n / len(distinct) >= least)
         out.append(_Template(name, distinct, len(found), need, math.ceil(len(found) / least)))
-    every = [t.shingles for t in out]
-    return np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64), out
+    return out
 
 
 def _within(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -108,8 +112,106 @@ def _within(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == values
 
 
+def bands_for(similarity: float, miss: float, rows: int = BAND_ROWS) -> int:
+    """Fewest bands of ``rows`` hashes that two sets so similar all miss with probability ``miss`` at most."""
+    return math.ceil(math.log(miss) / math.log1p(-(similarity**rows))) if similarity < 1 else 1
+
+
+@dataclass(frozen=True)
+class _Class:
+    """Templates that share windows: ``blocks`` blocks of ``stride`` shingles, one from every block on."""
+
+    stride: int
+    blocks: int
+    similarity: float  # least Jaccard similarity of a window that holds a match
+    members: list[int]  # places in the list of templates
+    keys: np.ndarray  # of each band and member
+    marks: np.ndarray  # of each band, which first bits any member's key has
+
+
+def _band_keys(least: np.ndarray) -> np.ndarray:
+    """One value for the two minima of a band."""
+    return (least[0] * _U32(0x9E3779B1) + least[1]) * _U32(0x85EBCA6B)
+
+
+def _multipliers(bands: int) -> np.ndarray:
+    """An odd factor for each hash: the high halves of shingles times it are the hash's values."""
+    random = np.random.Generator(np.random.PCG64(29))
+    return random.integers(0, 1 << 32, (bands, BAND_ROWS, 1), _U32) | _U32(1)
+
+
+def _high(shingled: np.ndarray) -> np.ndarray:
+    return (shingled >> _U(32)).astype(_U32)
+
+
+def _classes(prepared: list[_Template], miss: float) -> list[_Class]:
+    """The templates by window, those of short strides first."""
+    members, similar = defaultdict(list), {}
+    for i, t in enumerate(prepared):
+        stride = 1 << max(t.size.bit_length() - (3 if t.size < 16 else 4), 0)
+        kind = stride, -(-(t.reach + stride - 1) // stride)
+        length = kind[0] * kind[1]
+        members[kind].append(i)
+        similar[kind] = min(similar.get(kind, 1.0), t.need / (len(t.shingles) + length - t.need))
+    out = []
+    for kind in sorted(members):
+        factors = _multipliers(bands_for(similar[kind], miss))
+        keys = np.array(
+            [
+                _band_keys(np.stack([(_high(prepared[i].shingles) * f).min(1) for f in factors], 1))
+                for i in members[kind]
+            ]
+        ).T
+        marks = np.zeros((len(keys), 1 << _MARK_BITS), bool)
+        np.put_along_axis(marks, (keys >> _U32(32 - _MARK_BITS)).astype(np.int64), True, 1)
+        out.append(_Class(*kind, similar[kind], members[kind], keys, marks))
+    return out
+
+
+def _retrieved(found: np.ndarray, classes: list[_Class]) -> dict[int, np.ndarray]:
+    """Of each template that shares a band with a window: where such windows begin, in order."""
+    if not classes:
+        return {}
+    top = max(c.stride for c in classes)
+    beyond = -(-max(c.stride * c.blocks for c in classes) // top) * top
+    all_factors = _multipliers(max(len(c.keys) for c in classes))
+    starts = defaultdict(list)
+    for low in range(0, len(found), CHUNK):
+        n = min(CHUNK, len(found) - low)
+        values = _high(found[low : low + n + beyond])
+        hashed = np.full((BAND_ROWS, -(-n // top) * top + beyond), _U32(0xFFFFFFFF))
+        values = values[: hashed.shape[1]]
+        for band, factors in enumerate(all_factors):
+            np.multiply(values, factors, out=hashed[:, : len(values)])
+            level, stride, runs, width = hashed, 1, hashed, 1  # minima of blocks, and of ``width`` blocks
+            for c in classes:
+                if band >= len(c.keys):
+                    continue
+                while stride < c.stride:
+                    level = np.minimum(level[:, ::2], level[:, 1::2])
+                    stride, runs, width = stride * 2, level, 1
+                while width * 2 <= c.blocks:
+                    runs, width = np.minimum(runs[:, :-width], runs[:, width:]), width * 2
+                count, rest = -(-n // stride), c.blocks - width
+                keys = _band_keys(np.minimum(runs[:, :count], runs[:, rest : rest + count]))
+                at = np.flatnonzero(c.marks[band][keys >> _U32(32 - _MARK_BITS)])
+                for i, key in zip(c.members, c.keys[band], strict=True) if len(at) else ():
+                    same = at[keys[at] == key]
+                    if len(same):
+                        starts[i].append(low + same * stride)
+    return {i: np.unique(np.concatenate(parts)) for i, parts in starts.items()}
+
+
+def _around(starts: np.ndarray, length: int, total: int) -> np.ndarray:
+    """Every place of windows of ``length``, and of as much on either side, once, in order."""
+    low, high = np.maximum(starts - length, 0), np.minimum(starts + 2 * length, total)
+    low[1:] = np.maximum(low[1:], high[:-1])
+    n = high - low
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def _matches(
-    found: np.ndarray, firsts: np.ndarray, every: np.ndarray, prepared: list[_Template]
+    found: np.ndarray, firsts: np.ndarray, prepared: list[_Template], classes: list[_Class]
 ) -> Iterator[tuple[int, bool, int, int, str, float, int]]:
     """(text, wide, first word, words, name, containment, shingles held) of the windows and spans that pass.
 
@@ -117,14 +219,11 @@ def _matches(
     begins, and the end. Windows have the template's length; spans, which are
     wide, begin and end with a shingle of the template.
     """
-    hits = np.flatnonzero(_within(every, found)) if len(every) else np.zeros(0, np.int64)
-    if not len(hits):
-        return
-    values = found[hits]
-    owners = np.searchsorted(firsts, hits, "right") - 1
-    for t in prepared:
-        own = _within(t.shingles, values)
-        places, held, texts = hits[own], values[own], owners[own]
+    lengths = {i: c.stride * c.blocks for c in classes for i in c.members}
+    for template, begins in sorted(_retrieved(found, classes).items()):
+        t, near = prepared[template], _around(begins, lengths[template], len(found))
+        places = near[_within(t.shingles, found[near])]
+        held, texts = found[places], np.searchsorted(firsts, places, "right") - 1
         last = np.arange(len(places) - t.need + 1) + t.need - 1
         close = places[last] - places[: len(last)] < t.reach if len(last) else np.zeros(0, bool)
         starts: dict[int, int] = {}
@@ -180,6 +279,7 @@ def scan(
     text: str = "text",
     least: float = LEAST,
     alike: Mapping[str, str] | None = None,
+    miss: float = MISS,
 ) -> DataFrame:
     """``doc_id`` and ``matches`` of every whole text: (start, end, license, containment).
 
@@ -192,7 +292,9 @@ def scan(
     span, the first.
 
     Null text counts as empty: no matches. Null and repeated ids are kept, other
-    columns ignored. Nothing is shuffled, and no match is missed.
+    columns ignored. Nothing is shuffled. A match that barely holds ``least`` is
+    missed with a probability of ``miss`` at most, a fuller one more rarely; which
+    are missed depends on the texts alone, but for what precedes them in a batch.
     """
     rows, groups = narrow(documents, doc_id, text), dict(alike or {})
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -201,14 +303,15 @@ def scan(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (every, prepared), known = _prepared(templates, least), _Words()
+        prepared, known = _prepared(templates, least), _Words()
+        classes = _classes(prepared, miss)
 
         def found_in(held: list[tuple]) -> Iterator[tuple]:
             parts = [shingles([known[w] for w in plain(raw).split()]) for _, raw in held]
             firsts = np.cumsum([0, *map(len, parts)])
             by_text = defaultdict(lambda: ([], []))
             if firsts[-1]:
-                for i, wide, start, *rest in _matches(np.concatenate(parts), firsts, every, prepared):
+                for i, wide, start, *rest in _matches(np.concatenate(parts), firsts, prepared, classes):
                     by_text[i][wide].append((start - int(firsts[i]), *rest))
             for i, (given, raw) in enumerate(held):
                 out = []

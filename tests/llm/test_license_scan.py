@@ -4,6 +4,8 @@ import math
 import random
 import re
 
+import numpy as np
+
 from tallyweave.llm import license_scan as L
 from tallyweave.llm import notices, queries
 
@@ -114,3 +116,35 @@ def test_the_query_finds_the_given_lines(spark):
     lines = {r.doc_id: {m.license for m in r.matches} for r in L.scan(df).collect()}
     got = {r.doc_id: set(filter(None, r.licenses.split(","))) for r in queries.op7_licenses(spark, FOLDER).collect()}
     assert all(names <= got[i] for i, names in lines.items())
+
+
+def test_bands_reach_the_stated_probability():
+    prepared = L._prepared(notices.NOTICES, L.LEAST)
+    classes = L._classes(prepared, L.MISS)
+    assert sorted(i for c in classes for i in c.members) == [*range(len(prepared))]
+    for c in classes:
+        length = c.stride * c.blocks
+        for t in (prepared[i] for i in c.members):
+            assert length >= t.reach + c.stride - 1
+            assert t.need / (len(t.shingles) + length - t.need) >= c.similarity
+        assert (1 - c.similarity**L.BAND_ROWS) ** len(c.keys) <= L.MISS
+
+
+def test_bands_retrieve_what_barely_matches_and_little_else():
+    random = np.random.default_rng(3)
+    prepared = L._prepared({"long": " ".join(f"term{i}" for i in range(90)), **L.TEMPLATES}, L.LEAST)
+    classes = L._classes(prepared, L.MISS)
+    tried = 0
+    for i, t in enumerate(prepared):
+        found = random.integers(0, 1 << 64, 300_000, np.uint64)
+        begins = np.arange(500, 299_000, 700) + random.integers(0, 64, 427)
+        for begin in begins:
+            held = random.permutation(t.shingles)[: t.need]
+            found[begin + np.sort(random.permutation(t.reach)[: t.need])] = held
+        retrieved, length = L._retrieved(found, classes), {j: c.stride * c.blocks for c in classes for j in c.members}
+        near = L._around(retrieved[i], length[i], len(found))
+        assert np.isin(begins + t.reach // 2, near).all()
+        assert len(near) < 427 * 5 * length[i]
+        assert not any(len(v) > 20 for j, v in retrieved.items() if j != i and prepared[j].size > 3)
+        tried += len(begins)
+    assert tried == 427 * 6
