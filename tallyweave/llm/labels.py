@@ -1,4 +1,4 @@
-"""Labelled rows for fitting: which may be learnt from, and a bounded sample of them."""
+"""Rows for fitting: which may be learnt from, and bounded samples of them, with and without label."""
 
 from __future__ import annotations
 
@@ -37,3 +37,23 @@ def learning_rows(
         .join(small(chosen, 24), F.col("doc_id") == F.col("label_id"))
         .select("doc_id", "text", "label")
     )
+
+
+def unlabelled_rows(
+    documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int
+) -> DataFrame:
+    """``doc_id`` and ``text`` of documents without a label, outside the held-out fold.
+
+    About ``most`` at most, chosen by a hash of the id before labelled ones are
+    left out. An id counts as labelled if any of its labels is 0 or 1; rows
+    without an id are left out.
+    """
+    rows = narrow(documents, "doc_id", "text")
+    share = most / max(rows.count(), 1)
+    place = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) / (1 << 30)
+    chosen = rows.where(
+        F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held) & (place < share)
+    )
+    given = labels.where(F.col(label).cast("double").isin(0.0, 1.0)).select("doc_id")
+    known = given.join(small(chosen.select("doc_id").distinct(), 24), "doc_id", "left_semi")
+    return chosen.join(known, "doc_id", "left_anti").select("doc_id", "text")

@@ -6,8 +6,8 @@ fitted by expectation maximisation, estimates how often each voter fires in toxi
 and in other texts, and how much voters move together beyond that; a voter counts
 the less, the more it only repeats others. Given labels take part as one more
 voter of stated accuracy. A linear classifier over the votes is then trained on
-the model's posterior labels. ``fit`` learns from labelled rows only: the label
-model can take rows without label, but none are given to it.
+the model's posterior labels. Texts without a label take part through their votes
+alone, in the rates, the correlations and the classifier.
 """
 
 from __future__ import annotations
@@ -23,14 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import rows_of, text_of
-from tallyweave.llm.labels import learning_rows
+from tallyweave.llm.labels import learning_rows, unlabelled_rows
 from tallyweave.runtime import cut
 
-# Labelled rows that a fit learns from at most, and voters whose correlations are held at a time.
-MOST_ROWS, BLOCK = 20_000, 256
+# Labelled and unlabelled rows that a fit learns from at most, and voters whose correlations are held at a time.
+MOST_ROWS, MOST_UNLABELLED, BLOCK = 20_000, 20_000, 256
 # Lengths of word beginnings that can be patterns; a pattern is written with a final star.
 STEMS = (4, 5, 6)
 LABEL_ACCURACY = 0.999
+# What a text without label weighs beside a labelled one, and from which correlation on voters repeat each
+# other: two rare voters that share one text by chance stay below.
+UNLABELLED_WEIGHT, REPEATING = 0.1, 0.6
 _WORD = re.compile(r"\w+")
 
 
@@ -170,11 +173,14 @@ def fit_label_model(
     texts: np.ndarray | None = None,
     rounds: int = 20,
     accuracy: float = LABEL_ACCURACY,
+    noise: float | None = None,
 ) -> tuple[LabelModel, np.ndarray]:
     """The model and the posterior of each row.
 
     A row stands for ``texts`` texts (default one) of equal votes; ``labels`` are
-    0, 1 or NaN for none. A round estimates the voters' rates from the
+    0, 1 or NaN for none. Correlations up to ``noise`` do not count (default: what
+    chance makes of independent voters that fire often). The first round sees the
+    labelled rows alone, if there are any. A round estimates the voters' rates from the
     posteriors, then their correlations within either class; a voter's weight is
     one over one plus the sum of its absolute correlations with others.
     """
@@ -188,14 +194,16 @@ def fit_label_model(
         np.where(labels == 1, accuracy, 1 - accuracy),
         np.where(np.bincount(votes.row, minlength=votes.shape[0]) > 0, 0.7, 0.05),
     )
-    noise = 4 / np.sqrt(texts.sum())  # what chance alone makes of independent voters
-    shared = votes.together(texts)
-    model = None
-    for _ in range(rounds):
+    noise = 4 / np.sqrt(texts.sum()) if noise is None else noise
+    every, first = texts, texts * known if known.any() else texts
+    shared, model = votes.together(every), None
+    for k in range(rounds):
+        texts = every if k else first
         p, q = posterior * texts, (1 - posterior) * texts
         in_toxic = (votes.totals(p) + 0.1) / (p.sum() + 1)
         in_clean = (votes.totals(q) + 0.01) / (q.sum() + 1)
-        repeats = _repeats(votes, shared, texts, posterior, (in_toxic, in_clean), noise)
+        both = shared if k or first is every else votes.together(first)
+        repeats = _repeats(votes, both, texts, posterior, (in_toxic, in_clean), noise)
         prior = float(np.clip(p.sum() / texts.sum(), 1e-3, 1 - 1e-3))
         model = LabelModel(prior, in_toxic, in_clean, 1 / (1 + repeats))
         from_votes = model.posterior(votes)
@@ -272,7 +280,10 @@ class ToxicityModel:
 
 
 def _votes(rows: DataFrame, voters: list[str]) -> tuple[Votes, np.ndarray, np.ndarray]:
-    """Votes, labels and number of texts of a bounded number of rows, equal ones as one, on the driver."""
+    """Votes, labels and number of texts of a bounded number of rows, equal ones as one, on the driver.
+
+    A label of -1 stands for none and comes out as NaN.
+    """
     place = {name: i for i, name in enumerate(voters)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +308,7 @@ def _votes(rows: DataFrame, voters: list[str]) -> tuple[Votes, np.ndarray, np.nd
         np.array([voter for fired, _ in kinds for voter in fired], np.int64),
         (len(kinds), len(voters)),
     )
-    labels = np.array([label for _, label in kinds], float)
+    labels = np.array([np.nan if label < 0 else label for _, label in kinds], float)
     return votes, labels, np.array([alike[kind] for kind in kinds], float)
 
 
@@ -310,9 +321,15 @@ def fit(
     most_rows: int = MOST_ROWS,
     least_texts: int = 3,
     least_lift: float = 8.0,
+    most_unlabelled: int = MOST_UNLABELLED,
+    unlabelled_weight: float = UNLABELLED_WEIGHT,
 ) -> ToxicityModel:
     """Learn from about ``most_rows`` labelled rows at most, none of the held-out fold.
 
+    Voters are mined from these. About ``most_unlabelled`` texts without a label,
+    at most and none of that fold, have votes in the label model too, each with
+    ``unlabelled_weight`` of a labelled text's.
+
     Null texts count as empty, null labels are left out. Without usable rows, or
     without a toxic one, there are no voters and the score is the labels' mean
     (0 without labels) everywhere.
@@ -321,11 +338,14 @@ def fit(
         learning_rows(documents, labels, label, folds, held, most_rows), "toxicity-texts"
     )
     voters = mine_voters(rows, least_texts, least_lift)
-    votes, given, texts = _votes(rows, voters)
-    if not voters or not len(given):
-        mean = np.average(given, weights=texts) if len(given) else 0.0
+    if not voters:
+        mean = rows.agg(F.avg("label")).first()[0] or 0.0
         mean = float(np.clip(mean, 1e-9, 1 - 1e-9))
         return ToxicityModel(float(np.log(mean / (1 - mean))), {})
-    _, posterior = fit_label_model(votes, given, texts)
+    others = unlabelled_rows(documents, labels, label, folds, held, most_unlabelled)
+    every = rows.select("text", "label").unionByName(others.select("text", F.lit(-1.0).alias("label")))
+    votes, given, texts = _votes(every, voters)
+    texts = np.where(np.isnan(given), unlabelled_weight, 1.0) * texts
+    _, posterior = fit_label_model(votes, given, texts, noise=REPEATING)
     intercept, weights = fit_linear(votes, posterior, texts)
     return ToxicityModel(intercept, dict(zip(voters, weights.tolist(), strict=True)))

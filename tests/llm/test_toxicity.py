@@ -1,9 +1,12 @@
 """Voters, label model and classifier on planted votes, and held-out accuracy."""
 
+import zlib
+
 import numpy as np
 import pytest
 
 from tallyweave.llm import queries, toxicity
+from tallyweave.llm.labels import unlabelled_rows
 
 FOLDER = "/root/testdata/sf0.1"
 LABELS = "doc_id bigint, toxic int"
@@ -87,6 +90,24 @@ def test_correlations_equal_the_dense_ones(monkeypatch):
     assert norm <= toxicity._steepest(v, share) * (1 + 1e-12) <= norm * 1.01
 
 
+def test_unlabelled_texts_take_part(spark):
+    rows = [(i, f"plain{i % 40} words {'vileword' if 5 <= i < 60 else ''} {'oddword' if i < 5 else ''}") for i in range(600)]
+    rows += [(i, f"oddword plain{i % 40} words") for i in range(1000, 1600)]  # without label
+    rows += [(None, "oddword"), (2000, None), (1000, "oddword plain0 words"), (2001, "oddword")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = [(i, int(i < 60)) for i in range(600)] + [(2001, None), (None, 1)]
+    labels = spark.createDataFrame(labels, LABELS)
+    others = unlabelled_rows(docs, labels, "toxic", 4, 9, 100_000)
+    got = sorted(r.doc_id for r in others.collect())
+    assert got == sorted([*range(1000, 1600), 1000, 2000, 2001])
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in unlabelled_rows(docs, labels, "toxic", 4, 2, 999_999).collect())
+    assert 50 < unlabelled_rows(docs, labels, "toxic", 4, 9, 200).count() < 200
+    alone = toxicity.fit(docs, labels, held=9, most_unlabelled=0).weights
+    beside = toxicity.fit(docs, labels, held=9, unlabelled_weight=1.0).weights
+    assert beside["oddword"] < alone["oddword"] - 0.5  # hundreds of texts with it and no other voter
+    assert beside["vileword"] > 3
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     for rows in ([], [(1, 0)], [(1, None)], [(9, 1)]):
