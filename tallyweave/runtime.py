@@ -75,3 +75,11 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders right under ``path``, on whatever storage it lies."""
     place, files = _file_system(spark, path)
     return sorted(found.getPath().getName() for found in files.listStatus(place) if found.isDirectory())
+
+
+def folder_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Whole paths of the folders right under the folders that ``pattern`` names."""
+    place, files = _file_system(spark, pattern)
+    roots = [root.getPath() for root in files.globStatus(place) or [] if root.isDirectory()]
+    found = [child for root in roots for child in files.listStatus(root) if child.isDirectory()]
+    return sorted(child.getPath().toString() for child in found)

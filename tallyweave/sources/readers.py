@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyweave.runtime import folder_paths
+
 CORRUPT = "_corrupt_record"
 # Why a file gives no rows.
 NO_COLUMNS, UNREADABLE = "no columns", "unreadable"
@@ -166,7 +168,7 @@ def file_schema(spark: SparkSession, path: str, file_format: str) -> T.StructTyp
 
 
 class FileGroup(NamedTuple):
-    """Files with the same columns, and their rows with ``Source_File``."""
+    """Files with the same columns, or one table of several files, and their rows with ``Source_File``."""
 
     paths: list[str]
     rows: DataFrame
@@ -177,31 +179,61 @@ def read_folder(
 ) -> tuple[list[FileGroup], list[tuple[str, str]]]:
     """The files of a folder, one scan per distinct set of columns, and (path, reason) of the rest.
 
+    A folder in it whose name ends in ``suffix`` is one table, written as several
+    files: its name is their ``Source_File``. Of CSV its files are grouped by header.
     Headers of CSV files are read by the executors, in one job for all files and
     one for each distinct header. Footers of columnar files are read one by one,
     several at a time.
     """
+    tables = table_folders(spark, folder, suffix)
     if file_format == "csv":
         headers, rejects = _csv_groups(spark, folder, suffix)
-        return [
+        groups = [
             FileGroup(paths, with_source_file(read_files(spark, paths, "csv", _all_text(names))))
             for paths, names in headers
-        ], rejects
-    paths = list_files(spark, folder, suffix)
+        ]
+        for table in tables:
+            headers, left_out = _csv_groups(spark, table)
+            groups += [
+                _of_table(table, paths, read_files(spark, paths, "csv", _all_text(names)))
+                for paths, names in headers
+            ]
+            rejects += left_out
+        return groups, rejects
+    paths = list_files(spark, folder, suffix) + tables
     with ThreadPoolExecutor(max_workers=8) as pool:
         schemas = list(pool.map(lambda path: file_schema(spark, path, file_format), paths))
     rejects = [(path, found) for path, found in zip(paths, schemas) if isinstance(found, str)]
     alike: dict[str, tuple[T.StructType, list[str]]] = {}
     for path, found in zip(paths, schemas):
-        if not isinstance(found, str):
+        if not isinstance(found, str) and path not in tables:
             alike.setdefault(found.json(), (found, []))[1].append(path)
     groups = [
         FileGroup(members, with_source_file(read_files(spark, members, file_format, schema)))
         for schema, members in alike.values()
     ]
+    groups += [
+        _of_table(path, [path], read_files(spark, [path], file_format, found))
+        for path, found in zip(paths, schemas)
+        if path in tables and not isinstance(found, str)
+    ]
     return groups, rejects
 
 
+def table_folders(spark: SparkSession, folder: str, suffix: str) -> list[str]:
+    """Paths of the folders right in ``folder`` whose name ends in ``suffix``: tables of several files."""
+    found = folder_paths(spark, folder) if suffix else []
+    return [path for path in found if path.endswith(suffix) and _file_name(path)[0] not in "._"]
+
+
+def _file_name(path: str) -> str:
+    return path.rpartition("/")[2]
+
+
+def _of_table(table: str, paths: list[str], rows: DataFrame) -> FileGroup:
+    return FileGroup(paths, rows.withColumn("Source_File", F.lit(_file_name(table))))
+
+
 def _all_text(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in names])
 

@@ -118,3 +118,25 @@ def test_combine_tables(spark):
     assert [(r.clean_name, r.fiscal_year) for r in rows.collect()] == [("v", "2001-02")]
     assert rejects.count() == 0
     assert combine_tables(spark, "no_such_table").rows is None
+
+
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
+def test_tables_of_several_files_in_a_folder(spark, tmp_path, kind):
+    def write(name, values, columns):
+        frame = spark.createDataFrame(values, columns).repartition(3)
+        frame.write.option("header", True).format(kind).save(str(tmp_path / name))
+
+    write(f"g_201011.{kind}", [("Ann", 1), ("Bo", 2), ("Cy", 3)], "name string, doc_id int")
+    write(f"other.{kind}", [(1,), (2,)], "number int")
+    write("not_a_table", [("Di", 4)], "name string, doc_id int")
+    stacked = stack_folder(spark, str(tmp_path), f".{kind}", kind).rows
+    assert {r.Source_File: r["count"] for r in stacked.groupBy("Source_File").count().collect()} == {
+        f"g_201011.{kind}": 3,
+        f"other.{kind}": 2,
+    }
+    assert {int(r.doc_id) for r in stacked.where("doc_id is not null").collect()} == {1, 2, 3}
+    rows, rejects = combine_sources(spark, str(tmp_path), f".{kind}", kind, ["doc_id"])
+    assert {(r.clean_name, r.fiscal_year) for r in rows.collect()} == {
+        (name, "2010-11") for name in ("ann", "bo", "cy")
+    }
+    assert {r.reason for r in rejects.collect()} == {"no name column"}
