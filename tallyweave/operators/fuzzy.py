@@ -4,6 +4,13 @@ Cut a string into k + 1 segments: whoever is within k edits of it contains one
 segment unchanged, shifted by at most k (Li, Deng, Wang, Feng: Pass-Join,
 PVLDB 2011). Segments are hashed and the candidates come from an equi-join.
 
+Up to there a title has keys for every length a grant within k edits may have, and
+for every place of a segment. Long grants are therefore filed by class, lengths an
+eighth of a power of two wide: their k + 1 segments have the length that the
+class's shortest grant allows, from the start. One of them is unchanged with as many
+edits before it as it has segments before it, so it has moved by no more than that,
+and a long title has (k + 1) ** 2 keys in each of the one or two classes in its reach.
+
 A key is weighed by the pairs it would list, its titles times its grants. Titles
 that met a heavy key are matched at distance 1 first, then 2 and 3, so that a
 dense cluster of near-copies is left at the nearest one. There a heavy key grows:
@@ -19,6 +26,9 @@ one at most. So titles within k edits differ in 4 k and 2 k bits at most, while
 titles further apart mostly differ in more. Every step is exact; nothing is capped
 or sampled.
 
+Titles, grants and keys are joined by merging, as all of them grow with the input: what
+Spark would take for small enough to broadcast is several times larger in memory.
+
 Costs are bounded: a key lists ``HEAVY`` pairs at most; a grant has
 (k + 1) keys at first, (d + 1) ** (GROWTHS + 1) at most at a nearer distance d;
 a comparison in slices costs the titles concerned times their grants, a few
@@ -41,6 +51,9 @@ HEAVY, GROWTHS, NEAREST = 1_000_000, 2, 3
 # Grants that are compared with a title at a time.
 SLICE = 256
 
+# Grants are filed by class from this many times the reach of lengths on.
+LONG = 16
+
 # Words of 64 bits in each half of a signature, and how many of its bits one edit flips at most.
 SIGNATURE_WORDS, PAIRS_FLIPPED, LETTERS_FLIPPED = 4, 4, 2
 
@@ -58,52 +71,72 @@ def best_edit_matches(
     """
     wanted = cut(
         titles.where(usable(F.col("title")))
-        .groupBy(F.md5("title").alias("tid"))
+        .groupBy(F.unhex(F.md5("title")).alias("tid"))
         .agg(F.first("title").alias("title")),
         "titles",
     )
+    known = cut(grants_in_reach(grants, wanted, max_distance), "grants")
+    best = nearest_grants(wanted, known, max_distance, heavy)
+    return (
+        best.join(wanted.hint("merge"), "tid")
+        .join(known.select("gid", F.col("title").alias("grant_title")).hint("merge"), "gid")
+        .select("title", "grant_id", "grant_title", "distance")
+    )
+
+
+def grants_in_reach(grants: DataFrame, wanted: DataFrame, max_distance: int) -> DataFrame:
+    """One grant per title, by a digest ``gid``, of those that are neither too short nor too long.
+
+    The smallest id stands for its title. Runs a job for the lengths of ``wanted``.
+    """
     shortest, longest = wanted.agg(F.min(F.length("title")), F.max(F.length("title"))).first()
     if shortest is None:
         shortest = longest = 0
     in_reach = F.length("title").between(shortest - max_distance, longest + max_distance)
-    known = cut(
+    return (
         grants.where(usable(F.col("title")) & in_reach)
-        .groupBy(F.md5("title").alias("gid"))
-        .agg(F.min("grant_id").alias("grant_id"), F.first("title").alias("title")),
-        "grants",
+        .groupBy(F.unhex(F.md5("title")).alias("gid"))
+        .agg(F.min("grant_id").alias("grant_id"), F.first("title").alias("title"))
     )
 
-    title_keys = _split_titles(_seed_titles(wanted, max_distance), max_distance)
-    shared = _shared_keys(title_keys, _split_grants(_seed_grants(known), max_distance))
+
+def nearest_grants(
+    wanted: DataFrame, known: DataFrame, max_distance: int = 5, heavy: int = HEAVY
+) -> DataFrame:
+    """``tid``, ``distance``, ``grant_id``, ``gid`` of every title's best grant.
+
+    ``wanted`` has ``tid`` and ``title``, ``known`` has ``gid``, ``grant_id`` and
+    ``title``: written tables, each title once and neither NULL nor blank.
+    """
+    title_keys = _whole_titles(wanted, max_distance)
+    shared = _shared_keys(title_keys, _whole_grants(known, max_distance))
     dense = cut(
         title_keys.join(_heavy_keys(shared, heavy), "key", "left_semi").select("tid").distinct(),
         "dense",
     )
     light_keys = title_keys.join(dense, "tid", "left_anti")
-    results = [_verified(_pairs(light_keys, shared), wanted, known, max_distance)]
+    # a class holds grants of lengths that a title cannot reach
+    apart = F.abs(F.col("title_size") - F.col("grant_size"))
+    light = _joined(light_keys, shared).where(apart.isNull() | (apart <= max_distance))
+    results = [_verified(light.select("tid", "gid"), wanted, known, max_distance)]
     if dense.take(1):
         open_titles = cut(wanted.join(dense, "tid", "left_semi"), "open")
         asked = title_keys.join(dense, "tid", "left_semi").select("key").distinct()
-        around = shared.join(asked, "key", "left_semi").select("gid").distinct()
-        near = cut(known.join(around, "gid", "left_semi"), "near-grants")
+        around = shared.join(asked.hint("merge"), "key", "left_semi").select("gid").distinct()
+        near = cut(known.join(around.hint("merge"), "gid", "left_semi"), "near-grants")
         for distance in range(1, min(NEAREST, max_distance) + 1):
             nearest = cut(_refined(open_titles, near, distance, heavy), f"within-{distance}")
             results.append(nearest)
             open_titles = cut(open_titles.join(nearest, "tid", "left_anti"), "open")
         if max_distance > NEAREST:
             results.append(_compared(open_titles, near, max_distance))
-    best = reduce(DataFrame.unionByName, results)
-    return (
-        best.join(wanted, "tid")
-        .join(known.select("gid", F.col("title").alias("grant_title")), "gid")
-        .select("title", "grant_id", "grant_title", "distance")
-    )
+    return reduce(DataFrame.unionByName, results)
 
 
 def _shared_keys(title_keys: DataFrame, grant_keys: DataFrame) -> DataFrame:
     """The grants' keys that some title asks for, written once, with the number of its titles."""
     asked = cut(title_keys.groupBy("key").agg(F.count(F.lit(1)).alias("asked")), "asked-keys")
-    return cut(grant_keys.join(asked, "key"), "grant-keys")
+    return cut(grant_keys.join(asked.hint("merge"), "key"), "grant-keys")
 
 
 def _heavy_keys(shared: DataFrame, heavy: int) -> DataFrame:
@@ -149,8 +182,12 @@ def _refined(titles: DataFrame, grants: DataFrame, k: int, heavy: int) -> DataFr
     return _best(reduce(DataFrame.unionByName, found))
 
 
+def _joined(title_keys: DataFrame, grant_keys: DataFrame) -> DataFrame:
+    return title_keys.join(grant_keys.hint("merge"), "key")
+
+
 def _pairs(title_keys: DataFrame, grant_keys: DataFrame) -> DataFrame:
-    return title_keys.select("key", "tid").join(grant_keys.select("key", "gid"), "key").select(
+    return _joined(title_keys.select("key", "tid"), grant_keys.select("key", "gid")).select(
         "tid", "gid"
     )
 
@@ -166,8 +203,8 @@ def _verified(pairs: DataFrame, titles: DataFrame, grants: DataFrame, k: int) ->
     right = grants.select("gid", "grant_id", F.col("title").alias("grant_title"))
     return _best(
         pairs.distinct()
-        .join(titles.select("tid", "title"), "tid")
-        .join(right, "gid")
+        .join(titles.select("tid", "title").hint("merge"), "tid")
+        .join(right.hint("merge"), "gid")
         .withColumn("distance", F.levenshtein(F.col("title"), F.col("grant_title"), k))
         .where(F.col("distance") >= 0)
         .select("tid", "distance", "grant_id", "gid")
@@ -263,6 +300,70 @@ def may_be_near(left: Column, right: Column, k: int) -> Column:
     )
 
 
+def _long_from(k: int) -> int:
+    return LONG * (2 * k + 1)
+
+
+def _class_of(size: Column) -> Column:
+    """The shortest length in a length's class; powers of two are cut into eight classes each."""
+    return size - size % F.call_function("shiftleft", F.lit(1), F.length(F.bin(size)) - 4)
+
+
+def _segment_keys(start: Column, k: int, moved: bool) -> Column:
+    """The key of each of the first ``k + 1`` segments of class ``start``, at all its places if ``moved``."""
+    width = F.floor(start / (k + 1)).cast("int")
+
+    def at(s: Column, place: Column) -> Column:
+        # four bytes a character, so that a segment is found without counting through
+        piece = F.substring(F.col("units"), place * 4 + 1, width * 4)
+        whole = (place >= 0) & (place + width <= F.col("size"))
+        return F.when(whole, F.xxhash64(F.lit("class"), start, s, piece))
+
+    def of_segment(s: Column) -> Column:
+        if not moved:
+            return F.array(at(s, s * width))
+        return F.transform(F.sequence(-s, s), lambda shift: at(s, s * width + shift))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k)), of_segment))
+
+
+def _whole_grants(grants: DataFrame, k: int) -> DataFrame:
+    """``gid``, ``grant_size`` and ``key``: short grants by their exact length, long ones by class."""
+    size = F.length("title")
+    short = _split_grants(_seed_grants(grants.where(size < _long_from(k))), k)
+    long = (
+        grants.where(size >= _long_from(k))
+        .select("gid", size.alias("size"), F.encode("title", "utf-32").alias("units"))
+        .select(
+            "gid",
+            F.col("size").alias("grant_size"),
+            F.explode(_segment_keys(_class_of(F.col("size")), k, moved=False)).alias("key"),
+        )
+    )
+    # the key of a short one holds its length
+    return short.select("gid", F.lit(None).cast("int").alias("grant_size"), "key").unionByName(long)
+
+
+def _whole_titles(titles: DataFrame, k: int) -> DataFrame:
+    """``tid``, ``title_size`` and ``key`` for every grant length within ``k`` of a title's own."""
+    size, long = F.length("title"), F.lit(_long_from(k))
+    short = _split_titles(_seed_titles(titles, k, _long_from(k) - 1), k)
+    reached = F.sequence(F.greatest(long, F.col("size") - k), F.col("size") + k)
+    classes = F.array_distinct(F.transform(reached, _class_of))
+    by_class = F.transform(classes, lambda start: _segment_keys(start, k, moved=True))
+    by_class = (
+        titles.where(size + k >= long)
+        .select("tid", size.alias("size"), F.encode("title", "utf-32").alias("units"))
+        .select(
+            "tid",
+            F.col("size").alias("title_size"),
+            F.explode(F.array_distinct(F.flatten(by_class))).alias("key"),
+        )
+        .where(F.col("key").isNotNull())
+    )
+    return short.select("tid", F.lit(None).cast("int").alias("title_size"), "key").unionByName(by_class)
+
+
 # ``gaps`` are the stretches of a grant title no key segment covers yet, each with
 # its start ``gs`` and length ``gl`` in the grant, the open length ``gp`` before
 # it, and the stretch ``ts``, ``tl`` of the title it has to be aligned with.
@@ -284,10 +385,13 @@ def _seed_grants(grants: DataFrame) -> DataFrame:
     )
 
 
-def _seed_titles(titles: DataFrame, k: int) -> DataFrame:
-    """Every title once per grant length within ``k`` of its own."""
+def _seed_titles(titles: DataFrame, k: int, longest: int | None = None) -> DataFrame:
+    """Every title once per grant length within ``k`` of its own, up to ``longest``."""
     size, zero = F.length("title"), F.lit(0)
-    lengths = F.sequence(F.greatest(F.lit(1), size - k), size + k)
+    last = size + k
+    if longest is not None:
+        titles, last = titles.where(size - k <= longest), F.least(last, F.lit(longest))
+    lengths = F.sequence(F.greatest(F.lit(1), size - k), last)
     return titles.select("tid", "title", F.explode(lengths).alias("_l")).select(
         "tid",
         "title",

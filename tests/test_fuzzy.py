@@ -143,3 +143,32 @@ def test_few_titles_of_a_dense_cluster_are_compared(spark):
     assert calls.count() * 10 <= pairs.where(in_reach).count()
     expected = brute(titles.select("title"), known, F.levenshtein("title", "grant_title", 5), 5)
     assert found(best_edit_matches(titles.select("title"), known.select("grant_id", "title"), 5, 5000)) == expected
+
+
+@pytest.mark.parametrize("limit, heavy", [(5, 10**6), (3, 10**6), (3, 20), (1, 10**6), (0, 10**6)])
+def test_long_titles_same_as_brute_force(spark, limit, heavy):
+    rng = random.Random(limit + heavy)
+    letters = "abcdefgh é"
+    edge = fuzzy.LONG * (2 * limit + 1)  # from here on grants are filed by class
+    base = ["".join(rng.choices(letters, k=edge + rng.randint(-4, 60))) for _ in range(12)]
+    base += ["ab" * (edge // 2), "a" * (edge + 30)]
+    grants = [(i, changed(rng, rng.choice(base), rng.randint(0, 3), letters)) for i in range(120)]
+    wanted = [changed(rng, rng.choice(base), rng.randint(0, 5), letters) for _ in range(80)]
+    titles, known = frames(spark, wanted, grants)
+    expected = brute(titles, known, F.levenshtein("title", "grant_title", limit), limit)
+    assert expected
+    assert found(best_edit_matches(titles, known, limit, heavy)) == expected
+
+
+def test_keys_of_a_long_title_do_not_multiply_by_length(spark):
+    titles, _ = frames(spark, ["".join(random.Random(1).choices("abcdefgh ", k=3000))], [(1, "a")])
+    keys = fuzzy._whole_titles(titles.withColumn("tid", F.col("title")), 10)
+    assert keys.count() <= 2 * 11**2
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    titles, known = frames(spark, ["some title", "another"], [(1, "some tite"), (2, "other")])
+    matches = best_edit_matches(titles, known, 2)
+    plan = matches._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 5
+    assert found(matches) == {"some title": (1, 1), "another": (2, 2)}
