@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave import columns as C
 from tallyweave.operators.dedupe import digest
-from tallyweave.operators.fuzzy import best_edit_matches
+from tallyweave.operators.fuzzy import grants_in_reach, nearest_grants
 from tallyweave.operators.joins import join_to_single, left_join_many
 from tallyweave.operators.schema import available_enrichment, require_columns, title_column
 from tallyweave.operators.titles import (
@@ -54,10 +54,11 @@ def enrich_by_title(
     # Titles may be whole documents: they are joined by the digest of their key.
     key_id = digest(F.col("title_key")).alias("key_id")
     keyed = with_title_key(outcomes, outcome_title, form).select("*", key_id)
-    # Read four times below: normalise and deduplicate once.
+    # Rows of one raw title have one key, so it is worked out once for each.
     known = cut(
-        one_per_title(with_usable_key(grants, grant_title, form), grant_title).select(
+        with_usable_key(one_per_title(grants, grant_title), grant_title, form).select(
             key_id,
+            F.unhex(F.md5(F.col(grant_title))).alias("known_id"),
             "title_key",
             "grant_id",
             F.col(grant_title).alias("matched_title"),
@@ -65,28 +66,43 @@ def enrich_by_title(
         ),
         "known",
     )
+    # All tables here grow with the input, and in memory far beyond what Spark takes their
+    # files for. So they are joined by merging, and the answers found as ids only.
+    held = known.select("key_id").distinct().withColumn("held", F.lit(True)).hint("merge")
     asked = cut(
         keyed.where(F.col("key_id").isNotNull())
         .groupBy("key_id")
-        .agg(F.first("title_key").alias("title")),
+        .agg(F.first("title_key").alias("title"))
+        .join(held, "key_id", "left")
+        .select("key_id", F.when(F.col("held").isNull(), F.col("title")).alias("title")),
         "asked",
     )
-    exact = known.drop("title_key")
+    exact = known.select("key_id", "grant_id", "known_id").join(
+        asked.where(F.col("title").isNull()).select("key_id").hint("merge"), "key_id", "left_semi"
+    )
     if mode == "one":
-        # Winners lie by key already, so the others are left out without a shuffle.
-        exact = exact_winners(exact, "key_id").join(asked.select("key_id"), "key_id", "left_semi")
-    nearest = best_edit_matches(
-        asked.join(known.select("key_id").distinct(), "key_id", "left_anti"),
-        known.select(F.col("title_key").alias("title"), "grant_id"),
-        max_distance,
+        exact = exact_winners(exact, "key_id")
+    wanted = cut(
+        asked.where(F.col("title").isNotNull()).select(F.unhex(F.md5("title")).alias("tid"), "key_id", "title"),
+        "titles",
     )
-    fuzzy = nearest.select(digest(F.col("title")).alias("key_id"), "grant_id", "distance").join(
-        known.drop("key_id", "title_key"), "grant_id"
+    near = known.select(F.col("title_key").alias("title"), "grant_id")
+    near = cut(grants_in_reach(near, wanted, max_distance), "grants")
+    nearest = nearest_grants(wanted, near, max_distance)
+    fuzzy = (
+        nearest.join(wanted.select("tid", "key_id").hint("merge"), "tid")
+        .select("key_id", "grant_id", "distance")
+        .join(known.select("grant_id", "known_id").hint("merge"), "grant_id")
     )
     # Exact and fuzzy keys are disjoint, so one table answers both in one join.
-    answers = exact.withColumns(
-        {"match_stage": F.lit("exact"), "distance": F.lit(0)}
-    ).unionByName(fuzzy.withColumn("match_stage", F.lit("fuzzy")))
+    answers = cut(
+        exact.withColumns({"match_stage": F.lit("exact"), "distance": F.lit(0)}).unionByName(
+            fuzzy.withColumn("match_stage", F.lit("fuzzy"))
+        ).drop("grant_id"),
+        "answers",
+    )
+    facts = known.drop("key_id", "title_key").hint("merge")
+    answers = answers.join(facts, "known_id").drop("known_id").hint("merge")
 
     base = keyed.drop("title_key", *served.values())
     if mode == "one":

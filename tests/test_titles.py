@@ -203,3 +203,27 @@ def test_diagnosis(spark):
     }
     assert [tuple(r) for r in report.names.collect()] == [("ann lee", 2, ["Pathways of sleep", "sleep"])]
     assert diagnose_unmatched(unmatched, grants, sample=2).sample.count() == 2
+
+
+def test_answers_are_found_as_ids_without_broadcast(spark):
+    grants = spark.createDataFrame(
+        [(None, "No id", "p0"), (7, "Same A", "p1"), (7, "Same B", "p2"), (9, "near title one", "p3")],
+        "grant_id long, title string, institute string",
+    )
+    outcomes = spark.createDataFrame(
+        [(1, "no id"), (2, "same a"), (3, "Same B"), (4, "near title two"), (5, None)],
+        "outcome_id long, Project_Title string",
+    )
+    columns = {"institute": "Primary_Institute"}
+    for mode in ("one", "all"):
+        out = enrich_by_title(outcomes, grants, mode=mode, grant_title="title", enrichment=columns)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("strategy=merge") >= 2
+        got = {(r.outcome_id, r.Primary_Institute, r.grant_id, r.match_stage) for r in out.collect()}
+        assert got == {
+            (1, "p0", None, "exact"),
+            (2, "p1", 7, "exact"),
+            (3, "p2", 7, "exact"),
+            (4, "p3", 9, "fuzzy"),
+            (5, None, None, "none"),
+        }
