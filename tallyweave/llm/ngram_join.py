@@ -39,14 +39,14 @@ from tallyweave.runtime import cut
 _U = np.uint64
 _GROUPS, _COARSE = 256, 64
 # Most points of a box that a task compares at a time, and words whose hash a worker remembers.
-TILE, REMEMBERED = 1024, 400_000
+TILE, REMEMBERED = 1024, 100_000
 # Rows and columns of the block of pairs that is compared at once.
 _BLOCK = 512
 # Pairs of a point that are verified before all of them are.
 _FEW = 4
 # Pairs of a box and a point that a task sorts at a time, and bytes of a box's hash within them:
 # strangers that meet since their boxes have the same hash are told apart like any others.
-BUCKET, _BOX_BYTES = 1 << 20, 5
+BUCKET, _BOX_BYTES = 1 << 19, 5
 _LONGEST = 1 << 40  # shingles of the largest set provided for
 
 
@@ -339,15 +339,22 @@ def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, ba
 
 def _dealt(buckets: int):
     """The (box, key) pairs of a batch of points, packed by bucket of boxes."""
-    schema = pa.schema([("bucket", pa.int64()), ("pairs", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary())])
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The batch by runs of points of about ``BUCKET`` pairs."""
+        sizes = batch.column("boxes").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        begins = np.flatnonzero(np.diff(np.cumsum(sizes) // BUCKET, prepend=-1))
+        for i, j in zip(begins, np.append(begins, len(sizes))[1:], strict=True):
+            yield batch.slice(i, j - i)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             boxes = batch.column("boxes")
             sizes = boxes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             box = boxes.flatten().to_numpy(zero_copy_only=False).view(_U)
             keys = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), sizes)
-            bucket = (box % _U(buckets)).astype(np.int64)
+            bucket = (box % _U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             pairs = np.empty((len(box), _BOX_BYTES + 8), np.uint8)
             within = np.ascontiguousarray((box // _U(buckets))[order], "<u8")
@@ -412,14 +419,15 @@ def _filed(sketch: DataFrame) -> DataFrame:
     """``box``, ``key`` and ``pivot`` of the boxes of several points, one for each set of points.
 
     Most boxes hold one point. So the pairs of box and point travel packed, 13 bytes
-    each, in buckets of about ``BUCKET`` pairs, and only boxes of several become rows.
+    each, in buckets of about ``BUCKET`` pairs, and only boxes of several become rows. A task
+    gets one bucket, since all it gets comes to Python at once.
     """
     placed = sketch.where("boxes is not null").select("key", "boxes")
     pairs = placed.agg(F.sum(F.size("boxes"))).first()[0] or 0
     buckets = max(1, -(-pairs // BUCKET))
     return (
-        placed.mapInArrow(_dealt(buckets), "bucket bigint, pairs binary")
-        .repartition(buckets, "bucket")
+        placed.mapInArrow(_dealt(buckets), "bucket int, pairs binary")
+        .repartitionById(buckets, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_shared_boxes, "box bigint, key bigint, pivot bigint")
         .distinct()

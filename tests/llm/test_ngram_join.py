@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyweave.llm import ngram_join as J
@@ -139,5 +140,31 @@ def test_copies_in_several_partitions_leave_boxes_apart(spark):
         assert sorted(map(sorted, keys.values())) == [[2, 3], [2, 3, 4, 5, 6, 7], [4, 5], [6, 7]]
 
 
+def test_a_task_reads_one_bucket(spark, monkeypatch):
+    """Several buckets in a task all came to Python at once."""
+    monkeypatch.setattr(J, "BUCKET", 8)
+
+    def buckets(batches):
+        met = {b for batch in batches for b in batch.column("bucket").to_pylist()}
+        if met:
+            row = [pa.array([x]) for x in (len(met), min(met), 0)]
+            yield pa.RecordBatch.from_arrays(row, ["box", "key", "pivot"])
+
+    monkeypatch.setattr(J, "_shared_boxes", buckets)
+    rows = [(key, list(range(4 * key, 4 * key + 4))) for key in range(40)]
+    got = J._filed(spark.createDataFrame(rows, "key bigint, boxes array<bigint>")).collect()
+    assert sorted((r.key, r.box) for r in got) == [(i, 1) for i in range(20)]
+
+
+def test_pairs_are_packed_a_few_points_at_a_time(monkeypatch):
+    monkeypatch.setattr(J, "BUCKET", 6)
+    names = ["key", "boxes"]
+    columns = [pa.array(range(10)), pa.array([[i, 20, 30] for i in range(10)])]
+    whole = pa.RecordBatch.from_arrays(columns, names)
+    packed = [b for batch in J._dealt(1)(iter([whole])) for b in batch.column("pairs").to_pylist()]
+    assert len(packed) >= 5 and max(map(len, packed)) <= 13 * 9
+    assert sum(map(len, packed)) == 13 * 30
+
+
 def test_empty_table(spark):
     assert J.join(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
