@@ -17,6 +17,11 @@ First every point is compared with one pivot of each of its boxes, then with one
 more point of each, which differs from box to box; of these a few per point are
 verified. What that links becomes a component, and all pairs of points that still
 lie in different components are compared, since only components are asked for.
+Such pairs grow with the square of a group, so they are never written: of the
+pairs of a box that pass the bound only a spanning forest leaves its task. Points
+that these forests join make a group, each point once however many boxes it shares
+with others; the finer bound parts the groups again in the same way, and within
+what is left pairs are verified where their exact sets lie side by side.
 """
 
 from __future__ import annotations
@@ -38,8 +43,9 @@ from tallyweave.runtime import cut
 
 _U = np.uint64
 _GROUPS, _COARSE = 256, 64
-# Most points of a box that a task compares at a time, and words whose hash a worker remembers.
-TILE, REMEMBERED = 1024, 100_000
+# Most points and shingles of a box (its last point's aside) that make a tile; a task compares the
+# points of one or two tiles at a time. Words whose hash a worker remembers.
+TILE, TILE_SHINGLES, REMEMBERED = 1024, 1 << 21, 100_000
 # Rows and columns of the block of pairs that is compared at once.
 _BLOCK = 512
 # Pairs of a point that are verified before all of them are.
@@ -241,68 +247,114 @@ def _bound(bands: Bands):
     return run
 
 
+def _linked(bands: Bands, x: np.ndarray, y: np.ndarray) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= bands.percent * (len(x) + len(y) - shared)
+
+
 def _verify(bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(_PAIR)
         for a, b, a_set, b_set in rows_of(batches, ("a", "b", "a_set", "b_set")):
             x, y = np.frombuffer(a_set, np.uint64), np.frombuffer(b_set, np.uint64)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            linked = 100 * shared >= bands.percent * (len(x) + len(y) - shared)
-            if linked and out.add((a, b)):
+            if _linked(bands, x, y) and out.add((a, b)):
                 yield out.batch()
         yield out.batch()
 
     return run
 
 
-def _within_boxes(bands: Bands, every: bool):
-    """Of each box and pair of its tiles, pairs of different components that pass the bound.
+def _tile_pairs(batches: Iterator[pa.RecordBatch], *more: str):
+    """Box, low, high and rows (key, label, n, tile, ``more``) of pairs of tiles with several points."""
+    names, of, held = ("box", "low", "high", "key", "label", "n", "tile", *more), None, []
+    for row in rows_of(batches, names):
+        if row[:3] != of:
+            if len(held) > 1:
+                yield *of, held
+            of, held = row[:3], []
+        held.append(row[3:])
+    if len(held) > 1:
+        yield *of, held
 
-    All of them, or for each point the one that comes first in an order that the
-    box's own key shuffles.
-    """
 
-    def pairs(box: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        keys, labels, sizes, tiles = (np.array(c) for c in list(zip(*rows, strict=True))[:4])
-        vectors = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-        place = _mix(keys.view(np.uint64) ^ np.array([box]).view(np.uint64)).argsort().argsort()
-        first = np.full(len(rows), len(rows))  # place of the point each is to meet
-        one_tile = tiles.min() == tiles.max()
-        own = np.flatnonzero(tiles == tiles.min())
-        others = own if one_tile else np.flatnonzero(tiles != tiles.min())
-        blocks = [
-            (own[i : i + _BLOCK], others[j : j + _BLOCK])
-            for i in range(0, len(own), _BLOCK)
-            for j in range(i if one_tile else 0, len(others), _BLOCK)
-        ]
-        for a, b in blocks:
-            near = _passes(bands, sizes[a], vectors[a], sizes[b], vectors[b])
+def _near(bands: Bands, rows: list[tuple], one_tile: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Each point's place among ``rows`` with those that may link with it, by label, size and bound.
+
+    Every pair comes once; pairs within a tile only if there is one.
+    """
+    labels, sizes, tiles = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+    vectors = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+    blocked, fine = vectors, vectors.shape[1] > _COARSE
+    if fine:  # whole blocks by coarse counts, what they leave by all
+        summed = vectors.reshape(len(rows), _COARSE, -1).sum(axis=2)
+        blocked = np.minimum(summed, 255).astype(np.uint8)
+    own = np.flatnonzero(tiles == tiles.min())
+    others = own if one_tile else np.flatnonzero(tiles != tiles.min())
+    for i in range(0, len(own), _BLOCK):
+        for j in range(i if one_tile else 0, len(others), _BLOCK):
+            a, b = own[i : i + _BLOCK], others[j : j + _BLOCK]
+            near = _passes(bands, sizes[a], blocked[a], sizes[b], blocked[b])
             near &= labels[a][:, None] != labels[b]
             if one_tile:
                 near &= a[:, None] < b
-            x, y = np.nonzero(near)
-            x, y = a[x], b[y]
-            if every:
-                yield from zip(keys[x].tolist(), keys[y].tolist(), strict=True)
-            else:
-                np.minimum.at(first, x, place[y])
-                np.minimum.at(first, y, place[x])
-        at = np.argsort(place)
-        for i in np.flatnonzero(first < len(rows)):
-            yield int(keys[i]), int(keys[at[first[i]]])
+            for x in np.flatnonzero(near.any(axis=1)):
+                at, found = a[x : x + 1], b[near[x]]
+                if fine:
+                    passes = _passes(bands, sizes[at], vectors[at], sizes[found], vectors[found])
+                    found = found[passes[0]]
+                yield int(at[0]), found
+
+
+def _partners(bands: Bands):
+    """Of each box and pair of its tiles, for each point one that passes the bound.
+
+    It is the first in an order that the box's own key shuffles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, box, held = Rows(_PAIR), None, []
-        names = ("box", "low", "high", "key", "label", "n", "tile", "coarse")
-        for *of, key, label, n, tile, vector in rows_of(batches, names):
-            if of != box:
-                for pair in pairs(box[0], held) if len(held) > 1 else ():
+        out = Rows(_PAIR)
+        for box, low, high, rows in _tile_pairs(batches, "coarse"):
+            keys = np.array([r[0] for r in rows])
+            shuffled = _mix(keys.view(np.uint64) ^ np.array([box]).view(np.uint64))
+            place = shuffled.argsort().argsort()
+            first = np.full(len(rows), len(rows))  # place of the point each is to meet
+            for x, found in _near(bands, rows, low == high):
+                first[x] = min(first[x], place[found].min(initial=len(rows)))
+                first[found] = np.minimum(first[found], place[x])
+            at = np.argsort(place)
+            for i in np.flatnonzero(first < len(rows)):
+                pair = int(keys[i]), int(keys[at[first[i]]])
+                if out.add((min(pair), max(pair))):
+                    yield out.batch()
+        yield out.batch()
+
+    return run
+
+
+def _forest(bands: Bands, vector: str, verified: bool = False):
+    """Of each box and pair of its tiles, pairs that join all that pairs passing the bound join.
+
+    With ``verified`` only pairs whose exact sets are similar enough count, and
+    points of one label are joined from the start. So a point adds one pair at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(_PAIR)
+        for _, low, high, rows in _tile_pairs(batches, vector, *["shingles"] * verified):
+            sets = [np.frombuffer(r[5], np.uint64) for r in rows] if verified else []
+            group = np.arange(len(rows))
+            if verified:
+                group = np.unique([r[1] for r in rows], return_inverse=True)[1]
+            for x, found in _near(bands, rows, low == high):
+                for y in found[group[found] != group[x]].tolist():
+                    if group[x] == group[y]:
+                        continue
+                    if verified and not _linked(bands, sets[x], sets[y]):
+                        continue
+                    group[group == group[y]] = group[x]
+                    pair = rows[x][0], rows[y][0]
                     if out.add((min(pair), max(pair))):
                         yield out.batch()
-                box, held = of, []
-            held.append((key, label, n, tile, vector))
-        for pair in pairs(box[0], held) if len(held) > 1 else ():
-            out.add((min(pair), max(pair)))
         yield out.batch()
 
     return run
@@ -318,19 +370,24 @@ def _with_points(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return pairs
 
 
-def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, bands: Bands):
-    """The pairs (a, b) whose exact sets are similar enough, as a written table; some twice."""
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(
-        pairs.select(F.col("b").alias("key"))
-    )
+def _sets_of(wanted: DataFrame, rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """``key`` and ``shingles`` of the sets whose ``key`` is wanted, as a written table."""
     # one document of each wanted set; another text under its id is told apart by its key
     ids = classes.join(wanted, "key", "left_semi").select(F.col("first").alias("id"))
     texts = rows.join(
         small(cut(ids, "wanted-ids"), 16), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"
     )
-    sets = cut(
+    return cut(
         texts.select("text").mapInArrow(_sets(words), "key bigint, shingles binary"), "sets"
     )
+
+
+def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, bands: Bands):
+    """The pairs (a, b) whose exact sets are similar enough, as a written table; some twice."""
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(
+        pairs.select(F.col("b").alias("key"))
+    )
+    sets = _sets_of(wanted, rows, classes, words)
     for end in "ab":
         side = sets.select(F.col("key").alias(end), F.col("shingles").alias(f"{end}_set"))
         pairs = pairs.join(side, end)
@@ -434,6 +491,27 @@ def _filed(sketch: DataFrame) -> DataFrame:
     )
 
 
+def _tiled(boxes: DataFrame) -> DataFrame:
+    """The points of each box (``box``, ``key``, ``label``, ``n`` and others) by pairs of tiles."""
+    by_size = Window.partitionBy("box").orderBy("n", "key").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    size = F.greatest("n", F.lit(-(-TILE_SHINGLES // TILE)).cast("bigint"))
+    before = F.sum(size).over(by_size) - size
+    tiled = boxes.withColumn("tile", F.floor(before / TILE_SHINGLES)).withColumn(
+        "tiles", F.max("tile").over(Window.partitionBy("box"))
+    )
+    others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles")))
+    return (
+        tiled.select("*", others.alias("other"))
+        .withColumn("low", F.least("tile", "other"))
+        .withColumn("high", F.greatest("tile", "other"))
+        .drop("tiles", "other")
+        .repartition("box", "low", "high")
+        .sortWithinPartitions("box", "low", "high", "key")
+    )
+
+
 def _met(filed: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
     """The points of boxes that hold several components, pivots aside, by pairs of tiles."""
     by_box = Window.partitionBy("box")
@@ -447,18 +525,31 @@ def _met(filed: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
         .select("box", "key", "label")
         .join(points.select("key", "n", "coarse"), "key")
     )
-    by_size = Window.partitionBy("box").orderBy("n", "key")
-    tiled = rest.withColumn(
-        "tile", F.floor((F.row_number().over(by_size) - 1) / TILE)
-    ).withColumn("tiles", F.max("tile").over(by_box))
-    others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles")))
-    return (
-        tiled.select("*", others.alias("other"))
-        .withColumn("low", F.least("tile", "other"))
-        .withColumn("high", F.greatest("tile", "other"))
-        .repartition("box", "low", "high")
-        .sortWithinPartitions("box", "low", "high", "key")
-    )
+    return _tiled(rest)
+
+
+def _missing_links(
+    filed: DataFrame, labels: DataFrame, points: DataFrame, bands: Bands, sets_of
+) -> DataFrame:
+    """Links that join all that links between points of different labels join.
+
+    ``sets_of`` gives the exact sets of keys. Each step hands on the groups that the
+    pairs it lets pass join, not these pairs.
+    """
+    schema = "a bigint, b bigint"
+    near = _met(filed, labels, points).mapInArrow(_forest(bands, "coarse"), schema)
+    joined = cut(near.distinct(), "near-by-coarse")
+    for last in (False, True):
+        if not joined.take(1):
+            return joined
+        groups = components(joined).select(F.col("node").alias("key"), F.col("label").alias("box"))
+        rest = groups.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        rest = rest.join(points.select("key", "n", "counts"), "key")
+        if last:
+            rest = rest.join(sets_of(groups.select("key")), "key")
+        found = _tiled(rest).mapInArrow(_forest(bands, "counts", last), schema)
+        joined = cut(found, "missing-links" if last else "near-by-counts")
+    return joined
 
 
 def join(
@@ -511,23 +602,27 @@ def join(
     near = _with_points(spokes, points).mapInArrow(_bound(bands), "a bigint, b bigint")
     links = _links(cut(near, "near-spokes"), rows, classes, words, bands)
 
-    tested, labels = spokes, filed.select("key", F.col("key").alias("label")).distinct()
-    for every in (False, True):
-        met = _met(filed, labels, points)
-        found = met.mapInArrow(_within_boxes(bands, every), "a bigint, b bigint").distinct()
-        untested = found.join(tested, ["a", "b"], "left_anti")
-        if not every:
-            some = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"))
-            few = F.row_number().over(some) <= _FEW
-            untested = untested.withColumn("few", few).where("few").select("a", "b")
-        compared = cut(untested, "candidates")
-        tested = tested.unionByName(compared)
-        close = _with_points(compared, points).mapInArrow(_bound(bands), "a bigint, b bigint")
-        pairs = cut(close, "near-candidates")
-        more = _links(pairs, rows, classes, words, bands) if pairs.take(1) else pairs
-        if not every or more.take(1):
-            links = links.unionByName(more)
-            labels = components(links).withColumnRenamed("node", "key")
+    labels = filed.select("key", F.col("key").alias("label")).distinct()
+    met = _met(filed, labels, points)
+    found = met.mapInArrow(_partners(bands), "a bigint, b bigint").distinct()
+    some = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"))
+    few = (
+        found.join(spokes, ["a", "b"], "left_anti")
+        .withColumn("few", F.row_number().over(some) <= _FEW)
+        .where("few")
+        .select("a", "b")
+    )
+    close = _with_points(cut(few, "candidates"), points).mapInArrow(
+        _bound(bands), "a bigint, b bigint"
+    )
+    pairs = cut(close, "near-candidates")
+    links = links.unionByName(_links(pairs, rows, classes, words, bands) if pairs.take(1) else pairs)
+    labels = components(links).withColumnRenamed("node", "key")
+    missing = _missing_links(
+        filed, labels, points, bands, lambda keys: _sets_of(keys, rows, classes, words)
+    )
+    if missing.take(1):
+        labels = components(links.unionByName(missing)).withColumnRenamed("node", "key")
     named = cut(
         classes.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")),
         "labelled",

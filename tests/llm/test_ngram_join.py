@@ -166,5 +166,33 @@ def test_pairs_are_packed_a_few_points_at_a_time(monkeypatch):
     assert sum(map(len, packed)) == 13 * 30
 
 
+def box_of(rows, vector):
+    names = ["box", "low", "high", "key", "label", "n", "tile", vector, "shingles"]
+    columns = [pa.array([0] * len(rows))] * 3 + [pa.array(c) for c in zip(*rows, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def test_a_box_sends_no_more_pairs_than_points():
+    """Pairs that pass the bound grew with the square of a box's points."""
+    rows = [(i, i, 64, 0, bytes([1] * 64), b"") for i in range(60)]
+    out = list(J._forest(J.Bands(90), "coarse")(iter([box_of(rows, "coarse")])))
+    pairs = [(a, b) for batch in out for a, b in zip(*batch.to_pydict().values(), strict=True)]
+    assert len(pairs) == 59 and {k for pair in pairs for k in pair} == set(range(60))
+
+
+def test_a_box_sends_links_that_join_different_labels():
+    random_ = np.random.default_rng(9)
+    bases = [np.unique(random_.integers(0, 2**63, 100).astype(np.uint64)) for _ in range(3)]
+    rows = []
+    for i in range(30):
+        mine = np.sort(bases[i % 3][i // 3 % 5 :])
+        label = 900 if i < 6 and i % 3 == 0 else i  # 0 and 3 are joined already
+        rows.append((i, label, len(mine), 0, J.counts(mine), mine.tobytes()))
+    out = list(J._forest(J.Bands(90), "counts", True)(iter([box_of(rows, "counts")])))
+    pairs = [(a, b) for batch in out for a, b in zip(*batch.to_pydict().values(), strict=True)]
+    assert all(a % 3 == b % 3 for a, b in pairs)
+    assert len(pairs) == 27 - 1
+
+
 def test_empty_table(spark):
     assert J.join(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
