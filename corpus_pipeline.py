@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm import ngram_join, packing, quality, secret_scan, toxicity
 from tallyweave.llm.common import small
-from tallyweave.runtime import cut
+from tallyweave.runtime import cut, discard
 
 # A document goes at this toxicity score or more, and below this quality score.
 TOXIC, GOOD = 0.3, 0.3
@@ -48,6 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     )
     first = groups.where(F.col("doc_id") == F.col("component_id"))
     kept = cut(first.groupBy(F.col("doc_id").alias("own")).count(), "kept")
+    discard(groups)
     once = small(kept.select("own"), 40)
     stay = marked.join(once, "own", "left_semi")
     again = kept.where(F.col("count") > 1).select("own")
@@ -88,8 +89,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents, each written and read again; then what it read is deleted."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        discard(*read)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

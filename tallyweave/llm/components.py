@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.runtime import cut
+from tallyweave.runtime import cut, discard
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     the shape, and rounds grow with the logarithm of the nodes.
     """
     edges = cut(links.select("a", "b").where("a <> b").distinct(), "links")
+    read = [edges]
     labels = (
         links.select(F.col("a").alias("node"))
         .unionByName(links.select(F.col("b").alias("node")))
@@ -38,4 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(
             drawn.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct(), "links"
         )
-    return cut(labels, "labels")
+        read += [least, edges]
+    found = cut(labels, "labels")
+    discard(*read)
+    return found

@@ -12,16 +12,17 @@ point lies in one box per block.
 
 Points of one box are compared by their overlap bound, the sum over coarser
 groups of the smaller count: over 64 groups where whole boxes are compared, then
-over 256 for each distinct pair. Pairs that pass are verified on their exact sets.
-First every point is compared with one pivot of each of its boxes, then with one
-more point of each, which differs from box to box; of these a few per point are
-verified. What that links becomes a component, and all pairs of points that still
-lie in different components are compared, since only components are asked for.
+over 256 or, of larger sets, more for each distinct pair. Pairs that pass are verified on their exact sets.
+First every point meets one other point of each of a few of its boxes, which differs
+from box to box; of these a few per point are verified. What that links becomes a
+component, and all pairs of points of a box, of whichever, that still lie in
+different components are compared, since only components are asked for.
 Such pairs grow with the square of a group, so they are never written: of the
 pairs of a box that pass the bound only a spanning forest leaves its task. Points
 that these forests join make a group, each point once however many boxes it shares
 with others; the finer bound parts the groups again in the same way, and within
-what is left pairs are verified where their exact sets lie side by side.
+what is left pairs are verified where their exact sets lie side by side. Steps
+delete the tables that no later one reads.
 """
 
 from __future__ import annotations
@@ -39,17 +40,18 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.common import Rows, narrow, rows_of, small
 from tallyweave.llm.components import components
-from tallyweave.runtime import cut
+from tallyweave.runtime import cut, discard
 
 _U = np.uint64
-_GROUPS, _COARSE = 256, 64
+# Groups of the finer bound, of which a larger set has more, up to so many; groups of the coarser.
+_GROUPS, _MOST_GROUPS, _COARSE = 256, 1 << 16, 64
 # Most points and shingles of a box (its last point's aside) that make a tile; a task compares the
 # points of one or two tiles at a time. Words whose hash a worker remembers.
-TILE, TILE_SHINGLES, REMEMBERED = 1024, 1 << 21, 100_000
+TILE, TILE_SHINGLES, REMEMBERED = 4096, 1 << 21, 100_000
 # Rows and columns of the block of pairs that is compared at once.
 _BLOCK = 512
-# Pairs of a point that are verified before all of them are.
-_FEW = 4
+# Boxes and pairs of a point that are looked at before all of them are.
+_FEW_BOXES, _FEW = 8, 4
 # Pairs of a box and a point that a task sorts at a time, and bytes of a box's hash within them:
 # strangers that meet since their boxes have the same hash are told apart like any others.
 BUCKET, _BOX_BYTES = 1 << 19, 5
@@ -148,11 +150,30 @@ def boxes(shingles: np.ndarray, filed: list[tuple[int, int]]) -> np.ndarray:
 
 
 def counts(shingles: np.ndarray) -> bytes:
-    """Counts of 256 groups, a byte each; more than 255 count as 255, which only loosens a bound."""
-    found = np.bincount(((shingles >> _U(8)) & _U(255)).astype(np.int64), minlength=_GROUPS)
+    """Counts of 256 groups or, of larger sets, of parts of these, a byte each.
+
+    A count of more than 255 is 255, which only loosens a bound. There are so many
+    parts that a count is 4 on average at most: with larger ones, any two sets of a
+    size would pass.
+    """
+    parts = 1
+    while 4 * _GROUPS * parts < len(shingles) and _GROUPS * parts < _MOST_GROUPS:
+        parts *= 2
+    group = ((shingles >> _U(8)) & _U(_GROUPS - 1)) * _U(parts)
+    most = _MOST_GROUPS // _GROUPS
+    group += ((shingles >> _U(16)) & _U(most - 1)) // _U(most // parts)
+    found = np.bincount(group.astype(np.int64), minlength=_GROUPS * parts)
     return np.minimum(found, 255).astype(np.uint8).tobytes()
 
 
+def _folded(vectors: np.ndarray, groups: int) -> np.ndarray:
+    """The rows' counts by fewer groups, again 255 at most."""
+    if vectors.shape[1] == groups:
+        return vectors
+    summed = vectors.reshape(len(vectors), groups, -1).sum(axis=2)
+    return np.minimum(summed, 255).astype(np.uint8)
+
+
 def _key(shingles: np.ndarray) -> int:
     """What stands for a set: equal sets have it equal, others differ but for 64-bit chance."""
     return int(_mix(np.array([_mix(shingles).sum() ^ _U(len(shingles))]))[0].astype(np.int64))
@@ -206,13 +227,12 @@ _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def coarse(vector: bytes) -> bytes:
     """The counts of 64 groups of groups, again a byte each and 255 at most."""
-    found = np.frombuffer(vector, np.uint8).reshape(_COARSE, -1).sum(axis=1)
-    return np.minimum(found, 255).astype(np.uint8).tobytes()
+    return _folded(np.frombuffer(vector, np.uint8)[None], _COARSE).tobytes()
 
 
 def _minima(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each pair of rows, the sum of the smaller counts."""
-    if len(a) * len(b) <= 2048:
+    if len(a) * len(b) <= 2048 or a.shape[1] > _GROUPS:
         return np.minimum(a[:, None], b[None]).sum(axis=2, dtype=np.int32)
     out, left, right = np.zeros((len(a), len(b)), np.uint16), a.T.copy(), b.T.copy()
     for x, y in zip(left, right, strict=True):
@@ -240,6 +260,7 @@ def _bound(bands: Bands):
         names = ("a", "b", "a_n", "b_n", "a_counts", "b_counts")
         for a, b, a_n, b_n, a_counts, b_counts in rows_of(batches, names):
             x, y = (np.frombuffer(c, np.uint8)[None] for c in (a_counts, b_counts))
+            x, y = (_folded(v, min(x.shape[1], y.shape[1])) for v in (x, y))
             if _passes(bands, np.array([a_n]), x, np.array([b_n]), y)[0, 0] and out.add((a, b)):
                 yield out.batch()
         yield out.batch()
@@ -283,11 +304,14 @@ def _near(bands: Bands, rows: list[tuple], one_tile: bool) -> Iterator[tuple[int
     Every pair comes once; pairs within a tile only if there is one.
     """
     labels, sizes, tiles = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
-    vectors = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-    blocked, fine = vectors, vectors.shape[1] > _COARSE
-    if fine:  # whole blocks by coarse counts, what they leave by all
-        summed = vectors.reshape(len(rows), _COARSE, -1).sum(axis=2)
-        blocked = np.minimum(summed, 255).astype(np.uint8)
+    vectors = [np.frombuffer(r[4], np.uint8)[None] for r in rows]
+    blocked = np.concatenate([_folded(v, _COARSE) for v in vectors])
+    groups = np.array([v.shape[1] for v in vectors])
+    fine = {}  # by number of groups: the counts of those points that have as many, and their places
+    for least in np.unique(groups[groups > _COARSE]).tolist():
+        having = groups >= least
+        counted = [_folded(vectors[i], least) for i in np.flatnonzero(having)]
+        fine[least] = np.concatenate(counted), np.cumsum(having) - 1
     own = np.flatnonzero(tiles == tiles.min())
     others = own if one_tile else np.flatnonzero(tiles != tiles.min())
     for i in range(0, len(own), _BLOCK):
@@ -299,9 +323,13 @@ def _near(bands: Bands, rows: list[tuple], one_tile: bool) -> Iterator[tuple[int
                 near &= a[:, None] < b
             for x in np.flatnonzero(near.any(axis=1)):
                 at, found = a[x : x + 1], b[near[x]]
-                if fine:
-                    passes = _passes(bands, sizes[at], vectors[at], sizes[found], vectors[found])
-                    found = found[passes[0]]
+                for least, (counted, place) in fine.items():
+                    of = np.minimum(groups[found], groups[at]) == least
+                    y = found[of]
+                    of[of] = ~_passes(
+                        bands, sizes[at], counted[place[at]], sizes[y], counted[place[y]]
+                    )[0]
+                    found = found[~of]
                 yield int(at[0]), found
 
 
@@ -374,12 +402,13 @@ def _sets_of(wanted: DataFrame, rows: DataFrame, classes: DataFrame, words: int)
     """``key`` and ``shingles`` of the sets whose ``key`` is wanted, as a written table."""
     # one document of each wanted set; another text under its id is told apart by its key
     ids = classes.join(wanted, "key", "left_semi").select(F.col("first").alias("id"))
-    texts = rows.join(
-        small(cut(ids, "wanted-ids"), 16), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"
-    )
-    return cut(
+    ids = cut(ids, "wanted-ids")
+    texts = rows.join(small(ids, 16), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    sets = cut(
         texts.select("text").mapInArrow(_sets(words), "key bigint, shingles binary"), "sets"
     )
+    discard(ids)
+    return sets
 
 
 def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, bands: Bands):
@@ -391,7 +420,9 @@ def _links(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, ba
     for end in "ab":
         side = sets.select(F.col("key").alias(end), F.col("shingles").alias(f"{end}_set"))
         pairs = pairs.join(side, end)
-    return cut(pairs.mapInArrow(_verify(bands), "a bigint, b bigint"), "verified")
+    verified = cut(pairs.mapInArrow(_verify(bands), "a bigint, b bigint"), "verified")
+    discard(sets)
+    return verified
 
 
 def _dealt(buckets: int):
@@ -491,41 +522,50 @@ def _filed(sketch: DataFrame) -> DataFrame:
     )
 
 
-def _tiled(boxes: DataFrame) -> DataFrame:
-    """The points of each box (``box``, ``key``, ``label``, ``n`` and others) by pairs of tiles."""
-    by_size = Window.partitionBy("box").orderBy("n", "key").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    size = F.greatest("n", F.lit(-(-TILE_SHINGLES // TILE)).cast("bigint"))
-    before = F.sum(size).over(by_size) - size
-    tiled = boxes.withColumn("tile", F.floor(before / TILE_SHINGLES)).withColumn(
-        "tiles", F.max("tile").over(Window.partitionBy("box"))
+def _tiled(
+    boxes: DataFrame, vectors: DataFrame, bands: Bands, shingles: float = 1.0
+) -> DataFrame:
+    """The points of each box (``box``, ``key``, ``label``, ``n``) by pairs of tiles.
+
+    ``vectors`` has what else a point takes along, by ``key``; it is joined to the
+    tiles, so it travels once for each. Of a point ``n * shingles`` count towards a
+    tile's size. Tiles are in the order of ``n``, and a point goes only where its
+    size lets it have links.
+    """
+    ordered, whole = Window.partitionBy("box").orderBy("n", "key"), Window.partitionBy("box")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = F.lit(-(-TILE_SHINGLES // TILE)).cast("bigint")
+    size = F.greatest(F.ceil(F.col("n") * F.lit(shingles)), least)
+    tiled = (
+        boxes.withColumn("tile", F.floor((F.sum(size).over(so_far) - size) / TILE_SHINGLES))
+        .withColumn("tile", F.col("tile") - F.lag("tile", 1, -1).over(ordered) > 0)
+        .withColumn("starts", F.collect_list(F.when(F.col("tile"), F.col("n"))).over(whole))
+        .withColumn("tile", F.sum(F.col("tile").cast("bigint")).over(so_far) - 1)
     )
-    others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles")))
+    # tiles that end before the first size that fits, and those that start beyond the last
+    short = F.size(F.filter("starts", lambda s: 100 * s < bands.percent * F.col("n")))
+    within = F.size(F.filter("starts", lambda s: bands.percent * s <= 100 * F.col("n")))
+    others = F.explode(F.sequence(F.greatest(short - 1, F.lit(0)), within - 1))
     return (
-        tiled.select("*", others.alias("other"))
+        tiled.select("box", "key", "label", "n", "tile", others.alias("other"))
         .withColumn("low", F.least("tile", "other"))
         .withColumn("high", F.greatest("tile", "other"))
-        .drop("tiles", "other")
+        .drop("other")
+        .join(vectors, "key")
         .repartition("box", "low", "high")
         .sortWithinPartitions("box", "low", "high", "key")
     )
 
 
-def _met(filed: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
-    """The points of boxes that hold several components, pivots aside, by pairs of tiles."""
+def _apart(points_of_boxes: DataFrame) -> DataFrame:
+    """``box``, ``key``, ``label`` and ``n`` in boxes that hold several labels."""
     by_box = Window.partitionBy("box")
-    rest = (
-        filed.where("key <> pivot")
-        .join(labels, "key", "left")
-        .withColumn("label", F.coalesce("label", "key"))
-        .withColumn("least", F.min("label").over(by_box))
+    return (
+        points_of_boxes.withColumn("least", F.min("label").over(by_box))
         .withColumn("most", F.max("label").over(by_box))
         .where("least <> most")
-        .select("box", "key", "label")
-        .join(points.select("key", "n", "coarse"), "key")
+        .select("box", "key", "label", "n")
     )
-    return _tiled(rest)
 
 
 def _missing_links(
@@ -537,18 +577,27 @@ def _missing_links(
     pairs it lets pass join, not these pairs.
     """
     schema = "a bigint, b bigint"
-    near = _met(filed, labels, points).mapInArrow(_forest(bands, "coarse"), schema)
-    joined = cut(near.distinct(), "near-by-coarse")
+
+    def rest(boxes: DataFrame) -> DataFrame:
+        named = boxes.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        return _apart(named.join(points.select("key", "n"), "key"))
+
+    near = _tiled(rest(filed), points.select("key", "coarse"), bands, 0.0)
+    joined = cut(near.mapInArrow(_forest(bands, "coarse"), schema).distinct(), "near-by-coarse")
     for last in (False, True):
         if not joined.take(1):
             return joined
-        groups = components(joined).select(F.col("node").alias("key"), F.col("label").alias("box"))
-        rest = groups.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        rest = rest.join(points.select("key", "n", "counts"), "key")
+        groups = components(joined)
+        discard(joined)
+        vectors = points.select("key", "counts")
+        sets = sets_of(groups.select(F.col("node").alias("key"))) if last else None
         if last:
-            rest = rest.join(sets_of(groups.select("key")), "key")
-        found = _tiled(rest).mapInArrow(_forest(bands, "counts", last), schema)
+            vectors = vectors.join(sets, "key")
+        boxes = groups.select(F.col("node").alias("key"), F.col("label").alias("box"))
+        tiled = _tiled(rest(boxes), vectors, bands, 1.0 if last else 1 / 8)
+        found = tiled.mapInArrow(_forest(bands, "counts", last), schema)
         joined = cut(found, "missing-links" if last else "near-by-counts")
+        discard(groups, *[sets] * last)
     return joined
 
 
@@ -582,8 +631,9 @@ def join(
         ),
         "sketch",
     )
+    own = cut(sketch.select("doc_id", F.col("n").alias("n_shingles"), "key"), "own")
     classes = cut(
-        sketch.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first")),
+        own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first")),
         "classes",
     )
     filed = cut(_filed(sketch), "boxes")
@@ -594,42 +644,40 @@ def join(
         .dropDuplicates(["key"]),
         "points",
     )
-    spokes = cut(
-        filed.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
-        .distinct(),
-        "spokes",
-    )
-    near = _with_points(spokes, points).mapInArrow(_bound(bands), "a bigint, b bigint")
-    links = _links(cut(near, "near-spokes"), rows, classes, words, bands)
-
-    labels = filed.select("key", F.col("key").alias("label")).distinct()
-    met = _met(filed, labels, points)
-    found = met.mapInArrow(_partners(bands), "a bigint, b bigint").distinct()
-    some = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"))
-    few = (
-        found.join(spokes, ["a", "b"], "left_anti")
-        .withColumn("few", F.row_number().over(some) <= _FEW)
+    discard(sketch)
+
+    first = Window.partitionBy("key").orderBy(F.xxhash64("box"))
+    alone = (
+        filed.join(points.select("key", "n"), "key")
+        .withColumn("label", F.col("key"))
+        .withColumn("few", F.row_number().over(first) <= _FEW_BOXES)
         .where("few")
-        .select("a", "b")
-    )
-    close = _with_points(cut(few, "candidates"), points).mapInArrow(
-        _bound(bands), "a bigint, b bigint"
     )
-    pairs = cut(close, "near-candidates")
-    links = links.unionByName(_links(pairs, rows, classes, words, bands) if pairs.take(1) else pairs)
-    labels = components(links).withColumnRenamed("node", "key")
+    met = _tiled(_apart(alone), points.select("key", "coarse"), bands, 0.0)
+    found = met.mapInArrow(_partners(bands), "a bigint, b bigint").distinct()
+    some = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"))
+    few = found.withColumn("few", F.row_number().over(some) <= _FEW).where("few").select("a", "b")
+    candidates = cut(few, "candidates")
+    close = _with_points(candidates, points).mapInArrow(_bound(bands), "a bigint, b bigint")
+    near = cut(close, "near-candidates")
+    links = _links(near, rows, classes, words, bands)
+    found = components(links)
+    labels = found.withColumnRenamed("node", "key")
     missing = _missing_links(
         filed, labels, points, bands, lambda keys: _sets_of(keys, rows, classes, words)
     )
+    discard(filed, points, candidates, near)
     if missing.take(1):
-        labels = components(links.unionByName(missing)).withColumnRenamed("node", "key")
+        discard(found)
+        found = components(links.unionByName(missing))
+    labels = found.withColumnRenamed("node", "key")
     named = cut(
         classes.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")),
         "labelled",
     )
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     of_class = cut(named.join(least, "label").select("key", "component_id"), "components")
-    own = sketch.select("doc_id", F.col("n").alias("n_shingles"), "key")
+    discard(classes, links, missing, found, named)
     linked = own.where("key is not null").join(of_class, "key")
     alone = own.where("key is null").withColumn("component_id", F.col("doc_id"))
     return linked.select("doc_id", "n_shingles", "component_id").unionByName(

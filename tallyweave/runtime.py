@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Paths handed out in the shared folder, by application, until they are released.
 _written: dict[str, list[str]] = {}
+# Path of each table that a step has written.
+_tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def is_local(spark: SparkSession) -> bool:
@@ -43,11 +46,21 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
     Later stages then neither recompute what went before nor lose it with an
     executor, and Spark knows the true size when it chooses a join. The table
-    stays until ``release``, since results are read from it lazily.
+    stays until ``release`` or ``discard``, since results are read from it lazily.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` returned. Nothing that reads them may still be to run."""
+    for table in tables:
+        spark, path = table.sparkSession, _tables.pop(table)
+        _written[spark.sparkContext.applicationId].remove(path)
+        delete_path(spark, path)
 
 
 def release(spark: SparkSession) -> int:

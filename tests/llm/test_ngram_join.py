@@ -6,7 +6,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from tallyweave import runtime
 from tallyweave.llm import ngram_join as J
 
 FOLDER = "/root/testdata/sf0.01"
@@ -114,6 +116,53 @@ def test_linked_sets_share_a_box(percent):
                 assert J._passes(bands, sizes[0], v, sizes[1], w)[0, 0]
 
 
+def test_linked_sets_with_counts_of_different_length_pass():
+    """Counts of more groups are folded to those of fewer."""
+    random_ = np.random.default_rng(8)
+    bands = J.Bands(80)
+    for size, larger in ((1000, 1200), (2000, 2400), (4090, 4112), (8000, 9000), (300_000, 310_000)):
+        big = np.unique(random_.integers(0, 2**64, larger, np.uint64))
+        sets = [np.sort(random_.permutation(big)[:size]), big]
+        assert J._linked(bands, *sets)
+        rows = [(i, i, len(x), 0, J.counts(x)) for i, x in enumerate(sets)]
+        assert [(x, y.tolist()) for x, y in J._near(bands, rows, True)] == [(0, [1])]
+
+
+def test_unrelated_large_sets_do_not_pass():
+    """Over 256 groups any two sets of some thousand shingles passed, and made one large group."""
+    random_ = np.random.default_rng(6)
+    sets = [np.unique(random_.integers(0, 2**64, 9000, np.uint64)) for _ in range(4)]
+    rows = [(i, i, len(x), 0, J.counts(x)) for i, x in enumerate(sets)]
+    assert not sum(len(found) for _, found in J._near(J.Bands(80), rows, True))
+
+
+def test_a_point_goes_only_to_tiles_of_sizes_that_fit(spark, monkeypatch):
+    monkeypatch.setattr(J, "TILE", 4)
+    rows = [(7, key, key, 10 * key) for key in range(1, 41)]
+    boxes = spark.createDataFrame(rows, "box bigint, key bigint, label bigint, n bigint")
+    vectors = boxes.select("key", F.lit("v").alias("vector"))
+    tiles = {}
+    for r in J._tiled(boxes, vectors, J.Bands(80)).collect():
+        assert r.vector == "v" and r.tile in (r.low, r.high)
+        tiles.setdefault(r.key, set()).add((r.low, r.high))
+    for a in range(1, 41):
+        for b in range(a + 1, 41):
+            assert tiles[a] & tiles[b] or 100 * a < 80 * b, (a, b)
+    assert max(map(len, tiles.values())) < 6 < len({t for own in tiles.values() for t in own})
+
+
+def test_only_tables_that_the_result_reads_stay(spark):
+    """All tables of the join stayed until the end, near four fifths of its input."""
+    written = runtime._written.setdefault(spark.sparkContext.applicationId, [])
+    before = len(written)
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 3, 40))) for i in range(9)]
+    rows += [(9 + i, f"x{i} y z " + " ".join(f"v{i}{j}" for j in range(30))) for i in range(4)]
+    out = J.join(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 80)
+    left = {re.split("-[0-9a-f]{32}", path.rpartition("/")[2])[0] for path in written[before:]}
+    assert left <= {"own", "components"}
+    assert got(out) == brute(rows, 3, 80)
+
+
 def test_minima_of_blocks_of_any_size():
     random_ = np.random.default_rng(5)
     for rows, others in ((1, 1), (3, 700), (90, 80), (512, 512)):
